@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -199,11 +199,28 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "cid", "sig").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a bigint, b bigint")
 
 
+def dense_nodes(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, cid, first, dense) for the rows of large nodes; dense: half of the node agrees with its first or last class."""
+    heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
+    for end in ("first", "last"):
+        heads = heads.join(classes.select(F.col("cid").alias(end), F.col("sig").alias(f"{end}_sig")), end)
+    rows = large.join(classes.select("cid", "sig"), "cid").join(heads, "node")
+    at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
+
+    def alike(other: str) -> Column:
+        same = F.filter(at, lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col(other), i * 4 + 1, F.lit(4)))
+        return (F.size(same) >= least_agreement(percent)).cast("double")
+
+    votes = rows.select("node", alike("first_sig").alias("f"), alike("last_sig").alias("l")).groupBy("node").agg((F.greatest(F.avg("f"), F.avg("l")) >= 0.5).alias("dense"))
+    return large.join(votes, "node").join(heads.select("node", "first"), "node").select("node", "cid", "first", "dense")
+
+
 def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> DataFrame:
     """(a, b) candidate links between classes (cid, sig), from all trees.
 
-    Nodes still larger than NODE_CLASSES after MOST_LEVELS levels link all their classes to the first without comparison:
-    more than needed, and decided on the full sets later.
+    In a larger node of which half or more look like its first or last class, branching would not part the copies: all its
+    classes are linked to the first, which is more than needed and decided on the full sets later. The same happens to what
+    is still larger after MOST_LEVELS levels.
     """
     trees = trees_for(recall, percent)
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
@@ -216,14 +233,14 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
         once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
         members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
         found = candidate_edges(members, percent)
-        large = shared.where(F.col("n") > NODE_CLASSES)
-        if last := (level == MOST_LEVELS - 1):
-            heads = large.groupBy("node").agg(F.min("cid").alias("b"))
-            found = found.unionByName(large.join(heads, "node").select(F.col("cid").alias("a"), "b"))
         edges = found if edges is None else edges.unionByName(found)
-        if last or large.isEmpty():
+        large = shared.where(F.col("n") > NODE_CLASSES)
+        if large.isEmpty():
             break
-        rows = large.select("node", "cid").join(classes.select("cid", "sig"), "cid")
+        tested = materialize(dense_nodes(large.select("node", "cid"), classes, percent), "dense")
+        over = F.lit(True) if level == MOST_LEVELS - 1 else F.col("dense")
+        edges = edges.unionByName(tested.where(over).select(F.col("cid").alias("a"), F.col("first").alias("b")))
+        rows = tested.where(~over).select("node", "cid").join(classes.select("cid", "sig"), "cid")
     return edges.where("a <> b").distinct()
 
 
