@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.folds import sample_by_hash
 from tallyloom.session import fresh_path, ship_package
 
 #: Of the WARC-Zstandard convention: magic number of the skippable frame that holds the dictionary.
@@ -66,7 +67,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 def train_dictionary(plan: DataFrame) -> bytes:
     """A Zstandard dictionary of a bounded sample of records, chosen by hash from the whole table."""
-    rows = plan.where(F.octet_length("payload") <= SAMPLE_RECORD_BYTES).orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLE_RECORDS).collect()
+    rows = sample_by_hash(plan.where(F.octet_length("payload") <= SAMPLE_RECORD_BYTES), ["page_id", "digest"], SAMPLE_RECORDS).collect()
     samples = [record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, "response", None) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes()
