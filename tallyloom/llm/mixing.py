@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     made = ("size", "source_size", "target", "repeats", "taken")
     base = docs.drop(*made)
-    sized = base.withColumns({"__mx_size": word_count(F.col(text_col)), "__mx_draw": draw(id_col, seed)})
+    sized = base.withColumns({"__mx_size": word_count(F.col(text_col)), "__mx_draw": draw(id_col, seed), "__mx_tie": F.xxhash64(text_col)})
     slim = materialize(sized.select(F.col(source_col).alias("source"), F.col("__mx_size").alias("size"), F.col("__mx_draw").alias("draw")), "mix-sizes")
     sources = water_fill(slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")), max_epochs)
     sources = sources.withColumns({
@@ -84,8 +84,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = sources.select(F.col("source").alias("__mx_source"), F.col("size").alias("source_size"), "target", "whole", "buckets", "missing")
     rows = sized.join(small(plan), F.col(source_col).eqNullSafe(F.col("__mx_source"))).withColumn("__mx_bucket", bucket("__mx_draw"))
     rows = rows.join(offsets, F.col(source_col).eqNullSafe(F.col("__mx_of")) & (F.col("__mx_bucket") == F.col("__mx_at")))
-    tie = [F.xxhash64(text_col)] if text_col in rows.columns else []
-    order = Window.partitionBy("__mx_of", "__mx_bucket").orderBy("__mx_draw", "__mx_size", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__mx_of", "__mx_bucket").orderBy("__mx_draw", "__mx_size", "__mx_tie").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__mx_ahead") + F.coalesce(F.sum("__mx_size").over(order), F.lit(0))
     more = (2 * before + F.col("__mx_size")).cast("double") <= 2 * F.col("missing")
     repeats = F.least(F.col("whole") + more.cast("long"), F.lit(max_epochs).cast("long"))
