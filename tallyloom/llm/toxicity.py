@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import textbytes as T
-from tallyloom.llm.folds import held_out
+from tallyloom.llm.folds import held_out, sample_by_hash
 from tallyloom.session import ship_package
 
 #: The model is fitted on so many labelled rows at most, chosen by hash, with texts of SAMPLE_CHARS at most.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Equal texts count once. Of several labels of a document or text the largest counts; null labels don't count.
     """
     known = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__tx_id"), F.col(label_col).cast("int").alias("__tx_y"))
-    chosen = known.orderBy(F.xxhash64(F.lit(29), "__tx_id"), "__tx_id", "__tx_y").limit(SAMPLE_ROWS)
+    chosen = sample_by_hash(known, ["__tx_id", "__tx_y"], SAMPLE_ROWS)
     texts = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).join(F.broadcast(chosen), F.col(id_col) == F.col("__tx_id"))
     rows: dict[str, tuple] = {}
     for r in texts.select("__tx_id", F.col(text_col).alias("t"), F.col("__tx_y").alias("y")).collect():
