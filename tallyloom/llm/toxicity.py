@@ -19,8 +19,9 @@ from tallyloom.llm.folds import held_out, sample_by_hash
 from tallyloom.session import ship_package
 
 #: The model is fitted on so many labelled rows at most, chosen by hash, with texts of SAMPLE_CHARS at most.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 SAMPLE_CHARS = 20_000
+TRAIN_CHUNK = 250
 LEXICON_WORDS = 5000
 LEXICON_SUPPORT, LEXICON_WEIGHT = 3, 2.0
 TREES, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 5.0
@@ -110,14 +111,25 @@ def text_features(raw: np.ndarray, off: np.ndarray, words: np.ndarray, weights:
     ], 1)
 
 
-def learn_lexicon(raw: np.ndarray, off: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of the words that mark toxic texts, by smoothed log odds of document frequencies."""
-    hashed, doc, _ = _words(T.LOWER[raw], off)
-    pairs = np.unique(np.stack((hashed, doc.astype(np.uint64)), 1), axis=0)
-    words, back = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(back, y[pairs[:, 1].astype(np.int64)], len(words))
-    good = np.bincount(back, minlength=len(words)) - bad
-    weight = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / ((1 - y).sum() + 1))
+def learn_lexicon(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the words that mark toxic texts, by smoothed log odds of document frequencies.
+
+    ``parts`` are chunks of texts (bytes, offsets, labels); only their word counts are kept.
+    """
+    found, bad, all_of, toxic, clean = [], [], [], 0.0, 0.0
+    for raw, off, y in parts:
+        hashed, doc, _ = _words(T.LOWER[raw], off)
+        order = np.lexsort((hashed, doc))
+        hashed, doc = hashed[order], doc[order]
+        once = np.append(True, (hashed[1:] != hashed[:-1]) | (doc[1:] != doc[:-1]))[: len(hashed)]
+        words, back = np.unique(hashed[once], return_inverse=True)
+        found.append(words)
+        bad.append(np.bincount(back, y[doc[once]], len(words)))
+        all_of.append(np.bincount(back, minlength=len(words)))
+        toxic, clean = toxic + y.sum(), clean + (1 - y).sum()
+    words, back = np.unique(np.concatenate(found), return_inverse=True)
+    bad, total = np.bincount(back, np.concatenate(bad)), np.bincount(back, np.concatenate(all_of))
+    weight = np.log((bad + 0.5) / (toxic + 1)) - np.log((total - bad + 0.5) / (clean + 1))
     keep = np.flatnonzero((bad >= LEXICON_SUPPORT) & (weight >= LEXICON_WEIGHT))
     keep = np.sort(keep[np.lexsort((keep, -weight[keep] * np.sqrt(bad[keep])))[:LEXICON_WORDS]])
     return words[keep], weight[keep]
@@ -184,17 +196,19 @@ def train(texts: list[str], y: np.ndarray) -> Model | None:
     if not len(y) or y.min() == y.max():
         return None
     part = np.arange(len(y)) % 5
-    blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
 
-    def chunk(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = [blobs[i] for i in np.flatnonzero(which)]
-        return np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in own]))).astype(np.int64)
+    def chunks(which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at = np.flatnonzero(which)
+        for i in range(0, len(at), TRAIN_CHUNK):
+            own = [texts[j].encode("utf-8", "surrogatepass") for j in at[i : i + TRAIN_CHUNK]]
+            yield np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in own]))).astype(np.int64), y[at[i : i + TRAIN_CHUNK]]
 
     a, b, c = (part < 2, (part == 2) | (part == 3), part == 4) if len(y) >= 50 else (part < 9, part < 9, part < 9)
-    words, weights = learn_lexicon(*chunk(a), y[a])
-    feature, cut, value, base = boost(text_features(*chunk(b), words, weights), y[b])
+    words, weights = learn_lexicon(chunks(a))
+    table = lambda which: np.vstack([text_features(raw, off, words, weights) for raw, off, _ in chunks(which)])
+    feature, cut, value, base = boost(table(b), y[b])
     m = Model(words, weights, feature, cut, value, base, np.zeros(1), np.zeros(1))
-    m.xs, m.ys = isotonic(raw_score(text_features(*chunk(c), words, weights), m), y[c])
+    m.xs, m.ys = isotonic(raw_score(table(c), m), y[c])
     return m
 
 
