@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import materialize
 
+BUCKET_CODES = 4
+
 
 def sign_code(embedding: Column, bits: int = 64) -> Column:
     """A long with bit i set where component i is positive; null components and missing ones leave 0. At most 64 bits."""
@@ -24,8 +26,12 @@ def sign_code(embedding: Column, bits: int = 64) -> Column:
 
 
 def segment_widths(bits: int, rows: int) -> list[int]:
-    """Widths of the segments: about log2 of the number of rows, between 8 and 24 bits."""
-    width = min(24, max(8, round(math.log2(max(rows, 2)))))
+    """Widths of the segments, between 6 and 24 bits, for about BUCKET_CODES codes a bucket.
+
+    A probe is a row that is shuffled, while the codes of a bucket are verified within the join; so buckets of a few codes,
+    which wider radii of longer segments would need many more probes to meet, cost less than buckets of one.
+    """
+    width = min(24, max(6, round(math.log2(max(rows / BUCKET_CODES, 2)))))
     n = max(1, round(bits / width))
     return [bits // n + (i < bits % n) for i in range(n)]
 
@@ -66,7 +72,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64) ->
         probes = open_queries.select("query_id", "query_code", "bound", F.explode(options).alias("o")).select("query_id", "query_code", "bound", "o.segment", F.explode("o.masks").alias("mask"))
         own = F.expr("CASE segment " + " ".join(f"WHEN {j} THEN shiftrightunsigned(query_code, {sum(widths[:j])}) & {(1 << w) - 1}L" for j, w in enumerate(widths)) + " END")
         probes = probes.withColumn("value", own.bitwiseXOR(F.col("mask"))).drop("mask")
-        hits = probes.join(index, ["segment", "value"]).withColumn("x", F.col("query_code").bitwiseXOR(F.col("code")))
+        hits = probes.hint("merge").join(index, ["segment", "value"]).withColumn("x", F.col("query_code").bitwiseXOR(F.col("code")))
         distance = F.bit_count("x")
         # A code counts only where it is met first: in no earlier segment within this radius, in no later one within less.
         first = F.lit(True)
