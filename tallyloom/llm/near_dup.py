@@ -106,13 +106,13 @@ def tag(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     return docs.select(*(f"`{c}`" for c in keep), F.col(text_col).alias("__nd_text")).mapInArrow(run, schema)
 
 
-def branch(rows: DataFrame, percent: int) -> DataFrame:
+def branch(rows: DataFrame, percent: int, with_sig: bool) -> DataFrame:
     """The children of each (node, cid, sig): one or two coordinates a node, chosen by the node's hash."""
     two = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(10_000)) < round(10_000 * second_branch(percent))
     picks = F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     place = F.pmod(F.xxhash64("node", "pick", F.lit(11)), F.lit(COORDINATES)).cast("int")
     value = F.substring(F.col("sig"), place * 4 + 1, F.lit(4))
-    return rows.select("node", "cid", "sig", picks.alias("pick")).select(F.xxhash64("node", "pick", value).alias("node"), "cid")
+    return rows.select("node", "cid", "sig", picks.alias("pick")).select(F.xxhash64("node", "pick", value).alias("node"), "cid", *(["sig"] if with_sig else []))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -200,19 +200,17 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def dense_nodes(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, cid, first, dense) for the rows of large nodes; dense: half of the node agrees with its first or last class."""
+    """Rows of large nodes (node, cid, sig) with ``first``, and whether they agree with the node's first and last class."""
     heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
     for end in ("first", "last"):
         heads = heads.join(classes.select(F.col("cid").alias(end), F.col("sig").alias(f"{end}_sig")), end)
-    rows = large.join(classes.select("cid", "sig"), "cid").join(heads, "node")
     at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
 
     def alike(other: str) -> Column:
         same = F.filter(at, lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col(other), i * 4 + 1, F.lit(4)))
         return (F.size(same) >= least_agreement(percent)).cast("double")
 
-    votes = rows.select("node", alike("first_sig").alias("f"), alike("last_sig").alias("l")).groupBy("node").agg((F.greatest(F.avg("f"), F.avg("l")) >= 0.5).alias("dense"))
-    return large.join(votes, "node").join(heads.select("node", "first"), "node").select("node", "cid", "first", "dense")
+    return large.join(heads, "node").select("node", "cid", "sig", "first", alike("first_sig").alias("f"), alike("last_sig").alias("l"))
 
 
 def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> DataFrame:
@@ -226,7 +224,7 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
     edges = None
     for level in range(MOST_LEVELS):
-        keys = branch(rows, percent)
+        keys = branch(rows, percent, with_sig=level > 0)  # only large nodes get here again
         sizes = keys.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         shared = materialize(keys.join(sizes, "node"), "nodes")
         small = shared.where(F.col("n") <= NODE_CLASSES).groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
@@ -237,10 +235,13 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
         large = shared.where(F.col("n") > NODE_CLASSES)
         if large.isEmpty():
             break
-        tested = materialize(dense_nodes(large.select("node", "cid"), classes, percent), "dense")
-        over = F.lit(True) if level == MOST_LEVELS - 1 else F.col("dense")
-        edges = edges.unionByName(tested.where(over).select(F.col("cid").alias("a"), F.col("first").alias("b")))
-        rows = tested.where(~over).select("node", "cid").join(classes.select("cid", "sig"), "cid")
+        if level == 0:
+            large = large.join(classes.select("cid", "sig"), "cid")
+        tested = materialize(dense_nodes(large.select("node", "cid", "sig"), classes, percent), "dense")
+        half = F.lit(True) if level == MOST_LEVELS - 1 else F.greatest(F.avg("f"), F.avg("l")) >= 0.5
+        votes = materialize(tested.groupBy("node").agg(half.alias("dense")), "votes")
+        edges = edges.unionByName(tested.join(votes.where("dense").select("node"), "node").select(F.col("cid").alias("a"), F.col("first").alias("b")))
+        rows = tested.join(votes.where("not dense").select("node"), "node").select("node", "cid", "sig")
     return edges.where("a <> b").distinct()
 
 
