@@ -145,7 +145,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def agreements(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows that agree in ``least`` coordinates or more, with the number of equal coordinates."""
-    x, y, n = [], [], []
+    x, y, n = ([np.zeros(0, np.int64)] for _ in range(3))
     step = max(1, (1 << 22) // max(1, len(b) * COORDINATES))
     for i in range(0, len(a), step):
         same = (a[i : i + step, None, :] == b[None, :, :]).sum(2)
