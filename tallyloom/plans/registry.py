@@ -1,21 +1,219 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators over the given tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyloom.functions import scalars as S
+from tallyloom.operators import fx, mapping, review
 from tallyloom.session import table
 
+_RULES = """VALUES (1,1,'ring','income:11'),(2,1,'small ring','balance:3'),(3,1,'bolt','income:12'),(4,1,'anvil','SKIP'),
+(5,1,'gear','balance:4'),(5,2,'large gear','income:13'),(6,1,'rod','balance:5'),(7,1,'plate','income:14'),(8,1,'widget','balance:6'),(9,1,'gizmo','income:15')"""
+_CAPTIONS = """SELECT o_custkey AS entity_id, l_orderkey AS doc_id, l_linenumber AS page, p_name AS label, l_extendedprice AS value,
+ year(o_orderdate) AS year, CASE WHEN l_linestatus = 'O' THEN 'bs' ELSE 'is' END AS feed,
+ CASE l_returnflag WHEN 'N' THEN 'amount' WHEN 'A' THEN 'boy' ELSE 'eoy' END AS field,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+_DUCK_MATCHED = f"""WITH rules AS (SELECT * FROM ({_RULES}) r(rule_ord, kw_ord, kw, target)), captions AS ({_CAPTIONS}),
+best AS (SELECT low, target FROM (SELECT low, target, row_number() OVER (PARTITION BY low ORDER BY length(kw) DESC, rule_ord, kw_ord) AS n
+ FROM (SELECT DISTINCT lower(label) AS low FROM captions) JOIN rules
+ ON regexp_matches(low, '(^|[^a-z0-9])' || kw || CASE WHEN length(kw) >= 5 THEN '[a-z]{{0,3}}' ELSE '' END || '([^a-z0-9]|$)')) WHERE n = 1),
+matched AS (SELECT c.*, b.target FROM captions c LEFT JOIN best b ON lower(c.label) = b.low),
+contribs AS (SELECT * FROM matched WHERE target IS NOT NULL AND target <> 'SKIP'),
+lines AS (SELECT entity_id, target, round(sum(value) FILTER (WHERE field = 'amount'), 2) AS amount,
+ round(sum(value) FILTER (WHERE field = 'boy'), 2) AS boy, round(sum(value) FILTER (WHERE field = 'eoy'), 2) AS eoy FROM contribs GROUP BY 1, 2)"""
+_RATES = """SELECT n_name AS code, kind, CAST(y AS INT) AS year, CAST(1 + n_nationkey / 10.0 + (y - 1995) / 100.0 + CASE WHEN kind = 'spot' THEN 0.5 ELSE 0 END AS DOUBLE) AS rate
+ FROM nation, (VALUES (1995),(1996),(1997),(1998),(1999),(2000),(2001)) t(y), (VALUES ('avg'),('spot')) k(kind) WHERE (n_nationkey + y) % 5 <> 0"""
+_ENTITIES = "SELECT c_custkey AS entity_id, n_name AS code, CAST(1996 + c_custkey % 5 AS INT) AS cy FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_DAILY = """SELECT n_name AS code, CAST(o_orderdate AS DATE) AS d, max(1 + n_nationkey / 10.0 + dayofyear(o_orderdate) / 1000.0) AS rate
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE dayofyear(o_orderdate) % 3 <> 0 GROUP BY 1, 2"""
+_LEDGER = """SELECT o_custkey AS entity_id, CAST(floor(o_orderkey / 2) AS BIGINT) AS reference, o_totalprice AS source,
+ CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'cash paid' ELSE 'credit note' END AS details FROM orders"""
+_REVIEW = """SELECT source AS entity_id, d.doc_id AS id, CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'warn' ELSE 'info' END AS level,
+ lang AS category, substr(text, 1, 40) AS message FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+_POLICIES = "VALUES (1, 'fr', 'le', 'warn'), (2, 'de', CAST(NULL AS STRING), 'suppress'), (3, CAST(NULL AS STRING), 'the', 'info')"
+_STATE = "SELECT user_id AS id, count(*) AS version FROM events WHERE event_type = 'click' GROUP BY 1"
+_UPDATES = "SELECT user_id AS id, CASE WHEN max(event_id) % 3 = 0 THEN NULL ELSE count(*) END AS base_version FROM events WHERE event_type = 'purchase' GROUP BY 1"
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM ({_RULES}) r(rule_ord, kw_ord, kw, target)")
+
+
+def _fixture(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = {x: table(spark, sf_dir, x) for x in _TABLES}
+    for x, df in t.items():
+        df.createOrReplaceTempView(x)
+    return spark.sql({"captions": _CAPTIONS, "rates": _RATES, "entities": _ENTITIES, "daily": _DAILY, "ledger": _LEDGER, "review": _REVIEW, "state": _STATE, "updates": _UPDATES}[name])
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.match_rules(_fixture("captions", spark, sf_dir), _rules(spark))
+
+
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.skip_subtotals(_matched(spark, sf_dir)).where("target is not null")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem")
+    """US dollars a line of each entity: rules, sums, rates, translation."""
+    fxs = fx.lookup_rates(_fixture("entities", spark, sf_dir), _fixture("rates", spark, sf_dir))
+    return mapping.translate_usd(mapping.sum_lines(_contributions(spark, sf_dir)), fxs.select("entity_id", "avg_rate", "cy_rate", "py_rate"))
+
+
+def match_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).groupBy("label", "target").count().withColumnRenamed("count", "n")
+
+
+def feed_scope(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.feed_scope(_matched(spark, d)).groupBy("feed", "target").count().withColumnRenamed("count", "n")
+
+
+def count_once(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.count_once(_contributions(spark, d)).groupBy("entity_id").count().withColumnRenamed("count", "n")
+
+
+def sum_lines(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.sum_lines(_contributions(spark, d))
+
+
+def multi_source(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.multi_source(_contributions(spark, d))
+
+
+def line_edits(spark: SparkSession, d: str) -> DataFrame:
+    c = _contributions(spark, d)
+    lines = mapping.sum_lines(c)
+    return mapping.line_edits(lines.selectExpr("entity_id", "target", "CASE WHEN entity_id % 7 = 0 THEN amount + 1 ELSE amount END AS amount", "boy", "eoy"), c)
+
+
+def schedule_subtotals(spark: SparkSession, d: str) -> DataFrame:
+    return mapping.schedule_subtotals(mapping.sum_lines(_contributions(spark, d)))
+
+
+def lookup_rates(spark: SparkSession, d: str) -> DataFrame:
+    return fx.lookup_rates(_fixture("entities", spark, d), _fixture("rates", spark, d))
+
+
+def nearest_rate(spark: SparkSession, d: str) -> DataFrame:
+    asked = _fixture("daily", spark, d).selectExpr("code", "date_add(d, 2) AS d")
+    return fx.nearest_rate(asked, _fixture("daily", spark, d))
+
+
+def period_average(spark: SparkSession, d: str) -> DataFrame:
+    asked = spark.sql("SELECT * FROM VALUES (DATE'1995-01-01', DATE'1995-12-31'), (DATE'1996-01-01', DATE'1996-02-15') t(start, end)").crossJoin(table(spark, d, "nation").selectExpr("n_name AS code"))
+    return fx.period_average(asked, _fixture("daily", spark, d))
+
+
+def pivot_rate_book(spark: SparkSession, d: str) -> DataFrame:
+    return fx.pivot_rate_book(_fixture("rates", spark, d), "spot", [1995, 1996, 1997])
+
+
+def undeclared_codes(spark: SparkSession, d: str) -> DataFrame:
+    return fx.undeclared_codes(_fixture("rates", spark, d), table(spark, d, "nation").where("n_regionkey <> 2").selectExpr("n_name AS code"))
+
+
+def parse_number(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem").withColumn("k", F.col("l_linenumber") % 4)
+    grouped = F.format_number("l_extendedprice", 2)
+    german = F.translate(grouped, ",.", ".,")
+    text = F.when(F.col("k") == 0, F.concat(F.lit("("), grouped, F.lit(")"))).when(F.col("k") == 1, german).when(F.col("k") == 2, F.concat(grouped, F.lit(" CR"))).otherwise(F.concat(grouped, F.lit("-")))
+    return t.select("k", S.parse_number(text).alias("v"), S.strict_number(text).alias("s")).groupBy("k").agg(F.round(F.sum("v"), 2).alias("total"), F.round(F.sum("s"), 2).alias("strict_total"), F.count("v").alias("n"))
+
+
+def mask_tax_id(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("id 123-45-"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit(" end"))
+    return table(spark, d, "documents").select("doc_id", S.mask_tax_id(text).alias("masked"), S.safe_name(F.substring("text", 1, 30)).alias("name"))
+
+
+def event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return review.event_counts(table(spark, d, "events"), "event_type")
+
+
+def latest_events(spark: SparkSession, d: str) -> DataFrame:
+    return review.latest_events(table(spark, d, "events")).select("event_id", "user_id", "event_type")
+
+
+def usage_quota(spark: SparkSession, d: str) -> DataFrame:
+    return review.usage_quota(table(spark, d, "events"), 500)
+
+
+def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
+    return review.ledger_summary(_fixture("ledger", spark, d))
+
+
+def invoice_credit_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return review.invoice_credit_pairs(_fixture("ledger", spark, d))
+
+
+def first_policy(spark: SparkSession, d: str) -> DataFrame:
+    policies = spark.sql(f"SELECT * FROM ({_POLICIES}) p(ord, m_category, m_message, action)")
+    return review.first_policy(_fixture("review", spark, d), policies).select("entity_id", "id", "level", "action")
+
+
+def level_counts(spark: SparkSession, d: str) -> DataFrame:
+    return review.level_counts(_fixture("review", spark, d), "entity_id")
+
+
+def versioned_update(spark: SparkSession, d: str) -> DataFrame:
+    return review.versioned_update(_fixture("state", spark, d), _fixture("updates", spark, d))
+
+
+def newest_wins(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").selectExpr("user_id", "event_id", "ts", "event_type")
+    return review.newest_wins(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+_QUERIES = (match_rules, feed_scope, count_once, sum_lines, multi_source, line_edits, schedule_subtotals, lookup_rates, nearest_rate, period_average, pivot_rate_book, undeclared_codes, parse_number, mask_tax_id, event_counts, latest_events, usage_quota, ledger_summary, invoice_credit_pairs, first_policy, level_counts, versioned_update, newest_wins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"translate_usd": flagship} | {f.__name__: f for f in _QUERIES}
+
+
+def _duck(text: str) -> str:
+    return text.replace("dayofyear(o_orderdate)", "dayofyear(CAST(o_orderdate AS DATE))").replace("AS STRING", "AS VARCHAR")
+
+
+_DUCK_FX = f"""rates AS ({_RATES}), entities AS ({_ENTITIES}),
+newest AS (SELECT code, kind, arg_max(rate, year) AS rate FROM rates GROUP BY 1, 2),
+fx AS (SELECT e.*, coalesce(a.rate, na.rate) AS avg_rate, coalesce(c.rate, ns.rate) AS cy_rate, coalesce(p.rate, ns.rate) AS py_rate
+ FROM entities e LEFT JOIN rates a ON a.code = e.code AND a.kind = 'avg' AND a.year = cy
+ LEFT JOIN rates c ON c.code = e.code AND c.kind = 'spot' AND c.year = cy LEFT JOIN rates p ON p.code = e.code AND p.kind = 'spot' AND p.year = cy - 1
+ LEFT JOIN newest na ON na.code = e.code AND na.kind = 'avg' LEFT JOIN newest ns ON ns.code = e.code AND ns.kind = 'spot')"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    m, daily = _DUCK_MATCHED, f"daily AS ({_duck(_DAILY)})"
+    usd = lambda v, r: f"CASE WHEN {r} > 0 THEN floor({v} / {r} * 100 + 0.5) / 100 END AS {v}_usd"
+    return {
+        "translate_usd": f"{m}, {_DUCK_FX} SELECT l.entity_id, target, {usd('amount', 'avg_rate')}, {usd('boy', 'py_rate')}, {usd('eoy', 'cy_rate')} FROM lines l LEFT JOIN fx USING (entity_id)",
+        "match_rules": f"{m} SELECT label, target, count(*) AS n FROM matched GROUP BY 1, 2",
+        "feed_scope": f"{m} SELECT feed, CASE WHEN (feed = 'is' AND target LIKE 'income%') OR (feed = 'bs' AND target LIKE 'balance%') THEN target END AS target, count(*) AS n FROM matched GROUP BY 1, 2",
+        "count_once": f"{m} SELECT entity_id, count(*) AS n FROM (SELECT *, first_value(page) OVER (PARTITION BY entity_id, target, doc_id, lower(label), value, field ORDER BY ord) AS f FROM contribs) WHERE page = f GROUP BY 1",
+        "sum_lines": f"{m} SELECT * FROM lines",
+        "multi_source": f"{m} SELECT entity_id, target, count(DISTINCT lower(label)) AS captions, count(DISTINCT lower(label)) > 1 AS multi FROM contribs GROUP BY 1, 2",
+        "line_edits": f"{m} SELECT entity_id, target, entity_id % 7 = 0 AND amount IS NOT NULL AS edited FROM lines",
+        "schedule_subtotals": f"{m} SELECT split_part(target, ':', 1) AS schedule, count(*) AS n_lines, round(sum(amount), 2) AS amount FROM lines GROUP BY ROLLUP (split_part(target, ':', 1))",
+        "lookup_rates": f"WITH {_DUCK_FX} SELECT * FROM fx",
+        "nearest_rate": f"WITH {daily}, asked AS (SELECT DISTINCT code, CAST(d + 2 AS DATE) AS d FROM daily) SELECT code, d, rate, as_of, CAST(as_of - d AS INT) AS diff_days FROM (SELECT a.code, a.d, p.rate, p.d AS as_of, row_number() OVER (PARTITION BY a.code, a.d ORDER BY abs(p.d - a.d), p.d) AS n FROM asked a JOIN daily p ON a.code = p.code AND abs(p.d - a.d) <= 7) WHERE n = 1",
+        "period_average": f"WITH {daily}, asked AS (SELECT n_name AS code, s AS start, e AS \"end\" FROM nation, (VALUES (DATE '1995-01-01', DATE '1995-12-31'), (DATE '1996-01-01', DATE '1996-02-15')) t(s, e)) SELECT a.code, a.start, a.\"end\", count(rate) AS points, CASE WHEN count(rate) >= 60 THEN round(avg(rate), 6) END AS rate FROM asked a LEFT JOIN daily p ON a.code = p.code AND p.d BETWEEN a.start AND a.\"end\" GROUP BY 1, 2, 3",
+        "pivot_rate_book": f"WITH rates AS ({_RATES}) SELECT code, max(rate) FILTER (WHERE year = 1995) AS y1995, max(rate) FILTER (WHERE year = 1996) AS y1996, max(rate) FILTER (WHERE year = 1997) AS y1997 FROM rates WHERE kind = 'spot' GROUP BY 1",
+        "undeclared_codes": f"WITH rates AS ({_RATES}) SELECT DISTINCT code FROM rates WHERE code NOT IN (SELECT n_name FROM nation WHERE n_regionkey <> 2)",
+        "parse_number": "WITH t AS (SELECT l_linenumber % 4 AS k, CASE WHEN l_linenumber % 4 = 1 THEN 1 ELSE -1 END * round(l_extendedprice, 2) AS v FROM lineitem) SELECT k, round(sum(v), 2) AS total, round(sum(v), 2) AS strict_total, count(v) AS n FROM t GROUP BY 1",
+        "mask_tax_id": "SELECT doc_id, 'id ***-**-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || ' end' AS masked, substr(regexp_replace(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS name FROM documents",
+        "event_counts": "SELECT event_type, count(*) AS n_events, max(ts) AS last_ts FROM events GROUP BY 1",
+        "latest_events": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
+        "usage_quota": "SELECT CAST(ts AS DATE) AS d, count(*) AS used, greatest(500 - count(*), 0) AS remaining, least(1.0, count(*) / 500) AS ratio FROM events GROUP BY 1",
+        "ledger_summary": f"WITH l AS ({_LEDGER}) SELECT entity_id, count(*) FILTER (WHERE details = 'invoice') AS n_invoices, count(*) FILTER (WHERE details = 'credit note') AS n_credits, round(sum(CASE details WHEN 'invoice' THEN source WHEN 'credit note' THEN -abs(source) END), 2) AS total, round(sum(source) FILTER (WHERE details = 'cash paid'), 2) AS cash_paid FROM l GROUP BY 1",
+        "invoice_credit_pairs": f"WITH l AS ({_LEDGER}) SELECT reference FROM l GROUP BY 1 HAVING bool_or(details = 'invoice') AND bool_or(details = 'credit note')",
+        "first_policy": f"WITH r AS ({_REVIEW}), p AS (SELECT * FROM ({_duck(_POLICIES)}) p(ord, m_category, m_message, action)), h AS (SELECT r.*, (SELECT arg_min(action, ord) FROM p WHERE coalesce(m_category = category, true) AND coalesce(contains(lower(message), m_message), true)) AS action FROM r) SELECT entity_id, id, CASE WHEN action IN ('block', 'warn', 'info') THEN action ELSE level END AS level, action FROM h WHERE action IS NULL OR action <> 'suppress'",
+        "level_counts": f"WITH r AS ({_REVIEW}) SELECT entity_id, count(*) FILTER (WHERE level = 'block') AS n_block, count(*) FILTER (WHERE level = 'warn') AS n_warn, count(*) FILTER (WHERE level = 'info') AS n_info FROM r GROUP BY 1",
+        "versioned_update": f"WITH c AS ({_STATE}), u AS ({_UPDATES}) SELECT u.id, CASE WHEN c.version IS NULL THEN 'not found' WHEN base_version IS NULL OR base_version = c.version THEN 'accepted' ELSE 'conflict' END AS status, CASE WHEN base_version IS NULL OR base_version = c.version THEN c.version + 1 ELSE c.version END AS version FROM u LEFT JOIN c USING (id)",
+        "newest_wins": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
+    }
