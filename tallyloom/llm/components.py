@@ -14,15 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the smallest node that it is connected with.
 
     Each round links the neighbours of every node to the smallest of them. Minima are aggregated before they are shuffled;
-    a hub's links meet its minimum in a join, where adaptive execution splits a hot hub. Rounds end when nothing changes.
+    a hub's links meet its minimum in a join, where adaptive execution splits a hot hub. Rounds end when every node has one
+    link, to a node that has none.
     """
     links = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    mark = None
     for _ in range(MOST_ROUNDS):
-        now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
-        if tuple(now) == mark:
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 0)").isEmpty():
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = tuple(now)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
