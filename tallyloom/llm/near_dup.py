@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,16 +223,12 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
     """
     trees = trees_for(recall, percent)
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
-    edges = None
+    smalls, edges = [], []
     for level in range(MOST_LEVELS):
         keys = branch(rows, percent, with_sig=level > 0)  # only large nodes get here again
         sizes = keys.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         shared = materialize(keys.join(sizes, "node"), "nodes")
-        small = shared.where(F.col("n") <= NODE_CLASSES).groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
-        once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
-        members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
-        found = candidate_edges(members, percent)
-        edges = found if edges is None else edges.unionByName(found)
+        smalls.append(shared.where(F.col("n") <= NODE_CLASSES).select(F.lit(level).alias("level"), "node", "cid"))
         large = shared.where(F.col("n") > NODE_CLASSES)
         if large.isEmpty():
             break
@@ -240,9 +237,12 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
         tested = materialize(dense_nodes(large.select("node", "cid", "sig"), classes, percent), "dense")
         half = F.lit(True) if level == MOST_LEVELS - 1 else F.greatest(F.avg("f"), F.avg("l")) >= 0.5
         votes = materialize(tested.groupBy("node").agg(half.alias("dense")), "votes")
-        edges = edges.unionByName(tested.join(votes.where("dense").select("node"), "node").select(F.col("cid").alias("a"), F.col("first").alias("b")))
+        edges.append(tested.join(votes.where("dense").select("node"), "node").select(F.col("cid").alias("a"), F.col("first").alias("b")))
         rows = tested.join(votes.where("not dense").select("node"), "node").select("node", "cid", "sig")
-    return edges.where("a <> b").distinct()
+    small = reduce(DataFrame.unionByName, smalls).groupBy("level", "node").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
+    once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
+    members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
+    return reduce(DataFrame.unionByName, edges, candidate_edges(members, percent)).where("a <> b").distinct()
 
 
 def sets_of(members: DataFrame, text_col: str = "text") -> DataFrame:
@@ -262,7 +262,7 @@ def sets_of(members: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the classes of each block that connect what is linked, decided on full sets.
+    """(a, b): links from the classes of each block to the first of those they are linked with, decided on full sets.
 
     Rows are (cluster, x, y, ask, joined, cid, sig, shingles): those with ``ask`` are compared with all rows of their block,
     in falling order of agreement; pairs that are connected already are passed over. Rows that are ``joined`` are linked
@@ -272,7 +272,6 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["cluster", "x", "y"]):
-            a, b = [], []
             cid, sig = group.column("cid").to_numpy(), matrix(group.column("sig"))
             ask, joined = (np.asarray(group.column(c)) for c in ("ask", "joined"))
             lists = group.column("shingles").combine_chunks()
@@ -294,11 +293,13 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= percent * (int(size[i]) + int(size[j]) - both):
                         forest.join(i, j)
-                        a.append(int(cid[i]))
-                        b.append(int(cid[j]))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            root = np.array([forest.root(i) for i in range(len(cid))])
+            passed = np.zeros(len(cid), bool)
+            passed[together[1:]] = True  # linked beforehand
+            linked = np.flatnonzero((cid[root] != cid) & ~passed)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(cid[linked], pa.int64()), "b": pa.array(cid[root[linked]], pa.int64())})
 
-    keyed = blocks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    keyed = blocks.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "cid")
     return keyed.select("cluster", "x", "y", "ask", "joined", "cid", "sig", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
