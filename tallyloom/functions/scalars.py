@@ -82,3 +82,35 @@ def similarity(a: Column, b: Column) -> Column:
     """Overlap of two token arrays over the smaller, 0 if one is empty."""
     least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
+
+
+def serial_to_date(n: Column) -> Column:
+    """A spreadsheet's day number as a date; null outside 20000 to 80000."""
+    return F.when((n > 20000) & (n < 80000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(n).cast("int")))
+
+
+def to_iso_date(text: Column) -> Column:
+    """m/d/y with slashes or dashes; day and month change places if the first is above 12; two-digit years are 20xx."""
+    pattern = r"^\s*(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})\s*$"
+    a, b, y = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2, 3))
+    year, month, day = F.when(y < 100, y + 2000).otherwise(y), F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b)
+    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+
+
+def is_mostly_non_latin(text: Column) -> Column:
+    """More than half of the letters are outside the Latin script; false without letters or text."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    latin = F.length(F.regexp_replace(text, r"[^\p{IsLatin}]|[^\p{L}]", ""))
+    return F.coalesce(2 * (letters - latin) > letters, F.lit(False))
+
+
+def column_number(letters: Column) -> Column:
+    """A, B, ..., Z, AA, ... as 1, 2, ..., 26, 27, ...; null for anything else."""
+    n = F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda acc, ch: F.when(ch == "", acc).otherwise(acc * 26 + F.ascii(ch) - 64))
+    return F.when(letters.rlike("^[A-Za-z]{1,3}$"), n)
+
+
+def as_of_label(asked: Column, resolved: Column) -> Column:
+    """The date a rate is of, with the requested date if another one was taken."""
+    day = F.date_format(resolved, "yyyy-MM-dd")
+    return F.when(asked.eqNullSafe(resolved), day).otherwise(F.concat(day, F.lit(" (requested "), F.date_format(asked, "yyyy-MM-dd"), F.lit(")")))
