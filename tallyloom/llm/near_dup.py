@@ -33,6 +33,8 @@ MOST_LEVELS = 5
 #: Shingles that one task compares on one side.
 BLOCK_SHINGLES = 200_000
 PIVOTS = 4
+#: Bits of the filter on texts: at most 4,097 bitmaps of 4 KB are broadcast, 16 MB at every size of the input.
+FILTER_BITS = 1 << 27
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -245,6 +247,20 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
     return reduce(DataFrame.unionByName, edges, candidate_edges(members, percent)).where("a <> b").distinct()
 
 
+def passing(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose ``key`` is in ``wanted``, and few others, found without a shuffle of ``rows``; an exact join follows.
+
+    Hashes of the wanted keys set bits of bitmaps, whose number and size are fixed; no wanted row is ever left out.
+    """
+    bit = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    bits = wanted.select(F.bitmap_bucket_number(bit).alias("__map"), F.bitmap_bit_position(bit).alias("__at")).distinct().repartition("__map")
+    maps = bits.groupBy("__map").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("__map", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "__map")
+    return held.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def sets_of(members: DataFrame, text_col: str = "text") -> DataFrame:
     """``members`` without the text, with ``shingles``: the sorted shingle hashes of its text as an array of longs."""
     keep = [c for c in members.columns if c != text_col]
@@ -357,8 +373,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = firsts.select("__nd_class", F.col("f.id").alias("first_id"), F.col("f.key").alias("first_key"), "sig")
     classes = materialize(firsts.withColumn("cid", F.monotonically_increasing_id()), "classes")
     candidates = components(chosen_path_candidates(classes, percent, recall))
-    clusters = candidates.select(F.col("node").alias("cid"), F.col("root").alias("cluster")).join(classes, "cid")
+    clusters = materialize(candidates.select(F.col("node").alias("cid"), F.col("root").alias("cluster")).join(classes, "cid"), "clustered")
     texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    texts = passing(texts, clusters.select(F.col("first_id").alias("doc"), F.col("first_key").alias("key")), ["doc", "key"])
     members = sets_of(texts.join(clusters, F.col("doc").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))).select("cluster", "cid", "sig", "__nd_class", "text"))
     members = materialize(members.where("found = __nd_class").dropDuplicates(["cid"]).select("cluster", "cid", "sig", "shingles"), "members")
     roots = components(exact_links(members, percent))

@@ -117,6 +117,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got == {i: (len(sets[i]), up[i]) for i in range(len(texts))}
 
 
+def test_filter_keeps_all_wanted_rows(spark):
+    rows = spark.range(5000).selectExpr("if(id % 1000 = 7, null, id) AS doc", "id * 31 AS key", "cast(id AS string) AS text")
+    wanted = rows.where("key % 3 = 0").select("doc", "key")
+    kept = {r.key for r in near_dup.passing(rows, wanted, ["doc", "key"]).collect()}
+    need = {r.key for r in wanted.collect()}
+    assert need <= kept and len(kept) <= len(need) + 5
+    assert near_dup.passing(rows, wanted.limit(0), ["doc", "key"]).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r.node: r.root for r in components.components(edges).collect()}
