@@ -202,11 +202,9 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "cid", "sig").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a bigint, b bigint")
 
 
-def dense_nodes(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def dense_nodes(large: DataFrame, percent: int) -> DataFrame:
     """Rows of large nodes (node, cid, sig) with ``first``, and whether they agree with the node's first and last class."""
-    heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.max("cid").alias("last"))
-    for end in ("first", "last"):
-        heads = heads.join(classes.select(F.col("cid").alias(end), F.col("sig").alias(f"{end}_sig")), end)
+    heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.min_by("sig", "cid").alias("first_sig"), F.max_by("sig", "cid").alias("last_sig"))
     at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
 
     def alike(other: str) -> Column:
@@ -236,7 +234,7 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
             break
         if level == 0:
             large = large.join(classes.select("cid", "sig"), "cid")
-        tested = materialize(dense_nodes(large.select("node", "cid", "sig"), classes, percent), "dense")
+        tested = materialize(dense_nodes(large.select("node", "cid", "sig"), percent), "dense")
         half = F.lit(True) if level == MOST_LEVELS - 1 else F.greatest(F.avg("f"), F.avg("l")) >= 0.5
         votes = materialize(tested.groupBy("node").agg(half.alias("dense")), "votes")
         edges.append(tested.join(votes.where("dense").select("node"), "node").select(F.col("cid").alias("a"), F.col("first").alias("b")))
