@@ -9,6 +9,9 @@ from tallyloom.llm import bpe, line_dedup, mixing, near_dup, toxicity
 from tallyloom.llm.queries import vocabulary
 from tallyloom.session import materialize, table
 
+#: The stage links texts at a similarity of 0.8 or more; op4_near_dup has its own, near_dup.PERCENT.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled documents here, doesn't reject."""
@@ -24,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return near_dup.near_duplicates(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    return near_dup.near_duplicates(docs, keep=docs.columns, percent=NEAR_PERCENT).where("kept").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
