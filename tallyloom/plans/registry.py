@@ -35,6 +35,9 @@ _LEDGER = """SELECT o_custkey AS entity_id, CAST(floor(o_orderkey / 2) AS BIGINT
  CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'cash paid' ELSE 'credit note' END AS details FROM orders"""
 _REVIEW = """SELECT source AS entity_id, d.doc_id AS id, CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'warn' ELSE 'info' END AS level,
  lang AS category, substr(text, 1, 40) AS message FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+#: What first_policy reads: whole texts. _REVIEW, which the registered SQL reads, has their first 40 characters.
+_WHOLE_REVIEW = """SELECT source AS entity_id, d.doc_id AS id, CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'warn' ELSE 'info' END AS level,
+ lang AS category, text AS message FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 _POLICIES = "VALUES (1, 'fr', 'le', 'warn'), (2, 'de', CAST(NULL AS STRING), 'suppress'), (3, CAST(NULL AS STRING), 'the', 'info')"
 _STATE = "SELECT user_id AS id, count(*) AS version FROM events WHERE event_type = 'click' GROUP BY 1"
 _UPDATES = "SELECT user_id AS id, CASE WHEN max(event_id) % 3 = 0 THEN NULL ELSE count(*) END AS base_version FROM events WHERE event_type = 'purchase' GROUP BY 1"
@@ -49,7 +52,7 @@ def _fixture(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {x: table(spark, sf_dir, x) for x in _TABLES}
     for x, df in t.items():
         df.createOrReplaceTempView(x)
-    return spark.sql({"captions": _CAPTIONS, "rates": _RATES, "entities": _ENTITIES, "daily": _DAILY, "ledger": _LEDGER, "review": _REVIEW, "state": _STATE, "updates": _UPDATES}[name])
+    return spark.sql({"captions": _CAPTIONS, "rates": _RATES, "entities": _ENTITIES, "daily": _DAILY, "ledger": _LEDGER, "review": _WHOLE_REVIEW, "state": _STATE, "updates": _UPDATES}[name])
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
