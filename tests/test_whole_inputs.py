@@ -34,3 +34,11 @@ def test_policies_match_after_40_characters(spark, folder):
     labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, 4)], "doc_id bigint, quality int, toxic int")
     got = registry.first_policy(spark, folder(documents=docs, labels=labels)).collect()
     assert sorted((r.id, r.level, r.action) for r in got) == [(1, "info", "info"), (2, "warn", "warn"), (3, "block", None)]
+
+
+def test_whole_texts_are_masked(spark, folder):
+    far = "ab " * 1000
+    docs = documents(spark, [(7, f"{far}111-22-3333, {far}444-55-6666", "en"), (8, "  A-b " + "c" * 100, "en")])
+    got = {r.doc_id: (r.masked, r.name) for r in registry.mask_tax_id(spark, folder(documents=docs)).collect()}
+    assert got[7] == (f"{far}***-**-3333, {far}***-**-6666 id ***-**-0007 end", ("ab_" * 20))
+    assert got[8] == ("  A-b " + "c" * 100 + " id ***-**-0008 end", "A_b_" + "c" * 56)
