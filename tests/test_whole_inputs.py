@@ -1,10 +1,11 @@
 """Queries take the whole of their inputs."""
 
+import datetime
 import os
 
 import pytest
 
-from tallyloom.plans import registry
+from tallyloom.plans import evidence, registry
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +43,24 @@ def test_whole_texts_are_masked(spark, folder):
     got = {r.doc_id: (r.masked, r.name) for r in registry.mask_tax_id(spark, folder(documents=docs)).collect()}
     assert got[7] == (f"{far}***-**-3333, {far}***-**-6666 id ***-**-0007 end", ("ab_" * 20))
     assert got[8] == ("  A-b " + "c" * 100 + " id ***-**-0008 end", "A_b_" + "c" * 56)
+
+
+def test_rates_of_all_days(spark, folder):
+    """91 orders on the first days of 1995 by a customer of nation 1: no day is left out."""
+    orders = spark.sql("SELECT id AS o_orderkey, 1L AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, timestamp(date_add(DATE'1995-01-01', int(id))) AS o_orderdate, '1' AS o_orderpriority FROM range(91)")
+    customer = spark.sql("SELECT 1L AS c_custkey, 1 AS c_nationkey")
+    nation = spark.sql("SELECT 1 AS n_nationkey, 'N' AS n_name")
+    path = folder(orders=orders, customer=customer, nation=nation)
+    first = datetime.date(1995, 1, 1)
+    got = {r.d: (r.as_of, r.diff_days) for r in registry.nearest_rate(spark, path).collect()}
+    asked = [first + datetime.timedelta(i + 2) for i in range(91)]
+    last = first + datetime.timedelta(90)
+    assert got == {d: (min(d, last), (min(d, last) - d).days) for d in asked}
+    assert {(r.start.year, r.points) for r in registry.period_average(spark, path).collect()} == {(1995, 91), (1996, 0)}
+
+
+def test_every_event_is_a_fact_or_a_schedule(spark, folder):
+    rows = [(1, 1), (5, 1), (2, 3), (10, 5), (4, 7), (9, 9), (15, 9)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint").selectExpr("event_id", "TIMESTAMP'2024-01-01' AS ts", "user_id", "'click' AS event_type", "1.0D AS value", "'' AS props")
+    got = {r.ref: r.value for r in evidence.build_writes(spark, folder(events=events)).collect()}
+    assert got == {1: "1", 3: "2", 5: "s10", 7: "4", 9: "s15"}
