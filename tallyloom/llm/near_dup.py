@@ -2,8 +2,9 @@
 
 Documents are sets of five-word shingles; equal sets form classes. Each tree branches the classes by selected coordinates of
 their MinHash signatures: all classes that share a coordinate's value go to one child. Children of at most NODE_CLASSES
-classes are compared exhaustively on their signatures; larger ones branch again. Trees are repeated until a pair at the
-threshold is met with the target recall. Candidates are gathered in clusters, in which full sets decide; see exact_links.
+classes are compared exhaustively on their signatures; larger ones branch again, until none is large or its classes are alike.
+Trees are repeated until a pair at the threshold is met with the target recall at any depth. Candidates are gathered in
+clusters, in which full sets decide; see exact_links.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -27,11 +28,13 @@ SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 COORDINATES = 128
-TARGET_RECALL = 0.999999999
+#: Chance that the trees meet a pair at the threshold, however deep its nodes lie; pairs in small nodes miss by far less.
+TARGET_RECALL = 0.999999
 NODE_CLASSES = 128
-MOST_LEVELS = 5
-#: Shingles that one task compares on one side.
+MOST_LEVELS = 32
+#: Shingles that one task compares on one side, and classes: an eighth of a cluster within these bounds.
 BLOCK_SHINGLES = 200_000
+BLOCK_CLASSES = (256, 4096)
 PIVOTS = 4
 #: Bits of the filter on texts: at most 4,097 bitmaps of 4 KB are broadcast, 16 MB at every size of the input.
 FILTER_BITS = 1 << 27
@@ -39,18 +42,24 @@ _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, COORDINATES, dtype
 
 
 def second_branch(percent: int) -> float:
-    """Chance of a node's second coordinate: a document has 1 / similarity children on average."""
-    return min(1.0, 100 / percent - 1)
+    """Chance of a second coordinate below the root. A pair at the threshold so stays together with a chance that doesn't
+    fall with depth, while rows of nodes whose classes are less alike get fewer from level to level."""
+    return min(1.0, 2 * (100 / percent - 1))
 
 
-def trees_for(recall: float, percent: int) -> int:
-    """Trees after which a pair at the threshold is missed with at most 1 - recall, two levels deep."""
+def miss(percent: int) -> float:
+    """Chance that a tree of any depth parts a pair at the threshold; the root takes two coordinates."""
     p, s = second_branch(percent), percent / 100
     fail = 0.0
-    for _ in range(2):
+    for _ in range(200):
         x = 1 - s * (1 - fail)
         fail = (1 - p) * x + p * x * x
-    return math.ceil(math.log(1 - recall) / math.log(fail))
+    return (1 - s * (1 - fail)) ** 2
+
+
+def trees_for(recall: float, percent: int) -> int:
+    """Trees after which a pair at the threshold is missed with at most 1 - recall."""
+    return math.ceil(math.log(1 - recall) / math.log(miss(percent)))
 
 
 def least_agreement(percent: int) -> int:
@@ -109,13 +118,23 @@ def tag(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     return docs.select(*(f"`{c}`" for c in keep), F.col(text_col).alias("__nd_text")).mapInArrow(run, schema)
 
 
-def branch(rows: DataFrame, percent: int, with_sig: bool) -> DataFrame:
-    """The children of each (node, cid, sig): one or two coordinates a node, chosen by the node's hash."""
-    two = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(10_000)) < round(10_000 * second_branch(percent))
+def branch(rows: DataFrame, percent: int, root: bool) -> DataFrame:
+    """The children of each (node, cid, sig), chosen by the node's hash; the root's come without signatures."""
+    two = F.lit(True) if root else F.pmod(F.xxhash64("node", F.lit(7)), F.lit(10_000)) < round(10_000 * second_branch(percent))
     picks = F.explode(F.when(two, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     place = F.pmod(F.xxhash64("node", "pick", F.lit(11)), F.lit(COORDINATES)).cast("int")
     value = F.substring(F.col("sig"), place * 4 + 1, F.lit(4))
-    return rows.select("node", "cid", "sig", picks.alias("pick")).select(F.xxhash64("node", "pick", value).alias("node"), "cid", *(["sig"] if with_sig else []))
+    return rows.select("node", "cid", "sig", picks.alias("pick")).select(F.xxhash64("node", "pick", value).alias("node"), "cid", *([] if root else ["sig"]))
+
+
+def first_members(keys: DataFrame) -> DataFrame:
+    """(node, cids): the NODE_CLASSES + 1 smallest cids of each node (node, cid) that has more than one.
+
+    Ranks are limited in each task before rows are dealt by node, so a node of any size brings few rows.
+    """
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("cid"))
+    some = keys.select("node", "cid").withColumn("n", rank).where(F.col("n") <= NODE_CLASSES + 1)
+    return some.groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("cids")).where(F.size("cids") > 1)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -205,6 +224,7 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
 def dense_nodes(large: DataFrame, percent: int) -> DataFrame:
     """Rows of large nodes (node, cid, sig) with ``first``, and whether they agree with the node's first and last class."""
     heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.min_by("sig", "cid").alias("first_sig"), F.max_by("sig", "cid").alias("last_sig"))
+    heads = materialize(heads, "heads")
     at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
 
     def alike(other: str) -> Column:
@@ -217,29 +237,31 @@ def dense_nodes(large: DataFrame, percent: int) -> DataFrame:
 def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> DataFrame:
     """(a, b) candidate links between classes (cid, sig), from all trees.
 
-    In a larger node of which half or more look like its first or last class, branching would not part the copies: all its
-    classes are linked to the first, which is more than needed and decided on the full sets later. The same happens to what
-    is still larger after MOST_LEVELS levels.
+    Small nodes come from an aggregate that stops at NODE_CLASSES + 1 members; only rows of larger nodes are met again. In a
+    larger node of which half or more look like its first or last class, branching would not part the copies: all its
+    classes are linked to the first, which is more than needed and decided on the full sets later. The same would happen to
+    what is still larger after MOST_LEVELS levels.
     """
     trees = trees_for(recall, percent)
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
     smalls, edges = [], []
     for level in range(MOST_LEVELS):
-        keys = branch(rows, percent, with_sig=level > 0)  # only large nodes get here again
-        sizes = keys.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        shared = materialize(keys.join(sizes, "node"), "nodes")
-        smalls.append(shared.where(F.col("n") <= NODE_CLASSES).select(F.lit(level).alias("level"), "node", "cid"))
-        large = shared.where(F.col("n") > NODE_CLASSES)
-        if large.isEmpty():
+        keys = branch(rows, percent, root=level == 0)
+        shared = materialize(first_members(keys), "nodes")
+        smalls.append(shared.where(F.size("cids") <= NODE_CLASSES).select("cids"))
+        wide = shared.where(F.size("cids") > NODE_CLASSES).select("node")
+        if wide.isEmpty():
             break
+        large = passing(keys, wide, ["node"]).join(wide, "node", "left_semi")
         if level == 0:
-            large = large.join(classes.select("cid", "sig"), "cid")
-        tested = materialize(dense_nodes(large.select("node", "cid", "sig"), percent), "dense")
+            large = large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
+        tested = materialize(dense_nodes(materialize(large, "large-nodes"), percent), "dense")
         half = F.lit(True) if level == MOST_LEVELS - 1 else F.greatest(F.avg("f"), F.avg("l")) >= 0.5
         votes = materialize(tested.groupBy("node").agg(half.alias("dense")), "votes")
-        edges.append(tested.join(votes.where("dense").select("node"), "node").select(F.col("cid").alias("a"), F.col("first").alias("b")))
-        rows = tested.join(votes.where("not dense").select("node"), "node").select("node", "cid", "sig")
-    small = reduce(DataFrame.unionByName, smalls).groupBy("level", "node").agg(F.sort_array(F.collect_list("cid")).alias("cids"))
+        voted = tested.join(votes, "node")
+        edges.append(voted.where("dense").select(F.col("cid").alias("a"), F.col("first").alias("b")))
+        rows = voted.where("not dense").select("node", "cid", "sig")
+    small = reduce(DataFrame.unionByName, smalls)
     once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
     members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
     return reduce(DataFrame.unionByName, edges, candidate_edges(members, percent)).where("a <> b").distinct()
@@ -320,13 +342,15 @@ def verified_links(blocks: DataFrame, percent: int) -> DataFrame:
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect exactly what is linked within each cluster of ``members`` (cluster, cid, sig, shingles).
 
-    A cluster of up to BLOCK_SHINGLES shingles is one block. In a larger one, all classes are held against PIVOTS of them;
+    A cluster of few classes with up to BLOCK_SHINGLES shingles is one block. In a larger one, all classes are held against PIVOTS of them;
     those linked to the best pivot are one component, and only the rest asks, in blocks, against all blocks of the cluster.
     No task holds more than two blocks, and no pair is left out.
     """
-    totals = members.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("total"), *(F.min(F.struct(F.xxhash64("cid", F.lit(i)), "cid")).alias(f"p{i}") for i in range(PIVOTS)))
-    totals = materialize(totals.withColumn("blocks", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")), "clusters")
-    known = members.join(totals.select("cluster", "blocks"), "cluster")
+    totals = members.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("total"), F.count("*").alias("classes"), *(F.min(F.struct(F.xxhash64("cid", F.lit(i)), "cid")).alias(f"p{i}") for i in range(PIVOTS)))
+    side = F.least(F.greatest(F.col("classes") / 8, F.lit(BLOCK_CLASSES[0])), F.lit(BLOCK_CLASSES[1]))
+    totals = totals.withColumns({"side": side, "blocks": F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("classes") / side)).cast("int")})
+    totals = materialize(totals, "clusters")
+    known = members.join(totals.select("cluster", "blocks", "side"), "cluster")
     zero = F.lit(0)
     alone = known.where("blocks <= 1").select("cluster", zero.alias("x"), zero.alias("y"), F.lit(True).alias("ask"), F.lit(False).alias("joined"), "cid", "sig", "shingles")
     wide = totals.where("blocks > 1")
@@ -341,8 +365,9 @@ def exact_links(members: DataFrame, percent: int) -> DataFrame:
     best = tests.groupBy("cluster", "pivot").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("best"))
     star = materialize(tests.join(best, "cluster").where("pivot = best").select("cluster", "cid", "best"), "stars")
     marked = many.join(star.select("cluster", "cid", "best"), ["cluster", "cid"], "left").withColumn("joined", F.col("best").isNotNull())
-    marked = materialize(marked.select("cluster", "cid", "sig", "shingles", "blocks", "joined"), "large-clusters")
-    rest = marked.where("not joined").groupBy("cluster").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("asking"))
+    marked = materialize(marked.select("cluster", "cid", "sig", "shingles", "blocks", "side", "joined"), "large-clusters")
+    asking = F.greatest(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES), F.ceil(F.count("*") / F.first("side"))).cast("int")
+    rest = materialize(marked.where("not joined").groupBy("cluster").agg(asking.alias("asking")), "asking")
     held = marked.join(rest, "cluster")
     row, column = F.pmod(F.xxhash64("cid", F.lit(21)), F.col("asking")).cast("int"), F.pmod(F.xxhash64("cid", F.lit(22)), F.col("blocks")).cast("int")
     asks = held.where("not joined").select("cluster", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("x"), row.alias("y"), F.lit(True).alias("ask"), "joined", "cid", "sig", "shingles")
