@@ -10,19 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_LINES = 3
+from tallyloom.session import materialize
 
+WINDOW_LINES = 3
 
 
+def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", skip_blank: bool = False) -> DataFrame:
+    """(doc, digest, first, last): merged 0-based line spans of each document that repeat an earlier window.
 
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, digest, first, last): merged 0-based line spans of each document that repeat an earlier window."""
+    The first places of repeated windows are written before they are met again, so that both sides of that join are plain
+    shuffles and adaptive execution can split a window that very many documents share.
+    """
     lines = docs.select(
         F.col(id_col).alias("doc"),
         F.xxhash64(text_col).alias("digest"),
         F.split(F.col(text_col), "\n", -1).alias("lines"),
     ).where(F.size("lines") >= WINDOW_LINES)
-    hashed = lines.select("doc", "digest", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.trim(x) != "").alias("full"))).alias("h"))
+    hashed = lines.select("doc", "digest", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), ((F.trim(x) != "") | (not skip_blank)).alias("full"))).alias("h"))
 
     def window(i: Column) -> Column:
         part = [F.col("h")[i + j] for j in range(WINDOW_LINES)]
@@ -32,23 +36,24 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = F.sequence(F.lit(0), F.size("h") - WINDOW_LINES)
     windows = hashed.select("doc", "digest", F.explode(F.transform(at, window)).alias("w")).where("w is not null").select("doc", "digest", "w.*")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "digest", "pos")
-    firsts = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
+    firsts = windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("k1", "k2", "first"), "first-windows")
     later = windows.join(firsts, ["k1", "k2"]).where(place > F.col("first")).select("doc", "digest", "pos").distinct()
     by_doc = Window.partitionBy("doc", "digest").orderBy("pos")
     islands = later.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(by_doc), F.lit(-10)) + WINDOW_LINES).cast("int")).withColumn("island", F.sum("new").over(by_doc))
     return islands.groupBy("doc", "digest", "island").agg(F.min("pos").alias("first"), (F.max("pos") + (WINDOW_LINES - 1)).alias("last")).select("doc", "digest", "first", "last")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", skip_blank: bool = False) -> DataFrame:
     """``docs`` with the text's repeated windows removed, and ``n_lines``, ``n_removed``.
 
     Lines are split at U+000A. Two windows are equal if their lines' two 64-bit hashes are. Results by case: a null text
     stays null with 0 lines; an empty text is one empty line; under three lines nothing is removed; windows of blank lines
-    never count as repeats; rows with equal id and text are one document and get the same result; under one id, different
+    are windows like others unless ``skip_blank``; rows with equal id and text are one document and get the same result; under one id, different
     texts are ordered by hash; null ids come last. Every distinct line keeps its first occurrence. Other columns pass
     through; existing columns called n_lines or n_removed are replaced.
     """
-    found = duplicate_spans(docs, id_col, text_col).groupBy("doc", "digest").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__ld_spans"))
+    found = duplicate_spans(docs, id_col, text_col, skip_blank).groupBy("doc", "digest").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__ld_spans"))
     found = found.select(F.col("doc").alias("__ld_doc"), F.col("digest").alias("__ld_digest"), "__ld_spans")
     base = docs.drop("n_lines", "n_removed").withColumn("__ld_key", F.xxhash64(text_col))
     joined = base.join(found, base[id_col].eqNullSafe(F.col("__ld_doc")) & (F.col("__ld_key") == F.col("__ld_digest")), "left")

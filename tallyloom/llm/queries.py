@@ -97,7 +97,7 @@ windows AS (
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n
-  FROM windows WHERE c IS NOT NULL AND (trim(a) <> '' OR trim(b) <> '' OR trim(c) <> '')),
+  FROM windows WHERE c IS NOT NULL),
 covered AS (SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM ranked WHERE n > 1),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
