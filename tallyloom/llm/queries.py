@@ -56,8 +56,9 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, distance over the sign codes of all embeddings, a query's own row included."""
     rows = table(spark, sf_dir, "embeddings")
-    codes = rows.select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding")).alias("code"))
-    near = hamming_search.top_k(codes, codes.where(F.col("id") % QUERY_STEP == 0), NEIGHBOURS)
+    bits = hamming_search.dimension(rows)
+    codes = rows.select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding"), bits).alias("code"))
+    near = hamming_search.top_k(codes, codes.where(F.col("id") % QUERY_STEP == 0), NEIGHBOURS, bits)
     return near.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
