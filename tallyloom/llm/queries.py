@@ -46,8 +46,8 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
-        winnow.digest(F.col("prints")).alias("fingerprint"),
-        winnow.digest(F.col("edited_prints")).alias("edited_fingerprint"),
+        winnow.digest(F.col("prints"), F.col("prints_at")).alias("fingerprint"),
+        winnow.digest(F.col("edited_prints"), F.col("edited_prints_at")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

@@ -1,24 +1,29 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words (runs of bytes other than U+0020 and U+0009 to U+000D) are hashed; a rolling hash by cyclic shifts covers every
-GRAM_WORDS of them; of every WINDOW_GRAMS rolling hashes the smallest is kept, the rightmost on ties, with its position.
-Two texts that share a run of GRAM_WORDS + WINDOW_GRAMS - 1 words share a fingerprint.
+A text is cut into units: words (runs of characters other than U+0020 and U+0009 to U+000D), cut again behind digits, a few
+rare letters and signs, and characters of scripts that are written without spaces, so that long runs without blanks have many
+units too; texts under SHORT_CHARS code points are cut into code points. Units are hashed; a rolling hash by cyclic shifts
+covers every GRAM_UNITS of them; of every WINDOW_GRAMS rolling hashes the smallest is kept, the rightmost on ties, with its
+position. The first windows grow from one gram to WINDOW_GRAMS. Two texts that share a run of GRAM_UNITS + WINDOW_GRAMS - 1
+units share a fingerprint, as do two texts that begin with the same GRAM_UNITS units.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-GRAM_WORDS = 5
+GRAM_UNITS = 5
 WINDOW_GRAMS = 4
-#: A fingerprint is a long: 39 bits of hash above 24 bits that hold the position counted from the right end of its range.
-POSITION_BITS = 24
-TOP = (1 << POSITION_BITS) - 1
-HASH_MASK = (1 << 39) - 1
-SPACE = "[\\x20\\x09-\\x0D]+"
+SHORT_CHARS = 64
+UNIT_BREAK = r"[\x20\x09-\x0D]+|(?<=[0-9+/=_qQzZxXjJkKwW⺀-￿\x{10000}-\x{10FFFF}])"
+#: A window's order: 31 bits of a gram's hash above 32 bits that hold the position counted from the right.
+TOP = (1 << 32) - 1
+ORDER_BITS = (1 << 31) - 1
 DOCS_PER_RANGE = 2048
-MAX_RANGES = 10_000
+#: Boundaries of id ranges are found by two steps of at most RANGE_STEP comparisons.
+RANGE_STEP = 128
 
 
 def _rotate(c: Column, by: int) -> Column:
@@ -35,42 +40,38 @@ def _pairs(a: Column, ahead: int, other: Column, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), F.size(late)), late, f)
 
 
+def units(text: Column) -> Column:
+    cut = F.when(F.length(text) < SHORT_CHARS, F.split(text, "", -1)).otherwise(F.split(text, UNIT_BREAK, -1))
+    return F.filter(cut, lambda x: F.trim(x) != "")
+
+
 def with_fingerprints(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the distinct fingerprints of the text, in order of position, as an array of longs.
+    """``df`` with ``out``, the 64-bit hashes of the chosen grams in order of position, and ``out``_at, their positions.
 
-    A null text counts as empty. Without words the array is empty; with fewer than GRAM_WORDS words all words make one
-    gram; with fewer than WINDOW_GRAMS grams all grams make one window. Positions are word numbers from 0 (below 2**24).
+    Positions are numbers of units from 0; a gram that is chosen at several places is listed for each. A null text counts as
+    empty. Without units both arrays are empty; with fewer than GRAM_UNITS units all units make one gram.
     """
-    w, h, g = (f"__wn_{out}_{x}" for x in "whg")
-    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE, -1), lambda x: x != "")
-    df = df.withColumn(w, words)
-    df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-    rolled = F.col(h)
-    two, four = f"__wn_{out}_2", f"__wn_{out}_4"
-    df = df.withColumn(two, _pairs(rolled, 1, rolled, lambda a, b: _rotate(a, 1).bitwiseXOR(b)))
+    h, g, two, four = (f"__wn_{out}_{x}" for x in ("h", "g", "two", "four"))
+    empty = F.array().cast("array<bigint>")
+    df = df.withColumn(h, F.transform(units(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)))
+    df = df.withColumn(two, _pairs(F.col(h), 1, F.col(h), lambda a, b: _rotate(a, 1).bitwiseXOR(b)))
     df = df.withColumn(four, _pairs(F.col(two), 2, F.col(two), lambda a, b: _rotate(a, 2).bitwiseXOR(b)))
-    five = _pairs(F.col(four), 4, F.col(h), lambda a, b: _rotate(a, 1).bitwiseXOR(b))
-    short = F.when(F.size(h) > 0, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _rotate(a, 1).bitwiseXOR(x)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(g, F.when(F.size(h) >= GRAM_WORDS, five).otherwise(short))
-    df = df.withColumn(g, F.transform(g, lambda x, i: F.shiftleft(F.xxhash64(x).bitwiseAND(F.lit(HASH_MASK)), POSITION_BITS).bitwiseOR(F.lit(TOP) - i)))
-    df = df.withColumn(two, _pairs(F.col(g), 1, F.col(g), lambda a, b: F.least(a, b)))
-    least = _pairs(F.col(two), 2, F.col(two), lambda a, b: F.least(a, b))
-    few = F.when(F.size(g) > 0, F.array(F.array_min(g))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(out, F.array_distinct(F.when(F.size(g) >= WINDOW_GRAMS, least).otherwise(few)))
-    return df.drop(w, h, g, two, four)
-
-
-def hashes(prints: Column) -> Column:
-    return F.array_distinct(F.transform(prints, lambda x: F.shiftrightunsigned(x, POSITION_BITS)))
-
-
-def positions(prints: Column) -> Column:
-    return F.transform(prints, lambda x: (F.lit(TOP) - x.bitwiseAND(F.lit(TOP))).cast("int"))
-
-
-def digest(prints: Column) -> Column:
+    five = _pairs(F.col(four), 4, F.col(h), lambda a, b: F.xxhash64(_rotate(a, 1).bitwiseXOR(b)))
+    short = F.when(F.size(h) > 0, F.array(F.xxhash64(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _rotate(a, 1).bitwiseXOR(x))))).otherwise(empty)
+    df = df.withColumn(g, F.when(F.size(h) >= GRAM_UNITS, five).otherwise(short))
+    rank = F.transform(g, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(ORDER_BITS)), 32).bitwiseOR(F.lit(TOP) - i))
+    ahead = F.array_repeat(F.lit(2**63 - 1), WINDOW_GRAMS - 1)
+    df = df.withColumn(four, F.concat(ahead, rank))
+    df = df.withColumn(two, _pairs(F.col(four), 1, F.col(four), lambda a, b: F.least(a, b)))
+    chosen = F.array_distinct(_pairs(F.col(two), 2, F.col(two), lambda a, b: F.least(a, b)))
+    df = df.withColumn(f"{out}_at", F.transform(chosen, lambda x: (F.lit(TOP) - x.bitwiseAND(F.lit(TOP))).cast("int")))
+    df = df.withColumn(out, F.transform(f"{out}_at", lambda i: F.get(F.col(g), i)))
+    return df.drop(h, g, two, four)
+
+
+def digest(prints: Column, at: Column) -> Column:
     """Lower-case hex SHA-256 of the fingerprints with their positions."""
-    return F.sha2(F.array_join(F.transform(prints, lambda x: F.hex(x)), ""), 256)
+    return F.sha2(F.array_join(F.zip_with(prints, at, lambda x, i: F.concat(F.hex(x), F.lit("@"), i.cast("string"))), " "), 256)
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -82,49 +83,65 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def _ranges(docs: DataFrame, id_col: str) -> list[int]:
-    """Boundaries that deal ids into ranges of about DOCS_PER_RANGE rows; at most MAX_RANGES numbers reach the driver."""
+    """Boundaries that deal ids into ranges of about DOCS_PER_RANGE rows; at most RANGE_STEP ** 2 numbers reach the driver."""
     n = docs.count()
-    parts = max(1, min(MAX_RANGES, n // DOCS_PER_RANGE))
+    parts = max(1, min(RANGE_STEP**2, n // DOCS_PER_RANGE))
     if parts == 1:
         return []
     at = docs.agg(F.percentile_approx(id_col, F.array(*(F.lit(i / parts) for i in range(1, parts))), 10 * parts).alias("at")).first()["at"]
     return sorted(set(at or []))
 
 
+def _part(id_: Column, cuts: list[int]) -> Column:
+    """The range of an id, by comparison with every RANGE_STEP-th boundary and then with those that follow it."""
+    rows = [cuts[i : i + RANGE_STEP] for i in range(0, len(cuts), RANGE_STEP)]
+    if not rows:
+        return F.lit(0)
+    below = lambda c: F.size(F.filter(c, lambda x: x <= id_))
+    longs = lambda x: F.array(*(F.lit(c).cast("long") for c in x))
+    row = F.greatest(below(longs([r[0] for r in rows])) - 1, F.lit(0))
+    return F.when(id_.isNull(), F.lit(0)).otherwise(row * RANGE_STEP + below(F.get(F.array(*map(longs, rows)), row)))
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text, and the fingerprints of both) with the document that follows by id; the first follows the last.
+    """(id, text, prints, prints_at, next_text, next_prints) with the document that follows by id; the first follows the last.
 
-    Documents are dealt into ranges of ids. The first document of each range, one row a range, is read again for the range
-    before. Null ids come first; rows of one id are ordered by the hash of their text.
+    Documents are dealt into ranges of ids. What follows a range's last document is found among the ranges' first ids alone,
+    a row a range, and only those documents' texts are read again. Null ids come first; rows of one id are ordered by the
+    hash of their text. Ids have to be whole numbers.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to be a column of whole numbers")
     cuts = _ranges(docs, id_col)
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cut = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    keyed = slim.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cut, lambda c: c <= F.col("id")))))
-    order = F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("i"), F.col("id").isNotNull().alias("n"), F.xxhash64("text").alias("h"))
-    first = keyed.groupBy("part").agg(F.min_by("text", order).alias("head_text"))
-    turn = Window.orderBy("part")
-    ahead = first.select("part", F.lead("head_text").over(turn).alias("after"))
-    opening = first.agg(F.min_by("head_text", "part").alias("opening"))
-    edge = with_fingerprints(ahead.crossJoin(F.broadcast(opening)).select(F.col("part").alias("edge_part"), F.coalesce("after", "opening").alias("edge_text")), "edge_text", "edge_prints")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = slim.withColumns({"key": F.xxhash64("text"), "part": _part(F.col("id"), cuts)})
+    order = F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"), "key")
+    heads = keyed.groupBy("part").agg(F.min(order).alias("head"))
+    turn, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = heads.select(F.col("part").alias("edge_part"), F.coalesce(F.lead("head").over(turn), F.first("head").over(whole)).alias("e"))  # one row a range
+    found = slim.withColumn("key", F.xxhash64("text")).withColumn("o", order).join(F.broadcast(after), F.col("o") == F.col("e"))
+    edge = with_fingerprints(found.groupBy("edge_part").agg(F.first("text").alias("edge_text")), "edge_text", "edge_prints")
     dealt = with_fingerprints(keyed.repartition("part"), "text", "prints")
-    by = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    by = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), "key")
     led = dealt.withColumns({"next": F.lead(F.struct("text", "prints")).over(by)})
     out = led.join(edge, F.col("part") == F.col("edge_part"), "left")
-    return out.select("id", "text", "prints", F.coalesce(F.col("next.text"), F.when(F.col("next").isNull(), F.col("edge_text"))).alias("next_text"), F.when(F.col("next").isNotNull(), F.col("next.prints")).otherwise(F.col("edge_prints")).alias("next_prints"))
+    last = F.col("next").isNull()
+    return out.select("id", "text", "prints", "prints_at", F.when(last, F.col("edge_text")).otherwise(F.col("next.text")).alias("next_text"), F.when(last, F.col("edge_prints")).otherwise(F.col("next.prints")).alias("next_prints"))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each document, of its edited text and of the next document, with their likeness.
 
     The edited text has the last floor(n/4) code points replaced by as many first code points of the next document, or by
-    all it has. Cases: null text is empty; equal rows follow each other; an empty table gives no rows. Extra columns of the
-    input aren't read. Returns id_col, n_chars, edited_text, prints, edited_prints, near_edited, near_next.
+    all it has. Cases: null text is empty; a text without units has no fingerprints, two such texts are alike (1); under
+    about seven units the edit may change every gram (likeness 0); equal rows follow each other; an empty table gives no
+    rows; texts of any length are read whole. Extra columns of the input, whatever their names, aren't read. Returns id_col,
+    n_chars, edited_text, prints, prints_at, edited_prints, edited_prints_at, near_edited, near_next.
     """
     rows = neighbours(docs, id_col, text_col)
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     rows = with_fingerprints(rows.withColumn("edited_text", edited), "edited_text", "edited_prints")
-    rows = rows.withColumns({"__a": hashes(F.col("prints")), "__b": hashes(F.col("edited_prints")), "__c": hashes(F.col("next_prints"))})
+    rows = rows.withColumns({"__a": F.array_distinct("prints"), "__b": F.array_distinct("edited_prints"), "__c": F.array_distinct("next_prints")})
     rows = with_likeness(with_likeness(rows, "__a", "__b", "near_edited"), "__a", "__c", "near_next")
-    return rows.select(F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), "edited_text", "prints", "edited_prints", "near_edited", "near_next")
+    return rows.select(F.col("id").alias(id_col), F.length("text").cast("long").alias("n_chars"), "edited_text", "prints", "prints_at", "edited_prints", "edited_prints_at", "near_edited", "near_next")
