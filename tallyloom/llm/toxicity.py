@@ -114,9 +114,9 @@ def text_features(raw: np.ndarray, off: np.ndarray, words: np.ndarray, weights:
 def learn_lexicon(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the words that mark toxic texts, by smoothed log odds of document frequencies.
 
-    ``parts`` are chunks of texts (bytes, offsets, labels); only their word counts are kept.
+    ``parts`` are chunks of texts (bytes, offsets, labels); only their word counts are kept. No texts give no words.
     """
-    found, bad, all_of, toxic, clean = [], [], [], 0.0, 0.0
+    found, bad, all_of, toxic, clean = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.int64)], 0.0, 0.0
     for raw, off, y in parts:
         hashed, doc, _ = _words(T.LOWER[raw], off)
         order = np.lexsort((hashed, doc))
@@ -136,9 +136,12 @@ def learn_lexicon(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic boosting of complete trees over histogram bins: features, cuts and leaf values, a row a tree."""
+    """Logistic boosting of complete trees over histogram bins: features, cuts and leaf values, a row a tree.
+
+    Without rows all values are 0.
+    """
     base = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(x.shape[1])], 1)
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     feature, cut, value = np.zeros((TREES, inner), np.int64), np.full((TREES, inner), np.inf), np.zeros((TREES, leaves))
@@ -178,7 +181,10 @@ def raw_score(x: np.ndarray, m: Model) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of the best rising fit of y to x."""
+    """Pool adjacent violators: knots of the best rising fit of y to x. Without rows, knots of the logistic function."""
+    if not len(x):
+        knots = np.linspace(-8, 8, 65)
+        return knots, 1 / (1 + np.exp(-knots))
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []  # first x, last x, sum, count
     for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
@@ -192,7 +198,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], y: np.ndarray) -> Model | None:
-    """Fit lexicon, trees and calibration on parts of 40, 40 and 20 percent of the texts; None without both labels."""
+    """Fit lexicon, trees and calibration on parts of 40, 40 and 20 percent of the texts, however many there are.
+
+    None without both labels.
+    """
     if not len(y) or y.min() == y.max():
         return None
     part = np.arange(len(y)) % 5
@@ -203,9 +212,10 @@ def train(texts: list[str], y: np.ndarray) -> Model | None:
             own = [texts[j].encode("utf-8", "surrogatepass") for j in at[i : i + TRAIN_CHUNK]]
             yield np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in own]))).astype(np.int64), y[at[i : i + TRAIN_CHUNK]]
 
-    a, b, c = (part < 2, (part == 2) | (part == 3), part == 4) if len(y) >= 50 else (part < 9, part < 9, part < 9)
+    a, b, c = part < 2, (part == 2) | (part == 3), part == 4
     words, weights = learn_lexicon(chunks(a))
-    table = lambda which: np.vstack([text_features(raw, off, words, weights) for raw, off, _ in chunks(which)])
+    none = np.zeros((0, len(FEATURES)))
+    table = lambda which: np.vstack([none, *(text_features(raw, off, words, weights) for raw, off, _ in chunks(which))])
     feature, cut, value, base = boost(table(b), y[b])
     m = Model(words, weights, feature, cut, value, base, np.zeros(1), np.zeros(1))
     m.xs, m.ys = isotonic(raw_score(table(c), m), y[c])
@@ -231,8 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep``, ``score`` (probability of label 1) and ``predicted`` (1 from 0.5 on).
 
-    A null text counts as empty and is scored like any text; without a model all scores are 0. Columns of these names in
-    the input are replaced.
+    Cases: a null text counts as empty and is scored like any text; without a model all scores are 0; equal texts get equal
+    scores; a text of any length is read whole; an empty table gives no rows. Other columns aren't read; input columns of
+    these names are replaced.
     """
     keep = [c for c in keep if c not in ("score", "predicted")]
     schema = type(docs.schema)([docs.schema[c] for c in keep]).add("score", "double")
