@@ -2,7 +2,7 @@
 
 Words (runs of letters) have affix, character n-gram and lexicon features; transitions between neighbouring words are
 learned with them. Forward-backward gives each word its label probabilities, also within code-switched texts; a document
-gets the label with the largest expected share of its words.
+gets the label with the largest expected share of its letters.
 """
 
 from __future__ import annotations
@@ -28,9 +28,6 @@ SEQUENCES, LENGTH, STEPS, RATE, DECAY = 1500, 48, 60, 0.3, 1e-5
 LEXICON_WORDS = 400
 BLOCK = 64
 STORE_WORDS = 300_000
-EDGE = 24
-EDGE_WORDS = 12
-EDGE_WEIGHTS = (0.0, 0.2, 0.4, 0.6, 0.8)
 
 
 @dataclass
@@ -40,7 +37,6 @@ class Crf:
     moves: np.ndarray
     lexicon: np.ndarray
     lexicon_label: np.ndarray
-    edge: float
 
 
 @lru_cache(maxsize=1)
@@ -54,18 +50,12 @@ def lower_case() -> np.ndarray:
 
 
 def padded(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words cp[start:end] in lower case between the marks 1 and 2, one after another, with their starts and sizes.
-
-    Of words longer than 2 * EDGE, the EDGE letters at either end.
-    """
-    size = ends - starts
-    n = np.minimum(size, 2 * EDGE)
-    at = T.spans(starts, n)
-    at += np.repeat(size - n, n) * (at - np.repeat(starts, n) >= EDGE)
+    """The words cp[start:end] in lower case between the marks 1 and 2, one after another, with their starts and sizes."""
+    n = ends - starts
     begin = np.cumsum(n + 2) - (n + 2)
     flat = np.full(int((n + 2).sum()), 2, np.uint64)
     flat[begin] = 1
-    flat[T.spans(begin + 1, n)] = lower_case()[cp[at]]
+    flat[T.spans(begin + 1, n)] = lower_case()[cp[T.spans(starts, n)]]
     return flat, begin, n + 2
 
 
@@ -142,8 +132,7 @@ def train(texts: list[str], names: list[str], seed: int = 3) -> Crf | None:
     """Fit a field on texts with one language each; None if no text has a letter.
 
     Training sequences splice spans of different documents, so that the transitions see texts that switch language. Weights
-    are fitted by Adam on the exact gradient: expected minus observed features and moves. Last, the weight of a document's
-    first and last words in its label is chosen on the same texts, since passages in another language stand within a text.
+    are fitted by Adam on the exact gradient: expected minus observed features and moves.
     """
     blobs = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw, off = np.frombuffer(b"".join(blobs), np.uint8), np.concatenate(([0], np.cumsum([len(b) for b in blobs]))).astype(np.int64)
@@ -194,11 +183,7 @@ def train(texts: list[str], names: list[str], seed: int = 3) -> Crf | None:
         grad = np.concatenate((grad_w.ravel(), (moves - seen).ravel())) / SEQUENCES + DECAY * theta
         one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad * grad
         theta -= RATE * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
-    model = Crf(labels, theta[: FEATURES * k].reshape(FEATURES, k), theta[FEATURES * k :].reshape(k, k), lexicon, lexicon_label, 0.0)
-    whole, ends_only = Tagger(model).shares(raw, off)
-    right = [float((((1 - x) * whole + x * ends_only).argmax(1) == langs)[some].mean()) for x in EDGE_WEIGHTS]
-    model.edge = EDGE_WEIGHTS[int(np.argmax(right))]
-    return model
+    return Crf(labels, theta[: FEATURES * k].reshape(FEATURES, k), theta[FEATURES * k :].reshape(k, k), lexicon, lexicon_label)
 
 
 def word_probabilities(e: np.ndarray, off: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -256,48 +241,67 @@ def word_probabilities(e: np.ndarray, off: np.ndarray, moves: np.ndarray) -> np.
 
 
 class Tagger:
-    """Word and document labels of a chunk of texts; keeps the potentials of the words met so far."""
+    """Word and document labels of a chunk of texts; keeps the potentials of the words met so far.
+
+    Words are found by their 64-bit hashes and confirmed by their letters.
+    """
 
     def __init__(self, model: Crf) -> None:
         self.model = model
-        self.known, self.pot = np.zeros(0, np.uint64), np.zeros((0, len(model.labels)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pot = np.zeros((0, len(self.model.labels)))
+        self.letters, self.letters_at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        first = len(self.pot)
+        score = potentials(self.model.weights, *features(*padded(cp, starts, ends), self.model.lexicon, self.model.lexicon_label), len(starts))
+        self.pot = np.concatenate((self.pot, np.exp(score - score.max(1, keepdims=True)) + 1e-12))
+        size = ends - starts
+        self.letters_at = np.concatenate((self.letters_at, len(self.letters) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.letters = np.concatenate((self.letters, cp[T.spans(starts, size)]))
+        return np.arange(first, len(self.pot))
 
     def potentials(self, raw: np.ndarray, at: np.ndarray, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         found, where, back = np.unique(T.run_hashes(raw, at[starts], at[ends]), return_index=True, return_inverse=True)
-        if len(self.known) > STORE_WORDS:
-            self.known, self.pot = self.known[:0], self.pot[:0]
-        row = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
-        fresh = np.flatnonzero(self.known[row] != found) if len(self.known) else np.arange(len(found))
+        if len(self.pot) > STORE_WORDS:
+            self.clear()
+        place = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+        fresh = np.flatnonzero(self.known[place] != found) if len(self.known) else np.arange(len(found))
         if len(fresh):
-            part = padded(cp, starts[where[fresh]], ends[where[fresh]])
-            score = potentials(self.model.weights, *features(*part, self.model.lexicon, self.model.lexicon_label), len(fresh))
-            pot = np.exp(score - score.max(1, keepdims=True)) + 1e-12
-            known, pots = np.concatenate((self.known, found[fresh])), np.concatenate((self.pot, pot))
+            rows = self.add(cp, starts[where[fresh]], ends[where[fresh]])
+            known = np.concatenate((self.known, found[fresh]))
             order = np.argsort(known, kind="stable")
-            self.known, self.pot = known[order], pots[order]
-            row = np.searchsorted(self.known, found)
-        return self.pot[row[back]]
-
-    def shares(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected share of each label in the words of each document, and in its first and last EDGE_WORDS words."""
+            self.known, self.row = known[order], np.concatenate((self.row, rows))[order]
+            place = np.searchsorted(self.known, found)
+        row = self.row[place][back]
+        other = T.unlike(cp, starts, ends - starts, self.letters, self.letters_at[row], self.size[row])
+        if len(other):
+            row[other] = self.add(cp, starts[other], ends[other])
+        return self.pot[row]
+
+    def tags(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label probabilities of all words of a chunk, their letters, and the documents' offsets into the words."""
         k, n = len(self.model.labels), len(off) - 1
+        nothing = np.zeros((0, k)), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if not len(raw):
-            return np.zeros((n, k)), np.zeros((n, k))
+            return nothing
         cp, at, rows = T.code_points(raw, off)
         starts, ends, doc = T.runs(T.code_point_classes()[cp] == T.LETTER, rows)
         if not len(starts):
-            return np.zeros((n, k)), np.zeros((n, k))
+            return nothing
         words = np.searchsorted(doc, np.arange(n + 1))
-        gamma = word_probabilities(self.potentials(raw, at, cp, starts, ends), words, self.model.moves)
-        total = np.vstack((np.zeros(k), np.cumsum(gamma, axis=0)))
-        a, b = words[:-1], words[1:]
-        near = np.minimum(b - a, EDGE_WORDS)
-        sides = total[a + near] - total[a] + total[b] - total[b - near]
-        return (total[b] - total[a]) / np.maximum(b - a, 1)[:, None], sides / np.maximum(2 * near, 1)[:, None]
+        return word_probabilities(self.potentials(raw, at, cp, starts, ends), words, self.model.moves), ends - starts, words
 
-    def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        whole, sides = self.shares(raw, off)
-        return (1 - self.model.edge) * whole + self.model.edge * sides
+    def shares(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Expected share of each label in the letters of each document; zeros without letters."""
+        gamma, letters, words = self.tags(raw, off)
+        total = np.vstack((np.zeros(gamma.shape[1]), np.cumsum(gamma * letters[:, None], axis=0)))
+        count = np.concatenate(([0], np.cumsum(letters)))
+        return (total[words[1:]] - total[words[:-1]]) / np.maximum(count[words[1:]] - count[words[:-1]], 1)[:, None]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf | None:
@@ -310,10 +314,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Crf | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, ``lang_pred`` and ``score`` (the label's expected share of the words, see train).
+    """Columns ``keep``, ``lang_pred`` and ``score``: the label's expected share of the letters of the whole text.
 
-    A null text or one without a letter gets ``und`` and 0, as does every text if there is no model. Ties go to the label
-    first in code point order. Columns of these names in the input are replaced.
+    Cases: a null text or one without a letter gets ``und`` and 0, as does every text if there is no model; ties go to the
+    label first in code point order; equal texts get equal labels and scores; a text of any length is read whole, also where
+    it is one word; an empty table gives no rows. Other columns aren't read; input columns of these names are replaced.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     schema = type(docs.schema)([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double")
@@ -325,7 +330,7 @@ def predict(docs: DataFrame, model: Crf | None, keep: list[str], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in T.chunks(batches, "__li_text"):
-            share = tagger.scores(*T.utf8(batch.column(batch.schema.get_field_index("__li_text"))))
+            share = tagger.shares(*T.utf8(batch.column(batch.schema.get_field_index("__li_text"))))
             best, some = share.argmax(1), share.sum(1) > 0
             langs = [tagger.model.labels[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.minimum(share.max(1), 1.0), 0.0)

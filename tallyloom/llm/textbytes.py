@@ -102,6 +102,16 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ahead, sizes) + np.arange(total)
 
 
+def unlike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """The places at which the runs of ``a`` and ``b`` differ in length or content."""
+    wrong = a_size != b_size
+    same = np.flatnonzero(~wrong)
+    size = a_size[same]
+    off = np.flatnonzero(a[spans(a_at[same], size)] != b[spans(b_at[same], size)])
+    wrong[same[np.searchsorted(np.cumsum(size), off, "right")]] = True
+    return np.flatnonzero(wrong)
+
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points with the Unicode property White_Space; fixed values.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
