@@ -6,37 +6,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of printed cells, and letters that make a cell textual; fixed values.
+BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+TEXT_LETTER = r"[A-Za-z\x{00C0}-\x{024F}\x{0600}-\x{06FF}\x{4E00}-\x{9FFF}]"
+
+
 def parse_number(c: Column) -> Column:
     """A printed amount as DOUBLE: parentheses, a trailing minus and CR are negative, the later of two separators is decimal.
 
-    A lone comma with one or two digits behind it is decimal, other commas part thousands. NULL if no number is there.
+    Everything but digits, separators and minus is dropped, so currency signs and codes don't matter (the dot of an
+    abbreviation counts as a separator). A lone comma with one or two digits behind it is decimal, other commas part
+    thousands. What follows a second decimal point is left out. NULL if no number is there.
     """
-    t = F.regexp_replace(F.upper(F.trim(c)), r"[\s\x{00A0}']", "")
-    negative = t.rlike(r"^\(.*\)$") | t.rlike("CR$") | t.rlike("-$") | t.rlike("^-")
-    bare = F.regexp_replace(F.regexp_replace(t, "(CR|DR)$", ""), "[()$-]", "")
+    t = F.regexp_replace(F.regexp_replace(c, BLANK, ""), "'", "")
+    negative = t.rlike(r"^\(.*\)$") | t.rlike("(?i)CR$") | F.regexp_replace(t, "[^0-9.,-]", "").rlike("-$")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?i)(CR|DR)$", ""), "[^0-9.,-]", ""), "-+$", "")
     dot, comma = F.length(bare) - F.locate(".", F.reverse(bare)) + 1, F.length(bare) - F.locate(",", F.reverse(bare)) + 1
     has_dot, has_comma = F.contains(bare, F.lit(".")), F.contains(bare, F.lit(","))
-    decimal_comma = (has_dot & has_comma & (comma > dot)) | (~has_dot & bare.rlike(r"^[^,]*,[0-9]{1,2}$"))
-    plain = F.when(decimal_comma, F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    value = F.regexp_extract(plain, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
+    late_comma = has_dot & has_comma & (comma > dot)
+    lone_comma = ~has_dot & bare.rlike(r"^[^,]*,[0-9]{1,2}$")
+    # behind a decimal comma that comes last there is no other separator to read, so only the first comma turns
+    plain = F.when(late_comma | lone_comma, F.regexp_replace(F.replace(bare, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")).otherwise(F.replace(bare, F.lit(","), F.lit("")))
+    value = F.regexp_extract(plain, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("double")
     return F.when(negative, -value).otherwise(value)
 
 
 def strict_number(c: Column) -> Column:
-    """parse_number, but NULL where the cell carries words other than CR or DR."""
-    words = F.regexp_replace(F.upper(c), r"\b(CR|DR)\b", "").rlike(r"\p{L}")
-    return F.when(~words & c.rlike("[0-9]"), parse_number(c))
+    """parse_number, but NULL where the cell carries letters other than a final CR or DR."""
+    shape = c.rlike(rf"(?i)^{BLANK}*\(?{BLANK}*-?(?:[0-9.,']|{BLANK})+\)?{BLANK}*(?:CR|DR)?{BLANK}*/?{BLANK}*$") & c.rlike("[0-9]")
+    return F.when(shape | ~c.rlike(TEXT_LETTER), parse_number(c))
+
+
+def is_textual(c: Column) -> Column:
+    """Letters, and not a strict number; false for null."""
+    return F.coalesce(c.rlike(TEXT_LETTER) & strict_number(c).isNull(), F.lit(False))
+
+
+def loose_number(c: Column) -> Column:
+    """parse_number without a " / X" code behind; NULL for what looks like a date."""
+    bare = F.regexp_replace(c, r"\s*/\s*[A-Za-z]\s*$", "")
+    return F.when(~bare.rlike(r"[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}"), parse_number(bare))
 
 
 def sign_for_label(label: Column) -> Column:
-    """-1 for deductions and accumulated depreciation, else 1."""
+    """-1 for deductions, accumulated depreciation and allowances or provisions for bad debts, else 1."""
     low = F.lower(label)
-    return F.when(low.rlike(r"^less[^a-z]|accumulated (depreciation|amorti[sz]ation|depletion)|allowance for (bad|doubtful)"), -1).otherwise(1)
+    return F.when(low.rlike(r"^less\b|\baccumulated (depreciation|amorti[sz]ation|depletion)\b|\b(allowance|provision) for (bad|doubtful)\b"), -1).otherwise(1)
 
 
 def tax_book_value(value: Column) -> Column:
-    """Tax lines are booked negative."""
-    return -F.abs(value)
+    """Tax lines are booked negative: positive amounts turn."""
+    return F.when(value > 0, -value).otherwise(value)
 
 
 def norm(c: Column) -> Column:
@@ -44,7 +64,13 @@ def norm(c: Column) -> Column:
 
 
 def norm_caption(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    """Lower-case ASCII letters and digits with single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", ""), r"\s+", " "))
+
+
+def norm_profile(c: Column) -> Column:
+    """norm without punctuation at the end."""
+    return F.trim(F.regexp_replace(norm(c), r"[\s:：.,;*]+$", ""))
 
 
 def js_round(c: Column, places: int = 0) -> Column:
@@ -63,9 +89,9 @@ def year_before(d: Column) -> Column:
 
 
 def clean_percent(c: Column) -> Column:
-    """A share up to 1 or a percentage up to 100, as percent with two places; else NULL."""
-    n = F.replace(F.trim(c), F.lit("%"), F.lit("")).try_cast("double")
-    p = F.when((n <= 1) & ~F.contains(c, F.lit("%")), n * 100).otherwise(n)
+    """A share above 0 and up to 1, with or without a percent sign, or a percentage up to 100, as percent with two places; else NULL."""
+    n = F.trim(F.replace(F.trim(c), F.lit("%"), F.lit(""))).try_cast("double")
+    p = F.when((n > 0) & (n <= 1), n * 100).otherwise(n)
     return F.when((p >= 0) & (p <= 100), js_round(p, 2))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import norm
+
 
 def rate_chain(asked: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """``asked`` (code, year) with rate and source of the first source (code, year, rate) that has a rate; else both null."""
@@ -52,8 +54,9 @@ def filter_supported(docs: DataFrame, extensions: list[str], most_bytes: int) ->
 
 def learn_rules(rules: DataFrame, assigned: DataFrame) -> DataFrame:
     """Rules (kw, target) with assigned captions of three letters or more that no rule has yet; the smallest target wins."""
-    new = assigned.select(F.lower(F.trim("kw")).alias("kw"), "target").where("length(kw) >= 3").groupBy("kw").agg(F.min("target").alias("target"))
-    return rules.select("kw", "target").unionByName(new.join(rules.select("kw"), "kw", "left_anti"))
+    new = assigned.select(norm(F.col("kw")).alias("kw"), "target").where("length(kw) >= 3").groupBy("kw").agg(F.min("target").alias("target"))
+    known = rules.select(norm(F.col("kw")).alias("kw")).distinct()
+    return rules.select("kw", "target").unionByName(new.join(known, "kw", "left_anti"))
 
 
 def portfolio_rollup(entities: DataFrame, orders: DataFrame) -> DataFrame:

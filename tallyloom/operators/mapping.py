@@ -5,25 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import js_round
+from tallyloom.functions.scalars import js_round, norm
 
 #: Keywords of at least so many letters also match with up to three more letters behind them.
 STEM_LETTERS = 5
-RULE_BROADCAST = 20_000
+STEM_TAIL = 3
+#: Keywords with a character beyond this one match wherever they stand.
+LAST_LATIN = "\u024f"
+
+
+def rule_patterns(rules: DataFrame) -> DataFrame:
+    """Rules (rule_ord, kw_ord, kw, target) with ``low``, ``pattern`` (null where the keyword has only to be contained) and
+    ``key``: the keyword's first word with a "w" before, or its first character with a "c" before."""
+    low = F.lower("kw")
+    escaped = F.regexp_replace(low, r"([\\.*+?^${}()|\[\]])", r"\\$1")
+    tail = F.when(F.length(low) >= STEM_LETTERS, F.lit(rf"\p{{L}}{{0,{STEM_TAIL}}}")).otherwise(F.lit(""))
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}])"), escaped, tail, F.lit(r"($|[^\p{L}\p{N}])"))
+    within = low.rlike(f"[^\\x00-{LAST_LATIN}]")
+    word = F.regexp_extract(low, r"^[\p{L}\p{N}]+", 0)
+    key = F.when(within | (word == ""), F.concat(F.lit("c"), F.substring(low, 1, 1))).otherwise(F.concat(F.lit("w"), word))
+    return rules.where(low != "").select("rule_ord", "kw_ord", "target", low.alias("low"), F.when(~within, pattern).alias("pattern"), key.alias("key"))
 
 
 def match_rules(captions: DataFrame, rules: DataFrame) -> DataFrame:
     """``captions`` with ``target`` of the longest keyword in the label; ties go to the first rule and keyword.
 
-    Distinct labels are matched, with the rule table broadcast if it has at most RULE_BROADCAST rows.
+    Keywords stand between characters that are neither letters nor digits, those of STEM_LETTERS or more with up to STEM_TAIL
+    letters more; keywords in other scripts than Latin match wherever they stand. Distinct labels meet rules in an equi-join
+    on the keyword's first word (or, without one, character); only what meets is tested. The answer joins back by label.
     """
-    stem = F.when(F.length("kw") >= STEM_LETTERS, F.lit("[a-z]{0,3}")).otherwise(F.lit(""))
-    patterns = rules.withColumn("pattern", F.concat(F.lit("(^|[^a-z0-9])"), F.lower("kw"), stem, F.lit("([^a-z0-9]|$)")))
-    small = F.broadcast(patterns) if rules.count() <= RULE_BROADCAST else patterns
-    labels = captions.select(F.lower("label").alias("low")).distinct()
-    hits = labels.join(small, F.expr("low rlike pattern"))
-    best = hits.groupBy("low").agg(F.max_by("target", F.struct(F.length("kw"), -F.col("rule_ord"), -F.col("kw_ord"))).alias("target"))
-    return captions.join(best, F.lower(captions["label"]) == best["low"], "left").drop("low")
+    labels = captions.select(F.lower("label").alias("label")).where("label is not null").distinct()
+    words = F.array_distinct(F.regexp_extract_all("label", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    stems = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.least(F.lit(STEM_TAIL), F.length(w) - 1)), lambda i: F.concat(F.lit("w"), F.left(w, F.length(w) - i)))))
+    chars = F.transform(F.array_distinct(F.filter(F.split("label", ""), lambda x: x != "")), lambda x: F.concat(F.lit("c"), x))
+    asked = labels.withColumn("key", F.explode(F.array_distinct(F.concat(stems, chars))))
+    hits = asked.join(rule_patterns(rules), "key").where(F.when(F.col("pattern").isNull(), F.contains("label", "low")).otherwise(F.regexp_like("label", F.col("pattern"))))
+    best = hits.groupBy("label").agg(F.max_by("target", F.struct(F.length("low"), -F.col("rule_ord"), -F.col("kw_ord"))).alias("target"))
+    return captions.join(best.withColumnRenamed("label", "__label"), F.lower(captions["label"]) == F.col("__label"), "left").drop("__label")
 
 
 def skip_subtotals(matched: DataFrame) -> DataFrame:
@@ -32,8 +50,8 @@ def skip_subtotals(matched: DataFrame) -> DataFrame:
 
 def apply_overrides(matched: DataFrame, overrides: DataFrame) -> DataFrame:
     """A user's target for a caption beats the rule; a null target unassigns it."""
-    own = overrides.select("entity_id", F.lower("label").alias("__low"), F.col("target").alias("__own"), F.lit(True).alias("__has"))
-    joined = matched.withColumn("__key", F.lower("label")).join(own.withColumnRenamed("entity_id", "__entity"), (F.col("entity_id") == F.col("__entity")) & (F.col("__key") == F.col("__low")), "left")
+    own = overrides.select("entity_id", norm(F.col("label")).alias("__low"), F.col("target").alias("__own"), F.lit(True).alias("__has"))
+    joined = matched.withColumn("__key", norm(F.col("label"))).join(own.withColumnRenamed("entity_id", "__entity"), (F.col("entity_id") == F.col("__entity")) & (F.col("__key") == F.col("__low")), "left")
     return joined.withColumn("target", F.when(F.col("__has"), F.col("__own")).otherwise(F.col("target"))).drop("__key", "__low", "__own", "__has", "__entity")
 
 

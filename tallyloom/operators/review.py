@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many policies go along with every row; more are joined.
+POLICY_ROWS = 2_000
+
+
+def _policy_hits(id_: Column, category: Column, message: Column, p: Column) -> Column:
+    """Whether a policy holds: by its first criterion that is set, id, else category, else message; none never holds."""
+    text = F.when(p["regex"], F.regexp_like(message, F.concat(F.lit("(?i)"), p["m_message"]))).otherwise(F.contains(F.lower(message), F.lower(p["m_message"])))
+    given = lambda x: F.coalesce(x != "", F.lit(False))
+    hit = F.when(given(p["m_id"]), id_.cast("string") == p["m_id"]).when(given(p["m_category"]), category == p["m_category"]).when(given(p["m_message"]), text)
+    return F.coalesce(hit, F.lit(False))
+
+
+def readable_policies(policies: DataFrame) -> DataFrame:
+    """Policies without those whose regular expression can't be read: these never hold. They are rules that users typed."""
+    bad = []
+    for r in policies.where("regex and coalesce(m_id, '') = '' and coalesce(m_category, '') = ''").select("ord", "m_message").toLocalIterator():
+        try:
+            re.compile(r.m_message or "")
+        except re.error:
+            bad.append(r.ord)
+    return policies.where(~F.col("ord").isin(bad)) if bad else policies
+
+
 def first_policy(review: DataFrame, policies: DataFrame) -> DataFrame:
-    """The action of the first policy that matches category and message text; ``suppress`` drops the item."""
-    hit = (F.coalesce(F.col("m_category") == F.col("category"), F.lit(True))) & (F.coalesce(F.contains(F.lower("message"), F.lower("m_message")), F.lit(True)))
-    best = review.join(policies, hit).groupBy("entity_id", "id").agg(F.min_by("action", "ord").alias("action"))
-    joined = review.join(best, ["entity_id", "id"], "left")
-    return joined.withColumn("level", F.coalesce(F.when(F.col("action").isin("block", "warn", "info"), F.col("action")), F.col("level"))).where("action is null or action <> 'suppress'")
+    """``review`` (entity_id, id, level, category, message) under policies (ord, m_id, m_category, m_message, regex, action).
+
+    The first policy by ``ord`` that holds decides: ``suppress`` drops the item, ``keep`` leaves its level, another action is
+    the new level; ``action`` says which, null if none holds. Messages match as text or regular expression, whatever their
+    case. Up to POLICY_ROWS policies are one array that goes along with each row, so nothing is shuffled; more are joined.
+    """
+    known = readable_policies(policies.select("ord", "m_id", "m_category", "m_message", F.coalesce("regex", F.lit(False)).alias("regex"), "action"))
+    if known.count() <= POLICY_ROWS:
+        rules = known.agg(F.sort_array(F.collect_list(F.struct("ord", "m_id", "m_category", "m_message", "regex", "action"))).alias("r"))
+        held = F.filter("__rules", lambda p: _policy_hits(F.col("id"), F.col("category"), F.col("message"), p))
+        joined = review.withColumn("__rules", rules.scalar()).withColumn("action", F.get(held, F.lit(0))["action"]).drop("__rules")
+    else:
+        item = [F.col(f"i.{c}") for c in ("id", "category", "message")]
+        best = review.alias("i").join(known.select(F.struct("*").alias("p")), _policy_hits(*item, F.col("p"))).groupBy("i.entity_id", "i.id").agg(F.min_by(F.col("p.action"), F.col("p.ord")).alias("action"))
+        joined = review.join(best, ["entity_id", "id"], "left")
+    level = F.when(F.col("action").isNull() | (F.col("action") == "keep"), F.col("level")).otherwise(F.col("action"))
+    return joined.withColumn("level", level).where("action is null or action <> 'suppress'")
 
 
 def level_counts(review: DataFrame, key: str) -> DataFrame:
@@ -38,21 +77,35 @@ def newest_wins(current: DataFrame, incoming: DataFrame, keys: list[str], order:
 
 
 def versioned_update(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """(id, status, version): an update is accepted on a null or equal base version, conflicts otherwise, or finds no row."""
-    joined = updates.join(current.select("id", F.col("version").alias("now")), "id", "left")
-    ok = F.col("base_version").isNull() | (F.col("base_version") == F.col("now"))
-    status = F.when(F.col("now").isNull(), "not found").when(ok, "accepted").otherwise("conflict")
-    return joined.select("id", status.alias("status"), F.when(status == "accepted", F.col("now") + 1).otherwise(F.col("now")).alias("version"))
-
-
-def delete_cascade(children: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    return children.join(removed.select(key), key, "left_anti")
-
-
-def page_of(df: DataFrame, order: str, page: int, size: int) -> DataFrame:
-    """One page of rows in the given order, with the number of pages."""
-    pages = df.agg(F.ceil(F.count("*") / size).alias("pages"))
-    return df.orderBy(order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(pages))
+    """(id, ord, status, version): updates (id, ord, base_version) applied one after another to ``current`` (id, version).
+
+    An update is accepted on a null base version or one equal to the version at its turn, and raises the version by one;
+    otherwise it conflicts, or finds no row. Updates of an id follow each other, so each task goes through sorted rows and
+    holds one version.
+    """
+    given = updates.select("id", "ord", "base_version").join(current.select("id", F.col("version").alias("now")), "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, version = None, None
+        for batch in batches:
+            rows = batch.to_pydict()
+            status, after = [], []
+            for id_, base, now in zip(rows["id"], rows["base_version"], rows["now"], strict=True):
+                if (id_,) != last:
+                    last, version = (id_,), now
+                if version is None:
+                    status.append("not found")
+                elif base is None or base == version:
+                    version += 1
+                    status.append("accepted")
+                else:
+                    status.append("conflict")
+                after.append(version)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(after, pa.int64())], names=["id", "ord", "status", "version"])
+
+    dealt = given.repartition("id").sortWithinPartitions("id", "ord", F.col("base_version").asc_nulls_first()).select("id", "ord", F.col("base_version").cast("long"), F.col("now").cast("long"))
+    schema = type(dealt.schema)([dealt.schema["id"], dealt.schema["ord"]]).add("status", "string").add("version", "long")
+    return dealt.mapInArrow(run, schema)
 
 
 def usage_quota(events: DataFrame, limit: int) -> DataFrame:
@@ -73,7 +126,7 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
 
 
 def invoice_credit_pairs(ledger: DataFrame) -> DataFrame:
-    """References that occur both as invoice and as credit note."""
+    """(entity_id, reference): references that an entity has both as invoice and as credit note."""
     kind = F.lower("details")
-    both = ledger.groupBy("reference").agg(F.bool_or(kind == "invoice").alias("i"), F.bool_or(kind == "credit note").alias("c"))
-    return both.where("i and c").select("reference")
+    both = ledger.groupBy("entity_id", "reference").agg(F.bool_or(kind == "invoice").alias("i"), F.bool_or(kind == "credit note").alias("c"))
+    return both.where("i and c and reference is not null").select("entity_id", "reference")

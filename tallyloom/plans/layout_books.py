@@ -18,9 +18,9 @@ from tallyloom.streaming import live
 _BASE = {
     "tokens": """SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, l_returnflag AS text, l_discount * 20 AS x, l_tax * 10 AS y,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem""",
-    "rows": "SELECT o_custkey AS page, o_orderkey AS row_id, o_totalprice AS y FROM orders WHERE o_orderstatus <> 'P'",
-    "rulers": "SELECT o_custkey AS page, o_totalprice AS y FROM orders WHERE o_orderstatus = 'P'",
-    "ruled": "SELECT l_suppkey AS doc_id, l_partkey AS page, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 AS has_ruler FROM lineitem GROUP BY 1, 2",
+    "rows": "SELECT o_custkey % 10 AS doc_id, CAST(floor(o_custkey / 10) AS BIGINT) AS page, o_orderkey AS row_id, o_totalprice AS y FROM orders WHERE o_orderstatus <> 'P'",
+    "rulers": "SELECT o_custkey % 10 AS doc_id, CAST(floor(o_custkey / 10) AS BIGINT) AS page, o_totalprice AS y FROM orders WHERE o_orderstatus = 'P'",
+    "ruled": "SELECT l_suppkey AS doc_id, CAST(floor(l_partkey / 50) AS BIGINT) AS page, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) = 1 AS has_ruler FROM lineitem GROUP BY 1, 2",
     "kinds": "SELECT l_orderkey AS doc_id, l_linenumber AS page, max(CASE l_returnflag WHEN 'N' THEN 'a' WHEN 'A' THEN 'balance' ELSE 'cover' END) AS k FROM lineitem GROUP BY 1, 2",
     "seen": "SELECT user_id, event_type, event_id FROM events",
     "pool": "SELECT user_id AS entity_id, event_type AS caption, event_id AS ord, value FROM events",
@@ -58,11 +58,14 @@ def dedupe_overprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def select_ruler(spark: SparkSession, d: str) -> DataFrame:
-    return layout.select_ruler(*_base(spark, d, "rows", "rulers"))
+    rows, rulers = _base(spark, d, "rows", "rulers")
+    has = rulers.select("doc_id", "page").distinct().withColumn("has_ruler", F.lit(True))
+    pages = rows.select("doc_id", "page").union(rulers.select("doc_id", "page")).distinct().join(has, ["doc_id", "page"], "left").withColumn("has_ruler", F.coalesce("has_ruler", F.lit(False)))
+    return layout.select_ruler(rows, rulers, layout.inherit_rulers(pages))
 
 
 def inherit_rulers(spark: SparkSession, d: str) -> DataFrame:
-    return layout.inherit_rulers(*_base(spark, d, "ruled"), 300).select("doc_id", "page", "ruler_page")
+    return layout.inherit_rulers(*_base(spark, d, "ruled")).select("doc_id", "page", "ruler_page")
 
 
 def inherit_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -144,8 +147,8 @@ def is_mostly_non_latin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_numbers(spark: SparkSession, d: str) -> DataFrame:
-    letters = F.substring(F.regexp_replace("p_name", "[^a-z]", ""), 1, 2)
-    return table(spark, d, "part").select("p_partkey", S.column_number(letters).alias("col"))
+    word = F.substring_index("p_name", " ", -1)
+    return table(spark, d, "part").select("p_partkey", S.column_number(word).alias("col"))
 
 
 def ingest_audit_events(spark: SparkSession, d: str) -> DataFrame:
@@ -181,8 +184,8 @@ def oracle_sql() -> dict[str, str]:
     checks = " UNION ALL ".join(f"SELECT entity_id, '{n}' AS \"check\" FROM {b['facts']} WHERE {c}" for n, c in _CHECKS.items())
     return {
         "dedupe_overprint": f"SELECT doc_id, page, count(*) AS n, CAST(sum(ord) AS BIGINT) AS ords FROM (SELECT doc_id, page, text, min(ord) AS ord FROM {b['tokens']} GROUP BY 1, 2, 3, floor(x * 2 + 0.5), floor(y * 2 + 0.5)) GROUP BY 1, 2",
-        "select_ruler": f"SELECT page, row_id, y, (SELECT min(u.y) FROM {b['rulers']} u WHERE u.page = r.page AND u.y > r.y) AS ruler_y FROM {b['rows']} r",
-        "inherit_rulers": f"SELECT doc_id, page, CASE WHEN page - r <= 300 THEN r END AS ruler_page FROM (SELECT doc_id, page, max(CASE WHEN has_ruler THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS r FROM {b['ruled']})",
+        "select_ruler": f"WITH r AS ({_BASE['rows']}), u AS ({_BASE['rulers']}), o AS (SELECT r.*, (SELECT min(u.y) FROM u WHERE u.doc_id = r.doc_id AND u.page = r.page AND u.y > r.y) AS own, (SELECT max(u.page) FROM u WHERE u.doc_id = r.doc_id AND u.page <= r.page) AS src FROM r) SELECT doc_id, page, row_id, y, CASE WHEN own IS NOT NULL THEN page WHEN src < page AND page - src <= 3 THEN src END AS ruler_page, CASE WHEN own IS NOT NULL THEN own WHEN src < page AND page - src <= 3 THEN (SELECT min(u.y) FROM u WHERE u.doc_id = o.doc_id AND u.page = o.src) END AS ruler_y FROM o",
+        "inherit_rulers": f"SELECT doc_id, page, CASE WHEN page - r <= 3 THEN r END AS ruler_page FROM (SELECT doc_id, page, max(CASE WHEN has_ruler THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS r FROM {b['ruled']})",
         "inherit_kinds": f"SELECT doc_id, page, CASE WHEN k <> 'a' THEN k WHEN l = 'balance' THEN l ELSE 'unknown' END AS kind FROM (SELECT *, last_value(CASE WHEN k <> 'a' THEN k END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS l FROM {b['kinds']})",
         "mode_first": f"SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS k FROM {b['seen']} GROUP BY 1, 2) WHERE k = 1",
         "allocate_pool": f"SELECT entity_id, slot, CASE WHEN count(*) = 1 THEN min(caption) ELSE 'Other (' || CAST(sum(k) AS VARCHAR) || ' items)' END AS label, round(sum(v), 2) AS value FROM (SELECT entity_id, caption, count(*) AS k, sum(value) AS v, CAST(least(row_number() OVER (PARTITION BY entity_id ORDER BY min(ord)), 3) AS INT) AS slot FROM {b['pool']} GROUP BY 1, 2) GROUP BY 1, 2",
@@ -195,13 +198,13 @@ def oracle_sql() -> dict[str, str]:
         "delete_cascade": f"SELECT * FROM {b['papers']} WHERE o_custkey NOT IN (SELECT o_custkey FROM {b['deleted']})",
         "delete_set_null": f"SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT o_custkey FROM {b['deleted']}) THEN o_custkey END AS o_custkey FROM {b['papers']}",
         "filter_supported": f"SELECT doc_id, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de') THEN 'unsupported' WHEN n_chars > 5000 THEN 'too large' ELSE 'accepted' END AS status FROM documents",
-        "learn_rules": f"SELECT * FROM {b['known_rules']} UNION ALL SELECT kw, min(target) FROM (SELECT lower(kw) AS kw, target FROM {b['assigned']}) WHERE kw NOT IN (SELECT lower(n_name) FROM nation) GROUP BY 1",
+        "learn_rules": f"SELECT * FROM {b['known_rules']} UNION ALL SELECT kw, min(target) FROM (SELECT trim(regexp_replace(lower(kw), '\\s+', ' ', 'g')) AS kw, target FROM {b['assigned']}) WHERE length(kw) >= 3 AND kw NOT IN (SELECT lower(n_name) FROM nation) GROUP BY 1",
         "portfolio_rollup": f"SELECT portfolio, count(DISTINCT c.entity_id) AS entities, count(o.entity_id) AS documents, count(*) FILTER (WHERE o.open) AS open FROM {b['clients']} c LEFT JOIN {b['client_docs']} o ON c.entity_id = o.entity_id GROUP BY ROLLUP (portfolio)",
         "paginate": "SELECT user_id, event_type, event_id, 3 AS page, CAST((SELECT ceil(count(*) / 50) FROM events) AS INT) AS pages FROM events ORDER BY event_id DESC LIMIT 50 OFFSET 100",
         "validate_entities": checks,
         "period_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS from_text, CAST(o_orderdate AS DATE) AS from_serial, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') || ' (requested ' || strftime(o_orderdate, '%Y-%m-%d') || ')' END AS label FROM orders",
         "is_mostly_non_latin": r"SELECT doc_id, coalesce(2 * length(regexp_replace(regexp_replace(text, '[^\p{L}]', '', 'g'), '\p{Latin}', '', 'g')) > length(regexp_replace(text, '[^\p{L}]', '', 'g')), false) AS other_script FROM documents",
-        "column_numbers": "SELECT p_partkey, CASE WHEN length(s) = 2 THEN (ascii(s) - 96) * 26 + ascii(substr(s, 2)) - 96 WHEN length(s) = 1 THEN ascii(s) - 96 END AS col FROM (SELECT p_partkey, substr(regexp_replace(p_name, '[^a-z]', '', 'g'), 1, 2) AS s FROM part)",
+        "column_numbers": "SELECT p_partkey, CASE WHEN regexp_matches(s, '^[a-z]{1,3}$') THEN CAST(list_reduce(list_prepend(0, list_transform(string_split(s, ''), lambda c: ascii(c) - 96)), lambda a, x: a * 26 + x) AS INT) END AS col FROM (SELECT p_partkey, string_split(p_name, ' ')[-1] AS s FROM part)",
         "ingest_audit_events": "SELECT event_id, event_type, substr(props, 1, 2000) AS props FROM events",
         "advance_tasks": "SELECT user_id, CASE max(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END) WHEN 0 THEN 'pending' WHEN 1 THEN 'in progress' ELSE 'completed' END AS status FROM events GROUP BY 1",
         "provider_usage_daily": "SELECT CAST(ts AS DATE) AS day, count(*) AS requests, round(sum(value), 2) AS units, arg_max(event_type, (ts, event_id)) AS last_status FROM events GROUP BY 1",

@@ -26,8 +26,8 @@ def test_scripts(spark):
 
 
 def test_ruler_is_strictly_above(spark):
-    rows = spark.sql("SELECT * FROM VALUES (1, 10.0D, 'a'), (1, 20.0D, 'b'), (2, 5.0D, 'c') t(page, y, name)")
-    rulers = spark.sql("SELECT * FROM VALUES (1, 20.0D), (1, 30.0D) t(page, y)")
+    rows = spark.sql("SELECT * FROM VALUES (7, 1, 10.0D, 'a'), (7, 1, 20.0D, 'b'), (7, 2, 5.0D, 'c') t(doc_id, page, y, name)")
+    rulers = spark.sql("SELECT * FROM VALUES (7, 1, 20.0D), (7, 1, 30.0D) t(doc_id, page, y)")
     assert {r.name: r.ruler_y for r in layout.select_ruler(rows, rulers).collect()} == {"a": 20.0, "b": 30.0, "c": None}
 
 

@@ -30,11 +30,13 @@ def documents(spark, rows):
 
 
 def test_policies_match_after_40_characters(spark, folder):
+    """Policies decide by id, else category, else the whole message."""
     far = "x" * 5000
-    docs = documents(spark, [(1, f"{far} The end", "es"), (2, f"{far} le", "fr"), (3, far, "fr"), (4, far, "de")])
-    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, 4)], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark, [(1, f"{far} les choses", "es"), (2, f"{far} The end", "es"), (3, far, "fr"), (4, far, "de"), (5, far, "es"), (17, far, "de")])
+    labels = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3, 4, 5, 17)], "doc_id bigint, quality int, toxic int")
     got = registry.first_policy(spark, folder(documents=docs, labels=labels)).collect()
-    assert sorted((r.id, r.level, r.action) for r in got) == [(1, "info", "info"), (2, "warn", "warn"), (3, "block", None)]
+    assert sorted((r.id, r.level, r.action) for r in got if r.action) == [(1, "warn", "warn"), (2, "block", "keep"), (3, "info", "info"), (17, "block", "block")]
+    assert [(r.id, r.level) for r in got if not r.action] == [(5, "block")]
 
 
 def test_whole_texts_are_masked(spark, folder):
@@ -56,7 +58,7 @@ def test_rates_of_all_days(spark, folder):
     asked = [first + datetime.timedelta(i + 2) for i in range(91)]
     last = first + datetime.timedelta(90)
     assert got == {d: (min(d, last), (min(d, last) - d).days) for d in asked}
-    assert {(r.start.year, r.points) for r in registry.period_average(spark, path).collect()} == {(1995, 91), (1996, 0)}
+    assert {(r.start.year, r.points) for r in registry.period_average(spark, path).collect()} == {(1994, 91), (1995, 91), (1996, 0)}
 
 
 def test_every_event_is_a_fact_or_a_schedule(spark, folder):
