@@ -20,7 +20,7 @@ from tallyloom.llm import textbytes as T
 from tallyloom.session import ship_package
 
 #: Distinct words whose encoding a task keeps; beyond it, the store starts anew.
-STORE_WORDS = 400_000
+STORE_WORDS = 200_000
 
 
 @dataclass
@@ -142,39 +142,55 @@ def merge_words(v: Vocabulary, raw: np.ndarray, starts: np.ndarray, ends: np.nda
 
 
 class WordStore:
-    """Encodings of the words that a task has met, found by the words' 64-bit hashes."""
+    """Encodings of the words that a task has met, found by the words' 64-bit hashes and confirmed by their bytes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at, self.count, self.ids = (np.zeros(0, np.int32) for _ in range(3))
+        self.byte_at, self.byte_size, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def add(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode words and keep them; returns their rows."""
+        first = len(self.at)
+        ids, count = merge_words(self.v, raw, starts, ends)
+        size = ends - starts
+        grown = lambda x, y: np.concatenate((x, y.astype(x.dtype)))
+        self.at, self.byte_at = grown(self.at, len(self.ids) + np.cumsum(count) - count), grown(self.byte_at, len(self.bytes) + np.cumsum(size) - size)
+        self.count, self.byte_size = grown(self.count, count), grown(self.byte_size, size)
+        self.ids, self.bytes = grown(self.ids, ids), grown(self.bytes, raw[T.spans(starts, size)])
+        return np.arange(first, len(self.at), dtype=np.int32)
 
     def look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each word its row in ``at`` and ``count``; new words are encoded first."""
+        """For each word its row in ``at`` and ``count``; new words are encoded first.
+
+        A word whose hash is another's gets a row of its own, which isn't found again.
+        """
         hashes = T.run_hashes(raw, starts, ends)
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > STORE_WORDS:
+        if len(self.at) > STORE_WORDS:
             self.clear()
-        row = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
-        fresh = np.flatnonzero(self.known[row] != found) if len(self.known) else np.arange(len(found))
+        place = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+        fresh = np.flatnonzero(self.known[place] != found) if len(self.known) else np.arange(len(found))
         if len(fresh):
-            ids, count = merge_words(self.v, raw, starts[first[fresh]], ends[first[fresh]])
-            at = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+            rows = self.add(raw, starts[first[fresh]], ends[first[fresh]])
             known = np.concatenate((self.known, found[fresh]))
             order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.at, self.count = np.concatenate((self.at, at))[order], np.concatenate((self.count, count))[order]
-            row = np.searchsorted(self.known, found)
-        return row[back]
-
-
-def words_of(raw: np.ndarray, off: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of a chunk, and for each word the id of its added token or -1."""
+            self.known, self.row = known[order], np.concatenate((self.row, rows))[order]
+            place = np.searchsorted(self.known, found)
+        row = self.row[place][back]
+        other = T.unlike(raw, starts, ends - starts, self.bytes, self.byte_at[row], self.byte_size[row])
+        if len(other):
+            row[other] = self.add(raw, starts[other], ends[other])
+        return row
+
+
+def split_words(raw: np.ndarray, off: np.ndarray, special: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a chunk: their first code points, for each the id of its added token or -1, the bytes at which code
+    points begin (and the end), and the rows' offsets in code points."""
     cp, at, rows = T.code_points(raw, off)
     marks: list[tuple[int, int, int]] = []
     blob = raw.tobytes() if special else b""
@@ -192,17 +208,18 @@ def words_of(raw: np.ndarray, off: np.ndarray, special: dict[bytes, int]) -> tup
             kind[x] = i
             keep[x + 1 : y] = False
         begin, kind = begin[keep], kind[keep]
-    starts = at[begin]
-    return starts, np.append(starts[1:], len(raw)), kind
+    return begin, kind, at, rows
 
 
 def encode_chunk(store: WordStore, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all rows of a chunk, one after another, and each row's number of tokens."""
-    starts, ends, kind = words_of(raw, off, store.v.special)
-    if not len(starts):
+    begin, kind, at, _ = split_words(raw, off, store.v.special)
+    if not len(begin):
         return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+    starts = at[begin]
+    ends = np.append(starts[1:], len(raw))
     row = store.look_up(raw, starts, ends)
-    at, count = store.at[row], store.count[row]
+    at, count = store.at[row].astype(np.int64), store.count[row].astype(np.int64)
     ids = store.ids
     if (kind >= 0).any():  # added tokens lie behind the store's ids
         own = np.array(sorted(set(kind[kind >= 0])), np.int64)

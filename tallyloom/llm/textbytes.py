@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 LONG_RUN = 64
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,13 +102,18 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ahead, sizes) + np.arange(total)
 
 
-def unlike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """The places at which the runs of ``a`` and ``b`` differ in length or content."""
+def unlike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """The places at which the runs of ``a`` and ``b`` differ in length or content; about ``block`` elements are held at once."""
     wrong = a_size != b_size
     same = np.flatnonzero(~wrong)
-    size = a_size[same]
-    off = np.flatnonzero(a[spans(a_at[same], size)] != b[spans(b_at[same], size)])
-    wrong[same[np.searchsorted(np.cumsum(size), off, "right")]] = True
+    ends = np.cumsum(a_size[same])
+    at = 0
+    while at < len(same):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+        part = same[at:to]
+        off = np.flatnonzero(a[spans(a_at[part], a_size[part])] != b[spans(b_at[part], a_size[part])])
+        wrong[part[np.searchsorted(np.cumsum(a_size[part]), off, "right")]] = True
+        at = to
     return np.flatnonzero(wrong)
 
 
