@@ -73,25 +73,57 @@ def test_bpe_digests(spark, vocabulary):
     assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_token_tree_equals_full_count(vocabulary):
+def test_token_trees_equal_full_counts(vocabulary):
+    """After random edits, also across added tokens, trees and texts are those of a full count; sums hold at every node."""
     random.seed(3)
-    alphabet = [*"ab AB'stredlvm  \n\t\r\x0bé²漢字🙂 .,!09", "'ll", "'re", " 's"]
-    counter = token_counts.Counter(vocabulary)
-
-    def full(text):
-        cuts = np.append(0, token_counts.boundaries(text)) if text else np.zeros(1, np.int64)
-        return np.diff(cuts), counter.of([text[a:b].encode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-
-    for _ in range(200):
-        text = "".join(random.choice(alphabet) for _ in range(random.randint(0, 600)))
-        tree = token_counts.TokenTree(*full(text))
-        for _ in range(4):
-            put = "".join(random.choice(alphabet) for _ in range(random.choice([0, 1, 9, 100])))
-            text, _ = token_counts.edit(tree, text, counter, random.randint(0, len(text) + 1), random.choice([0, 1, 5, 400]), put)
-            sizes, counts = full(text)
-            assert np.array_equal(np.concatenate(tree.sizes), sizes)
-            assert np.array_equal(np.concatenate(tree.counts), counts)
-            assert tree.tokens == counts.sum()
+    alphabet = [*"ab AB'stredlvm  \n\t\r\x0bé²漢字🙂 .,!09", "'ll", "'re", " 's", "<|endoftext|>", "<|endof", "text|>"]
+    piece = lambda n: "".join(random.choice(alphabet) for _ in range(n))
+    store = bpe.WordStore(vocabulary)
+    texts = [piece(random.choice([0, 1, 50, 600])) for _ in range(300)]
+    cp, _, rows = T.code_points(*T.utf8(pa.array(texts)))
+    forest, held = token_counts.Forest(*token_counts.count_words(store, *T.utf8(pa.array(texts)))), token_counts.Texts(cp, rows)
+    for _ in range(6):
+        doc = np.array(sorted(random.sample(range(300), 200)))
+        edits = [(random.randint(0, len(texts[d]) + 1), random.choice([0, 1, 5, 400]), piece(random.choice([0, 1, 9, 100]))) for d in doc]
+        put, _, put_at = T.code_points(*T.utf8(pa.array([e[2] for e in edits])))
+        held, again = token_counts.edit_round(forest, held, store, doc, np.array([e[0] for e in edits]), np.array([e[1] for e in edits]), put, np.diff(put_at))
+        for d, (start, drop, new) in zip(doc, edits, strict=True):
+            texts[d] = texts[d][: min(start, len(texts[d]))] + new + texts[d][start + drop :]
+        sizes, counts, at = token_counts.count_words(store, *T.utf8(pa.array(texts)))
+        assert held.cp.tobytes().decode("utf-32-le") == "".join(texts)
+        assert np.array_equal(forest.sizes, sizes) and np.array_equal(forest.counts, counts) and np.array_equal(forest.at, at)
+        assert forest.tokens.tolist() == [int(counts[a:b].sum()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for d in range(300):
+            for node in range(1, forest.width[d]):
+                i = forest.base[d]
+                assert np.array_equal(forest.sums[i + node], forest.sums[i + 2 * node] + forest.sums[i + 2 * node + 1])
+        assert 0 < again.sum() < len(sizes)
+
+
+def test_token_counts_equal_library_after_edits(spark, vocabulary):
+    library = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY_FILE))
+    texts = [(1, "one <|endof two"), (2, None), (3, ""), (4, LONG), (5, "a <|endoftext|> b"), (5, "a <|endoftext|> b")]
+    edits = [[(12, 4, "text|> x")], [(0, 3, "new")], None, [(10, 0, "zz"), (100, 5, None), (10**6, 9, "end")], [(3, 1, "")], [(3, 1, "")]]
+    rows = [(i, t, e) for (i, t), e in zip(texts, edits, strict=True)]
+    df = spark.createDataFrame(rows, f"doc_id int, text string, edits {token_counts.EDIT_TYPE}")
+    done = token_counts.apply_edits(token_counts.build_trees(df, vocabulary), vocabulary)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for r in done.collect():
+        text, changes = next((t or "", e or []) for i, t, e in rows if i == r.doc_id)
+        assert r.n_tokens == count(text)
+        for start, drop, put in changes:
+            text = text[:start] + (put or "") + text[start + drop :]
+        assert (r.text or "") == text and r.edited_tokens == count(text) == sum(r.word_tokens) and sum(r.word_chars) == len(text)
+    assert [r.text for r in done.where("doc_id = 3").collect()] == [""]
+
+
+def test_words_of_equal_hash_are_told_apart(vocabulary, monkeypatch):
+    """All words get one hash: only the comparison of bytes is left."""
+    monkeypatch.setattr(T, "run_hashes", lambda raw, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["hello brave new world", "new hello", "abc", "xyz abd <|endoftext|>"]
+    ids, count = bpe.encode_chunk(bpe.WordStore(vocabulary), *T.utf8(pa.array(texts)))
+    library = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY_FILE))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
@@ -132,35 +164,115 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
-def test_winnowing_positions_and_guarantee(spark):
-    shared = " ".join(f"s{i}" for i in range(winnow.GRAM_WORDS + winnow.WINDOW_GRAMS - 1))
-    df = spark.createDataFrame([(1, "a b c d e f " + shared + " x y"), (2, "q r " + shared), (3, "one two"), (4, None)], "i int, t string")
-    rows = {r.i: r for r in winnow.with_fingerprints(df, "t", "p").select("i", winnow.hashes(F.col("p")).alias("h"), winnow.positions(F.col("p")).alias("at")).collect()}
-    assert set(rows[1].h) & set(rows[2].h)
-    assert rows[3].at == [0] and rows[4].h == []
-    assert rows[1].at == sorted(rows[1].at)
-
-
-def test_winnowing_edits(spark):
-    texts = [(1, "abcdefgh"), (2, "xy"), (7, "")]
-    got = {r.doc_id: r.edited_text for r in winnow.compare_edits(frame(spark, texts)).collect()}
-    assert got == {1: "abcdefxy", 2: "xy", 7: ""}
-
-
-def test_hamming_equals_brute_force(spark):
+def plain_grams(text):
+    """Units and gram values of a text; grams are tuples of units."""
+    cut = list(text) if len(text) < winnow.SHORT_CHARS else re.split(r"[\x20\x09-\x0D]+|(?<=[0-9+/=_qQzZxXjJkKwW\u2e80-\uffff\U00010000-\U0010ffff])", text)
+    unit = [u for u in cut if u.strip(" ")]
+    k = winnow.GRAM_UNITS
+    return [tuple(unit[i : i + k]) for i in range(len(unit) - k + 1)] if len(unit) >= k else [tuple(unit)] * bool(unit)
+
+
+def test_winnowing_equals_brute_force(spark):
+    """Per window the smallest order value, the rightmost on ties; checked from the hashes of all grams (windows of one)."""
+    random.seed(4)
+    texts = ["", "   ", "ab", "a b", "ababababab" * 3, "one two three four five six seven", " ".join(["same"] * 60), "x" * 500, "漢字仮名" * 40, LONG[:5000]]
+    texts += [" ".join(random.choice(["la", "lo", "7q7", "😀é", "b"]) for _ in range(random.randint(1, 120))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = {r.i: r for r in winnow.with_fingerprints(df, "t", "p").select("i", "p", "p_at", F.size(winnow.units(F.col("t"))).alias("n")).collect()}
+    value = {}  # of every gram, from texts that hold nothing else
+    grams = sorted({g for t in texts for g in plain_grams(t)})
+    single = spark.createDataFrame([(i, list(g)) for i, g in enumerate(grams)], "i int, u array<string>")
+    rot = lambda c: F.shiftleft(c, 1).bitwiseOR(F.shiftrightunsigned(c, 63))
+    rolled = F.xxhash64(F.aggregate(F.transform("u", lambda x: F.xxhash64(x)), F.lit(0).cast("long"), lambda a, x: rot(a).bitwiseXOR(x)))
+    value = {grams[r.i]: r.v for r in single.select("i", rolled.alias("v")).collect()}
+    for i, text in enumerate(texts):
+        own = [value[g] for g in plain_grams(text)]
+        at = []
+        for end in range(len(own)):
+            window = range(max(0, end - winnow.WINDOW_GRAMS + 1), end + 1)
+            best = min(window, key=lambda p: (own[p] & (2**31 - 1), -p))
+            if best not in at:
+                at.append(best)
+        assert rows[i].p_at == at and rows[i].p == [own[p] for p in at], text
+
+
+def test_winnowing_guarantee(spark):
+    shared = " ".join(f"s{i}" for i in range(winnow.GRAM_UNITS + winnow.WINDOW_GRAMS - 1))
+    df = spark.createDataFrame([(1, "a b c d e f " * 9 + shared + " x y" * 9), (2, "q r " * 20 + shared)], "i int, t string")
+    rows = {r.i: r for r in winnow.with_fingerprints(df, "t", "p").collect()}
+    assert set(rows[1].p) & set(rows[2].p)
+
+
+def test_long_texts_keep_positions(spark):
+    """The end of a long text gets the fingerprints that it gets in a short one, at shifted positions (32 bits hold them)."""
+    text = lambda n: F.concat(F.repeat(F.lit("a "), n), F.lit("b c d e f g h"))
+    df = spark.range(2).select("id", text(F.when(F.col("id") == 0, 60).otherwise(300_000)).alias("t"))
+    short, long = winnow.with_fingerprints(df, "t", "p").orderBy("id").collect()
+    assert long.p[-5:] == short.p[-5:] and [x - 300_000 for x in long.p_at[-5:]] == [x - 60 for x in short.p_at[-5:]]
+    assert len(long.p) == len(long.p_at) and winnow.TOP == 2**32 - 1
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_winnowing_edits(spark, monkeypatch):
+    """Edited texts, order of ids, likeness and equal texts, also with many ranges of ids."""
+    random.seed(6)
+    monkeypatch.setattr(winnow, "DOCS_PER_RANGE", 10)
+    monkeypatch.setattr(winnow, "RANGE_STEP", 3)
+    rows = [(i * 3 - 50, " ".join(random.choice(["la", "lo", "le", "lu"]) for _ in range(random.choice([0, 3, 40, 90])))) for i in range(60)]
+    rows += [(7, None), (8, ""), (9, "same text " * 20), (9, "same text " * 20), (-10**12, "abcdefgh"), (10**15, "xyz"), (None, "null id")]
+    random.shuffle(rows)
+    docs = frame(spark, rows)
+    got = sorted(winnow.compare_edits(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    prints = {r.t: set(r.p) for r in winnow.with_fingerprints(spark.createDataFrame([(t,) for t in {t for _, t in order} | {r.edited_text for r in got}], "t string"), "t", "p").collect()}
+    assert len(got) == len(order)
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[k]
+        assert (r.doc_id, r.n_chars, r.edited_text) == (i, len(text), edited)
+        assert set(r.prints) == prints[text] and set(r.edited_prints) == prints[edited]
+        assert r.near_edited == pytest.approx(jaccard(prints[text], prints[edited])) and r.near_next == pytest.approx(jaccard(prints[text], prints[after]))
+
+
+@pytest.mark.parametrize("text", ["The cat sat on it", "abcdefghijklmnop", "x1y2z3a4" * 30, "東京都" * 30, "one two three four five six seven eight nine ten"])
+def test_short_texts_and_texts_without_blanks_stay_near_their_edit(spark, text):
+    got = {r.doc_id: r for r in winnow.compare_edits(frame(spark, [(1, text), (2, "QUITE ELSE " * 20)])).collect()}
+    assert 0 < got[1].near_edited < 1 and got[1].near_next == 0
+
+
+@pytest.mark.parametrize("bits", [64, 20, 150])
+def test_hamming_equals_brute_force(spark, bits):
+    """Codes of one long, of less than one and of three; equal codes, null ids and null codes among them."""
     rng = np.random.default_rng(2)
-    codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(2**63), 2**63 - 1, 300))]
-    codes += [(1000 + i, codes[0][1]) for i in range(30)] + [(None, 5), (9, None)]
-    df = spark.createDataFrame(codes, "id bigint, code bigint")
-    got = hamming_search.top_k(df, df.where("id % 100 = 0"), 5).collect()
-    clean = [(i, c) for i, c in codes if i is not None and c is not None]
+    signs = rng.choice([-1.0, 1.0], (300, bits))
+    signs[100:200] = np.where(rng.random((100, bits)) < 0.1, -signs[:100], signs[:100])
+    rows = [(i, v.tolist()) for i, v in enumerate(signs)] + [(1000 + i, signs[0].tolist()) for i in range(30)] + [(None, signs[1].tolist()), (9999, None)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    assert hamming_search.dimension(df) == bits
+    codes = df.select("id", hamming_search.sign_code(F.col("embedding"), bits).alias("code"), F.lit(1).alias("rank"))
+    got = hamming_search.top_k(codes, codes.where("id % 100 = 0"), 5, bits).collect()
+    clean = [(i, np.array(v)) for i, v in rows if i is not None and v is not None]
     want = set()
     for q, a in clean:
         if q % 100 == 0:
-            near = sorted((bin((a ^ c) & (2**64 - 1)).count("1"), i) for i, c in clean)[:5]
+            near = sorted((int((a != c).sum()), i) for i, c in clean)[:5]
             want |= {(q, k + 1, i, d) for k, (d, i) in enumerate(near)}
-    assert {(r.query_id, r.rank, r.id, r.distance) for r in got} == want
-    assert hamming_search.top_k(df.limit(0), df, 5).count() == 0
+    assert {(r.query_id, r.rank, r.id, r.distance) for r in got} == want and len(got) == len(want)
+    assert hamming_search.top_k(codes.limit(0), codes, 5, bits).count() == 0
+    assert hamming_search.top_k(codes, codes.limit(0), 5, bits).count() == 0
+
+
+def test_sign_codes_tell_all_components_apart(spark):
+    """Vectors that differ behind the 64th component have different codes; short, null and empty ones have defined codes."""
+    long = [1.0] * 64 + [-1.0] * 64
+    df = spark.createDataFrame([(1, [1.0] * 128), (2, long), (3, [1.0, None, -2.0]), (4, []), (5, None)], "id int, v array<double>")
+    got = {r.id: r.c for r in df.select("id", hamming_search.sign_code(F.col("v"), 128).alias("c")).collect()}
+    assert got == {1: [-1, -1], 2: [-1, 0], 3: [-(2**63), 0], 4: [0, 0], 5: None}
 
 
 def test_warc_round_trip(spark):
@@ -172,6 +284,25 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_one_digest_in_half_the_rows(spark, monkeypatch, tmp_path):
+    """A digest in half of all rows, archives that roll, ids that are unique, and the standard's frames."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rng = random.Random(3)
+    rows = [(i, f"http://h/{i}", "<p>" + "copy " * 300 if i % 2 else "".join(rng.choice("abcdef ") for _ in range(i * 7))) for i in range(400)] + [(3, "http://h/3", "<p>" + "copy " * 300)] * 3
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    folder = f"{tmp_path}/archives"
+    assert warc.write_archives(warc.with_record_plan(pages), folder, warc.train_dictionary(warc.payloads(pages))) == len(rows)
+    files = sorted(tmp_path.glob("archives/*.warc.zst"))
+    assert len(files) > 3 and all(f.read_bytes()[:4] == warc.struct.pack("<I", warc.DICTIONARY_FRAME) for f in files)
+    records = warc.read_archives(spark, folder).collect()
+    assert len({r.record_id for r in records}) == len(rows)
+    assert sorted((r.page_id, r.payload.decode() if r.payload is not None else None) for r in records if r.type == "response") == sorted((i, h) for i, _, h in rows if i % 2 == 0 or i == 399)
+    assert all(r.refers_page == 399 for r in records if r.type == "revisit")
+    got = warc.resolved_records(warc.read_archives(spark, folder)).collect()
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest(), "response" if i % 2 == 0 or i == 399 else "revisit", None if i % 2 == 0 or i == 399 else 399) for i, _, h in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_mixing_caps_and_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "big" if i < 300 else ("b" if i < 310 else None), 1, "", "") for i in range(330)]
     got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
