@@ -247,6 +247,8 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
     smalls, edges = [], []
     for level in range(MOST_LEVELS):
         keys = branch(rows, percent, root=level == 0)
+        if level:
+            keys = materialize(keys, "children")  # few, and read twice
         shared = materialize(first_members(keys), "nodes")
         smalls.append(shared.where(F.size("cids") <= NODE_CLASSES).select("cids"))
         wide = shared.where(F.size("cids") > NODE_CLASSES).select("node")
