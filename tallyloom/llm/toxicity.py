@@ -185,11 +185,11 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(x):
         knots = np.linspace(-8, 8, 65)
         return knots, 1 / (1 + np.exp(-knots))
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # first x, last x, sum, count
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([a, a, b, 1])
-        while len(blocks) > 1 and (blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3] or blocks[-2][1] == blocks[-1][0]):
+    at, back = np.unique(x, return_inverse=True)
+    blocks: list[list[float]] = []  # first x, last x, sum, count; equal x are one from the beginning
+    for v, total, n in zip(at.tolist(), np.bincount(back, y).tolist(), np.bincount(back).tolist(), strict=True):
+        blocks.append([v, v, total, n])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0], last[1], blocks[-1][2] + last[2], blocks[-1][3] + last[3]]
     xs = [v for b in blocks for v in b[:2]]
