@@ -252,7 +252,7 @@ def apply_edits(trees: DataFrame, vocabulary: bpe.Vocabulary, text_col: str = "t
 
     ``edits_col`` is an array of (start, drop, put) in code points, applied in order, each to the text left by those before;
     starts and drops beyond the text are clamped, a null put, array or field is empty or 0. The edits column is dropped, and
-    the tree's two columns too unless ``with_trees``. Cases: a null text without an effective edit stays null and counts as
+    the tree's two columns too unless ``with_trees``. Cases: a null text that its edits leave empty stays null and counts as
     empty; equal rows give equal rows; an empty table gives no rows; other columns pass through, those of the four names are
     replaced.
     """
