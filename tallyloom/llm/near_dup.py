@@ -221,26 +221,28 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "cid", "sig").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a bigint, b bigint")
 
 
-def dense_nodes(large: DataFrame, percent: int) -> DataFrame:
-    """Rows of large nodes (node, cid, sig) with ``first``, and whether they agree with the node's first and last class."""
-    heads = large.groupBy("node").agg(F.min("cid").alias("first"), F.min_by("sig", "cid").alias("first_sig"), F.max_by("sig", "cid").alias("last_sig"))
-    heads = materialize(heads, "heads")
+def judged_nodes(wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, first, dense) of large nodes (node, cids): dense if half or more of the listed classes look like the first or
+    the last of them, so that branching would not part the copies."""
+    rows = wide.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
+    whole = Window.partitionBy("node").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = rows.withColumns({"__first": F.first("sig").over(whole), "__last": F.last("sig").over(whole)})
     at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
 
     def alike(other: str) -> Column:
         same = F.filter(at, lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col(other), i * 4 + 1, F.lit(4)))
         return (F.size(same) >= least_agreement(percent)).cast("double")
 
-    return large.join(heads, "node").select("node", "cid", "sig", "first", alike("first_sig").alias("f"), alike("last_sig").alias("l"))
+    return seen.groupBy("node").agg(F.min("cid").alias("first"), (F.greatest(F.avg(alike("__first")), F.avg(alike("__last"))) >= 0.5).alias("dense"))
 
 
 def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> DataFrame:
     """(a, b) candidate links between classes (cid, sig), from all trees.
 
-    Small nodes come from an aggregate that stops at NODE_CLASSES + 1 members; only rows of larger nodes are met again. In a
-    larger node of which half or more look like its first or last class, branching would not part the copies: all its
-    classes are linked to the first, which is more than needed and decided on the full sets later. The same would happen to
-    what is still larger after MOST_LEVELS levels.
+    Small nodes come from an aggregate that stops at NODE_CLASSES + 1 members; only rows of larger nodes are met again, once a
+    level. The classes of a larger node that is dense are all linked to its first, which is more than needed and decided on
+    the full sets later; whether it is dense is judged by its listed members, and no class is left out either way. The same
+    would happen to what is still larger after MOST_LEVELS levels.
     """
     trees = trees_for(recall, percent)
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
@@ -251,18 +253,17 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
             keys = materialize(keys, "children")  # few, and read twice
         shared = materialize(first_members(keys), "nodes")
         smalls.append(shared.where(F.size("cids") <= NODE_CLASSES).select("cids"))
-        wide = shared.where(F.size("cids") > NODE_CLASSES).select("node")
+        wide = shared.where(F.size("cids") > NODE_CLASSES)
         if wide.isEmpty():
             break
-        large = passing(keys, wide, ["node"]).join(wide, "node", "left_semi")
-        if level == 0:
-            large = large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
-        tested = materialize(dense_nodes(materialize(large, "large-nodes"), percent), "dense")
-        half = F.lit(True) if level == MOST_LEVELS - 1 else F.greatest(F.avg("f"), F.avg("l")) >= 0.5
-        votes = materialize(tested.groupBy("node").agg(half.alias("dense")), "votes")
-        voted = tested.join(votes, "node")
-        edges.append(voted.where("dense").select(F.col("cid").alias("a"), F.col("first").alias("b")))
-        rows = voted.where("not dense").select("node", "cid", "sig")
+        judged = judged_nodes(wide, classes, percent)
+        if level == MOST_LEVELS - 1:
+            judged = judged.withColumn("dense", F.lit(True))
+        judged = materialize(judged, "judged")
+        large = materialize(passing(keys, judged.select("node"), ["node"]).join(judged, "node"), "large-nodes")
+        edges.append(large.where("dense").select(F.col("cid").alias("a"), F.col("first").alias("b")))
+        rows = large.where("not dense")
+        rows = (rows.join(classes.select("cid", "sig"), "cid") if level == 0 else rows).select("node", "cid", "sig")
     small = reduce(DataFrame.unionByName, smalls)
     once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
     members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
