@@ -32,3 +32,17 @@ def test_sign_offs_and_sheets(spark):
 
 def test_all_queries_have_sql():
     assert set(plans.queries()) == set(plans.oracle_sql())
+
+
+def test_cases(spark):
+    from tallyloom.operators import cases
+
+    cells = spark.createDataFrame([(1, "(1,234.5)"), (1, "1234.5"), (1, "Item 900"), (1, "99"), (1, "8J 150"), (1, None)], "doc_id int, text string")
+    assert sorted(r.value for r in cases.value_fingerprint(cells).collect()) == [1235, 8150]
+    docs = spark.createDataFrame([(1, "cfc-tax-return", 2023, False), (1, "cfc-financial-statements", 2024, None), (1, "trial-balance", 2030, False), (1, "cfc-tax-return", 2031, True), (2, "cfc-tax-return", None, False)], "entity_id int, kind string, year int, duplicate boolean")
+    assert [tuple(r) for r in cases.derive_case_years(docs).collect()] == [(1, 2024, 2023, [2023])]
+    names = spark.createDataFrame([(1, "Keystone Pty Ltd"), (1, "The Abc Group")], "entity_id int, name string")
+    rows = [("Receivable from KEYSTONE", "bs", None), ("Keystoned receivable", "bs", None), ("Keystone", "bs", None), ("Due to Keystone", "is", None), ("Loan from keystone", "bs", None), ("ABC receivable", "bs", None), ("Keystone payable", "bs", "x")]
+    captions = spark.createDataFrame([(1, *r) for r in rows], "entity_id int, label string, feed string, target string")
+    got = {r.label: r.target for r in cases.route_related_party(captions, names).collect()}
+    assert got == {"Receivable from KEYSTONE": "loan-asset", "Keystoned receivable": None, "Keystone": None, "Due to Keystone": None, "Loan from keystone": "loan-liability", "ABC receivable": None, "Keystone payable": "x"}
