@@ -36,20 +36,171 @@ def test_line_dedup(spark):
     assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\ny", 5, 3), 3: ("", 3, 3), 4: ("p", 4, 3)}
 
 
-@pytest.mark.parametrize("rows", [EDGE, []])
-def test_edge_cases_do_not_crash(spark, vocabulary, rows):
-    docs = frame(spark, rows)
-    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows)], "doc_id bigint, toxic int")
-    n = len(rows)
-    assert line_dedup.dedup_lines(docs).count() == n
-    assert len(mixing.mix_sources(docs).collect()) == n
-    assert len(winnow.compare_edits(docs).collect()) == n
-    assert len(near_dup.near_duplicates(docs, keep=docs.columns).collect()) == n
-    assert len(bpe.round_trip(docs, vocabulary, ["doc_id"]).collect()) == n
+def edge_frame(spark, rows):
+    """The cases with columns of the operators' own names beside them."""
+    own = ("n_lines", "n_removed", "target", "taken", "repeats", "n_shingles", "kept", "lang_pred", "score", "ids", "n_tokens", "word_chars")
+    return frame(spark, rows).select("*", *(F.lit("own").alias(c) for c in own))
+
+
+def values(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_edge_values_of_lines_and_mixing(spark):
+    docs = edge_frame(spark, EDGE)
+    lines = {None: 0, "": 1, " \n\n ": 3, "a b": 1, LONG: 1, EDGE[-1][1]: 1}
+    assert values(line_dedup.dedup_lines(docs), "doc_id", "text", "n_lines", "n_removed") == sorted(((i, t, lines[t], 0) for i, t in EDGE), key=str)
+    mixed = mixing.mix_sources(docs).collect()
+    size = lambda t: len((t or "").split())
+    assert sorted(((r.doc_id, r["size"]) for r in mixed), key=str) == sorted(((i, size(t)) for i, t in EDGE), key=str)
+    total = sum(size(t) for _, t in EDGE)
+    assert {(r.source_size, r.target) for r in mixed} == {(total, float(total))} and sum(r.taken for r in mixed) == total
+    assert {r.n_lines for r in mixed} == {"own"}
+
+
+def test_edge_values_of_near_duplicates(spark):
+    out = near_dup.near_duplicates(edge_frame(spark, EDGE), keep=["doc_id", "kept", "score"])
+    n6 = len({tuple(x) for x in zip(*(EDGE[-1][1].lower().split()[k:] for k in range(5)), strict=False)})
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (None, 1, 4, False), (None, 0, None, True), (5, 1, 5, True), (6, n6, 6, True)]
+    assert values(out, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=str)
+    assert {r.score for r in out.collect()} == {"own"}
+
+
+def test_edge_values_of_tokens(spark, vocabulary):
+    docs = edge_frame(spark, EDGE)
+    library = Tokenizer.from_file(public_tokenizers.path(queries.VOCABULARY_FILE))
+    ids = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in EDGE}
+    want = sorted(((i, len(ids[t]), hashlib.sha256(np.array(ids[t], "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in EDGE), key=str)
+    assert values(bpe.round_trip(docs, vocabulary, ["doc_id"]), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    edited = docs.withColumn("edits", token_counts.sample_edits(F.col("text"), F.col("source")))
+    done = token_counts.apply_edits(token_counts.build_trees(edited, vocabulary), vocabulary)
+    assert values(done, "doc_id", "n_tokens") == sorted(((i, len(ids[t])) for i, t in EDGE), key=str)
+    assert all(r.edited_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) == sum(r.word_tokens) for r in done.collect())
+
+
+def test_edge_values_of_models(spark):
+    docs = edge_frame(spark, EDGE)
+    found = values(language_id.predict(docs, language_id.fit(docs), ["doc_id", "text"]), "doc_id", "text", "lang_pred")
+    assert found == sorted(((i, t, "en" if (t or "").strip() else "und") for i, t in EDGE), key=str)
+    assert values(language_id.predict(docs, None, ["doc_id"]), "lang_pred", "score") == [("und", 0.0)] * len(EDGE)
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(EDGE)] + [(6, None)], "doc_id bigint, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), ["text"]).collect()
+    assert len(scored) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    assert len({r.score for r in scored if not r.text}) == 1 and len({r.score for r in scored if r.text == "a b"}) == 1
+    assert values(toxicity.score(docs, None, []), "score", "predicted") == [(0.0, 0)] * len(EDGE)
+
+
+def test_empty_tables(spark, vocabulary):
+    docs = edge_frame(spark, EDGE).limit(0)
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     edited = docs.withColumn("edits", token_counts.sample_edits(F.col("text"), F.col("source")))
-    assert len(token_counts.apply_edits(token_counts.build_trees(edited, vocabulary), vocabulary).collect()) == n
-    assert len(language_id.predict(docs, language_id.fit(docs), ["doc_id"]).collect()) == n
-    assert len(toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()) == n
+    for out in (
+        line_dedup.dedup_lines(docs), mixing.mix_sources(docs), winnow.compare_edits(docs), near_dup.near_duplicates(docs), bpe.round_trip(docs, vocabulary, ["doc_id"]),
+        token_counts.apply_edits(token_counts.build_trees(edited, vocabulary), vocabulary), language_id.predict(docs, language_id.fit(docs), ["doc_id"]), toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]),
+    ):
+        assert out.collect() == []
+
+
+def test_blank_windows_are_windows(spark):
+    docs = frame(spark, [(1, "a\n\n\n\nb"), (2, "c\n\n\n\nd")])
+    assert values(line_dedup.dedup_lines(docs), "doc_id", "text") == [(1, "a\n\n\n\nb"), (2, "c\nd")]
+    assert values(line_dedup.dedup_lines(docs, skip_blank=True), "doc_id", "text") == [(1, "a\n\n\n\nb"), (2, "c\n\n\n\nd")]
+
+
+def test_every_letter_of_a_long_word_counts():
+    """Two words of 308 letters that differ in their middle have different features and probabilities."""
+    rng = random.Random(1)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [" ".join(word(letters, 6) for _ in range(40)) for letters in ("abcd", "wxyz") for _ in range(30)]
+    model = language_id.train(texts, ["one"] * 30 + ["two"] * 30)
+    edge = word("abcd", 60)
+    pair = [edge + word(letters, 188) + edge for letters in ("abcd", "wxyz")]
+    assert [model.labels[i] for i in language_id.Tagger(model).shares(*T.utf8(pa.array(pair))).argmax(1)] == ["one", "two"]
+
+
+def test_word_labels_in_mixed_text_equal_plain_forward_backward():
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word(letters) for _ in range(50)) for letters in ("abcde", "vwxyz", "abxyz") for _ in range(25)]
+    model = language_id.train(texts, ["l1"] * 25 + ["l2"] * 25 + ["l3"] * 25)
+    mixed = " ".join([word("abcde") for _ in range(90)] + [word("vwxyz") for _ in range(90)])
+    gamma, letters, _ = language_id.Tagger(model).tags(*T.utf8(pa.array(["", mixed])))
+    words = mixed.split()
+    assert letters.tolist() == [len(w) for w in words]
+    e = []
+    for w in words:
+        cp = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+        f, owner = language_id.features(*language_id.padded(cp, np.array([0]), np.array([len(w)])), model.lexicon, model.lexicon_label)
+        s = language_id.potentials(model.weights, f, owner, 1)[0]
+        e.append(np.exp(s - s.max()) + 1e-12)
+    a, k = np.exp(model.moves - model.moves.max()), len(model.labels)
+    alpha, beta = [np.full(k, 1 / k) @ a * e[0]], [np.ones(k)]
+    for x in e[1:]:
+        alpha.append(alpha[-1] / alpha[-1].sum() @ a * x)
+    for x in e[:0:-1]:
+        beta.append(a @ (x * beta[-1]) / (x * beta[-1]).sum())
+    want = np.array(alpha) * np.array(beta[::-1])
+    assert np.allclose(gamma, want / want.sum(1, keepdims=True))
+    assert (gamma.argmax(1)[:80] == model.labels.index("l1")).mean() > 0.9 and (gamma.argmax(1)[-80:] == model.labels.index("l2")).mean() > 0.9
+
+
+def test_isotonic_fit_equals_min_max_formula():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 25, 120).astype(float), rng.integers(0, 2, 120).astype(float)
+    xs, ys = toxicity.isotonic(x, y)
+    at = np.unique(x)
+    mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+    want = [max(min(mean(a, b) for b in at if b >= v) for a in at if a <= v) for v in at]
+    assert np.allclose(np.interp(at, xs, ys), want) and (np.diff(ys) >= 0).all()
+    xs, ys = toxicity.isotonic(np.zeros(0), np.zeros(0))
+    assert np.allclose(np.interp([0.0, 2.0], xs, ys), 1 / (1 + np.exp([0.0, -2.0])))
+
+
+def test_boosting_equals_plain_boosting():
+    """Splits by the largest gain over all features and cuts, leaves by Newton steps, one tree after another."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 9, (160, 3)).astype(float)
+    y = (x[:, 0] + 2 * (x[:, 2] > 4) + rng.random(160) > 6).astype(float)
+    feature, cut, value, base = toxicity.boost(x, y)
+    raw = np.full(160, base)
+    assert base == pytest.approx(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])) for j in range(3)]
+    for t in range(4):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = y - p, p * (1 - p)
+        node = np.zeros(160, int)
+        for d in range(toxicity.DEPTH):
+            for k in range(2**d - 1, 2 ** (d + 1) - 1):
+                on = node == k
+                best = 1e-6
+                for j in range(3):
+                    for e in edges[j]:
+                        left = on & (x[:, j] <= e)
+                        right = on & (x[:, j] > e)
+                        if min(h[left].sum(), h[right].sum()) >= toxicity.LEAST / 20:
+                            gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, right)) - g[on].sum() ** 2 / (h[on].sum() + 1)
+                            best = max(best, gain)
+                f, c = feature[t, k], cut[t, k]
+                left, right = on & (x[:, f] <= c), on & (x[:, f] > c)
+                got = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, right)) - g[on].sum() ** 2 / (h[on].sum() + 1)
+                assert (best == 1e-6 and np.isinf(c)) or got == pytest.approx(best)
+            node = 2 * node + 1 + (x[np.arange(160), feature[t, node]] > cut[t, node])
+        leaf = node - (2**toxicity.DEPTH - 1)
+        step = np.array([toxicity.RATE * g[leaf == k].sum() / (h[leaf == k].sum() + 1) for k in range(2**toxicity.DEPTH)])
+        assert np.allclose(value[t], step)
+        raw += step[leaf]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 9, 60])
+def test_toxicity_has_one_scheme_at_every_size(n):
+    texts = [f"you are {'vile scum' if i % 2 else 'kind and good'} number {i}" for i in range(n)]
+    y = np.array([i % 2 for i in range(n)], float)
+    model = toxicity.train(texts, y)
+    assert (model is None) == (n < 2)
+    if model is not None:
+        raw, off = T.utf8(pa.array(texts))
+        score = np.interp(toxicity.raw_score(toxicity.text_features(raw, off, model.words, model.weights), model), model.xs, model.ys)
+        assert ((score >= 0) & (score <= 1)).all() and (n < 60 or ((score >= 0.5) == y).mean() > 0.9)
 
 
 def test_bpe_equals_library(vocabulary):
