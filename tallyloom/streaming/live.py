@@ -6,7 +6,7 @@ by the watermark (ingestion) or by the number of keys (aggregates).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.session import fresh_path
@@ -22,11 +22,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(events: DataFrame, delay: str = "1 day", most_chars: int = 2000) -> DataFrame:
-    """Each event id once within the delay, detail cut to ``most_chars``."""
+    """Each event id once within the delay, detail cut to ``most_chars``; deliver keeps ids apart for good."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).withColumn("props", F.substring("props", 1, most_chars))
 
 
+def deliver(stream: DataFrame, sink: str, keys: list[str], order: str = "ts") -> None:
+    """Append what a stream's source has now to the Parquet table ``sink``, each key once for all runs.
+
+    A batch keeps the first row of a key by ``order`` and leaves out keys that the sink has, so deliveries that come again,
+    late ones and repeated batches among them, add nothing. Of the sink only the key columns are read.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(sink)
+    first = Window.partitionBy(*keys).orderBy(order)
+
+    def add(batch: DataFrame, _: int) -> None:
+        new = batch.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        held = batch.sparkSession.read.schema(stream.schema).parquet(sink).select(*keys)
+        new.join(held, keys, "left_anti").select(*stream.columns).write.mode("append").parquet(sink)
+
+    stream.writeStream.option("checkpointLocation", fresh_path(spark, "delivered-offsets")).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+
+
 def advance_tasks(events: DataFrame) -> DataFrame:
     """The furthest status of each user's task; it never goes back."""
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in RANKS.items() for x in kv)), F.col("event_type")), F.lit(0))
