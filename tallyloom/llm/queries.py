@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, hamming_search, language_id, line_dedup, mixing, near_dup, token_counts, toxicity, warc, winnow
+from tallyloom.llm import bpe, filter_audit, hamming_search, language_id, line_dedup, mixing, near_dup, packing, periodic_runs, token_counts, toxicity, warc, winnow
 from tallyloom.llm.folds import held_out
 from tallyloom.session import table
 
@@ -84,8 +84,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "edited_tokens", "n_words", "reencoded_words", F.sha2(F.encode("text", "UTF-8"), 256).alias("edited_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def repeating(text: Column, doc_id: Column) -> Column:
+    """The text whose words repeat from one of them on, with a period, for a tenth of the ids; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " ")).otherwise("")
+
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeated), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeating(F.col("text"), F.col("doc_id")).alias("text"))
+    rows = periodic_runs.find_runs(docs, keep=["doc_id"]).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.encode(periodic_runs.listing(F.col("runs")), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_line_dedup, op2_warc, op3_language_id, op4_near_dup, op5_winnowing, op6_hamming_topk, op7_mixing, op8_toxicity, op9_bpe, op10_token_counts)
+    ops = (op1_line_dedup, op2_warc, op3_language_id, op4_near_dup, op5_winnowing, op6_hamming_topk, op7_mixing, op8_toxicity, op9_bpe, op10_token_counts, op11_packing, op12_filter_audit, op13_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
@@ -174,5 +212,70 @@ FROM r
 """
 
 
+_AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(words) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INTEGER)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(w.doc_id > first, false) AS INTEGER) AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+orders AS (
+  SELECT '' AS o, 0 AS k UNION ALL
+  SELECT o || x, k + 1 FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE k < 5 AND NOT contains(o, x)),
+steps AS (
+  SELECT o, k, 1 << CAST(ascii(substr(o, k, 1)) - 65 AS INTEGER) AS bit,
+         coalesce((SELECT CAST(sum(1 << CAST(ascii(substr(o, j, 1)) - 65 AS INTEGER)) AS INTEGER) FROM range(1, 6) r(j) WHERE j < k), 0) AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS k FROM orders WHERE k = 5)),
+r AS (
+  SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, bit,
+         CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+_RUNS = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, crc),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+q AS (SELECT row, doc_id, w, CASE WHEN h % 10 = 0 THEN a END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+words AS (
+  SELECT row, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x, len(w) AS n
+  FROM (SELECT *, unnest(range(len(w))) AS i FROM q)),
+pairs AS (
+  SELECT l.row, l.i, r.i - l.i AS d FROM words l JOIN words r ON l.row = r.row AND l.x = r.x AND r.i > l.i AND 2 * (r.i - l.i) <= l.n),
+stretches AS (
+  SELECT row, d, min(i) AS start, count(*) + d AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, d ORDER BY i) AS island FROM pairs) GROUP BY row, d, island
+  HAVING count(*) >= d AND count(*) + d >= 12),
+runs AS (SELECT row, start, length, min(d) AS period FROM stretches GROUP BY ALL),
+best AS (
+  SELECT row, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, max(length) AS length,
+         first(period ORDER BY length DESC, start, period) AS period,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY row),
+dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (row) LEFT JOIN kept USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op4_near_dup": _NEAR_DUP, "op6_hamming_topk": _HAMMING, "op7_mixing": _MIXING}
+    return {"op1_line_dedup": _LINES, "op2_warc": _WARC, "op4_near_dup": _NEAR_DUP, "op6_hamming_topk": _HAMMING, "op7_mixing": _MIXING, "op12_filter_audit": _AUDIT, "op13_periodic_runs": _RUNS}
