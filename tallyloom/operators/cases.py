@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import norm, parse_number
 
-#: Words of a company's name that don't tell it apart, and the feeds of each kind of page.
-NAME_STOP = ["pty", "ltd", "limited", "inc", "llc", "corp", "corporation", "the", "and", "solutions", "americas", "group"]
+#: Words of a company's name that don't tell it apart from others, words that aren't a group's name, the feeds of
+#: each kind of page, and wordings of what is owed.
+NAME_STOP = ["pty", "ltd", "limited", "inc", "llc", "corp", "corporation", "co", "gmbh", "plc", "the"]
+GROUP_STOP = ["pty", "ltd", "limited", "inc", "llc", "corp", "corporation", "the", "and", "solutions", "americas", "group"]
 STATEMENT_FEEDS = {
     "fs-trading": ["generic-is", "profile"], "fs-pnl": ["generic-is", "profile"], "fs-balance-sheet": ["generic-bs", "profile"], "fs-equity": ["equity"], "fs-cover": ["profile"], "fs-notes": ["profile"],
     "ato-return": ["targeted-ato"], "ato-calc-statement": ["targeted-ato"], "ato-dividend-schedule": ["targeted-ato"], "ato-franking": ["targeted-ato"],
@@ -49,15 +51,19 @@ def pages_for_feed(pages: DataFrame, feed: str) -> DataFrame:
     return pages.where(F.array_contains(feeds_of(F.col("kind"), F.col("page_kind"), F.col("duplicate")), feed))
 
 
-def name_tokens(name: Column) -> Column:
+def name_tokens(name: Column, stop: list[str] = NAME_STOP) -> Column:
     """Distinct words of a company's name in lower case, without those that tell nothing."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9 ]+", " "), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(NAME_STOP)))
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(stop)))
 
 
 def entity_similarity(a: Column, b: Column) -> Column:
     """The share of the smaller name's words that both names have; 0 if one has none."""
-    x, y = name_tokens(a), name_tokens(b)
+    return token_overlap(name_tokens(a), name_tokens(b))
+
+
+def token_overlap(x: Column, y: Column) -> Column:
+    """The share of the smaller array's words that both arrays have; 0 if one is empty or null."""
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
 
@@ -68,7 +74,7 @@ def route_related_party(captions: DataFrame, names: DataFrame) -> DataFrame:
 
     A caption's words meet the names' words of four letters or more in an equi-join within the entity.
     """
-    stems = names.select("entity_id", F.explode(F.filter(name_tokens(F.col("name")), lambda w: F.length(w) >= 4)).alias("word")).distinct()
+    stems = names.select("entity_id", F.explode(F.filter(name_tokens(F.col("name"), GROUP_STOP), lambda w: F.length(w) >= 4)).alias("word")).distinct()
     low = F.lower("label")
     open_ = captions.where("target is null and feed = 'bs'").select("entity_id", low.alias("low")).distinct()
     words = open_.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))))
