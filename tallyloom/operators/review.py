@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Policies on messages go along with every row in arrays of about so many.
+POLICY_BLOCK = 2_000
 
-#: Up to so many policies go along with every row; more are joined.
-POLICY_ROWS = 2_000
 
+def _given(c: Column) -> Column:
+    return F.coalesce(c != "", F.lit(False))
 
-def _policy_hits(id_: Column, category: Column, message: Column, p: Column) -> Column:
-    """Whether a policy holds: by its first criterion that is set, id, else category, else message; none never holds."""
-    text = F.when(p["regex"], F.regexp_like(message, F.concat(F.lit("(?i)"), p["m_message"]))).otherwise(F.contains(F.lower(message), F.lower(p["m_message"])))
-    given = lambda x: F.coalesce(x != "", F.lit(False))
-    hit = F.when(given(p["m_id"]), id_.cast("string") == p["m_id"]).when(given(p["m_category"]), category == p["m_category"]).when(given(p["m_message"]), text)
-    return F.coalesce(hit, F.lit(False))
 
+def readable(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that matches messages can read a regular expression."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
 
-def readable_policies(policies: DataFrame) -> DataFrame:
-    """Policies without those whose regular expression can't be read: these never hold. They are rules that users typed."""
-    bad = []
-    for r in policies.where("regex and coalesce(m_id, '') = '' and coalesce(m_category, '') = ''").select("ord", "m_message").toLocalIterator():
-        try:
-            re.compile(r.m_message or "")
-        except re.error:
-            bad.append(r.ord)
-    return policies.where(~F.col("ord").isin(bad)) if bad else policies
+
+def message_policies(policies: DataFrame) -> DataFrame:
+    """Policies that judge a message, without those whose regular expression can't be read: these never hold."""
+    texts = policies.where(~_given(F.col("m_id")) & ~_given(F.col("m_category")) & _given(F.col("m_message")))
+    # rules that users typed, one at a time
+    bad = [r.ord for r in texts.where("regex").select("ord", "m_message").toLocalIterator() if not readable(policies.sparkSession, "(?i)" + r.m_message)]
+    return texts.where(~F.col("ord").isin(bad)) if bad else texts
 
 
 def first_policy(review: DataFrame, policies: DataFrame) -> DataFrame:
     """``review`` (entity_id, id, level, category, message) under policies (ord, m_id, m_category, m_message, regex, action).
 
     The first policy by ``ord`` that holds decides: ``suppress`` drops the item, ``keep`` leaves its level, another action is
-    the new level; ``action`` says which, null if none holds. Messages match as text or regular expression, whatever their
-    case. Up to POLICY_ROWS policies are one array that goes along with each row, so nothing is shuffled; more are joined.
+    the new level; ``action`` says which, null if none holds. A policy holds by its first criterion that is set, id, else
+    category, else message; one without any never does. Messages match as text or regular expression, whatever their case.
+    Items meet policies on ids and on categories in equi-joins with one row a key; policies on messages are arrays of about
+    POLICY_BLOCK each that go along with every row, however many there are. No row is told from another by its ids, so equal
+    and null ids are judged each for itself.
     """
-    known = readable_policies(policies.select("ord", "m_id", "m_category", "m_message", F.coalesce("regex", F.lit(False)).alias("regex"), "action"))
-    if known.count() <= POLICY_ROWS:
-        rules = known.agg(F.sort_array(F.collect_list(F.struct("ord", "m_id", "m_category", "m_message", "regex", "action"))).alias("r"))
-        held = F.filter("__rules", lambda p: _policy_hits(F.col("id"), F.col("category"), F.col("message"), p))
-        joined = review.withColumn("__rules", rules.scalar()).withColumn("action", F.get(held, F.lit(0))["action"]).drop("__rules")
-    else:
-        item = [F.col(f"i.{c}") for c in ("id", "category", "message")]
-        best = review.alias("i").join(known.select(F.struct("*").alias("p")), _policy_hits(*item, F.col("p"))).groupBy("i.entity_id", "i.id").agg(F.min_by(F.col("p.action"), F.col("p.ord")).alias("action"))
-        joined = review.join(best, ["entity_id", "id"], "left")
+    known = policies.select("ord", "m_id", "m_category", "m_message", F.coalesce("regex", F.lit(False)).alias("regex"), "action")
+    best = F.min(F.struct("ord", "action"))
+    by_id = known.where(_given(F.col("m_id"))).groupBy(F.col("m_id").alias("__m_id")).agg(best.alias("__by_id"))
+    by_category = known.where(~_given(F.col("m_id")) & _given(F.col("m_category"))).groupBy(F.col("m_category").alias("__m_category")).agg(best.alias("__by_category"))
+    joined = review.join(by_id, F.col("id").cast("string") == F.col("__m_id"), "left").join(by_category, F.col("category") == F.col("__m_category"), "left")
+    texts = message_policies(known)
+    blocks = -(-texts.count() // POLICY_BLOCK)
+    low = F.lower("message")
+    found = []
+    for b in range(blocks):
+        mine = texts.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == b)
+        rules = mine.agg(F.sort_array(F.collect_list(F.struct("ord", "action", F.when(F.col("regex"), F.concat(F.lit("(?i)"), F.col("m_message"))).alias("pattern"), F.lower("m_message").alias("text")))).alias("r"))
+        joined = joined.withColumn(f"__rules{b}", rules.scalar())
+        held = F.filter(f"__rules{b}", lambda p: F.coalesce(F.when(p["pattern"].isNotNull(), F.regexp_like(F.col("message"), p["pattern"])).otherwise(F.contains(low, p["text"])), F.lit(False)))
+        first = F.get(held, F.lit(0))
+        found.append(F.when(first.isNotNull(), F.struct(first["ord"].alias("ord"), first["action"].alias("action"))))
+    choices = [F.col("__by_id"), F.col("__by_category"), *found]
+    joined = joined.withColumn("action", F.least(*choices)["action"]).drop("__m_id", "__by_id", "__m_category", "__by_category", *(f"__rules{b}" for b in range(blocks)))
     level = F.when(F.col("action").isNull() | (F.col("action") == "keep"), F.col("level")).otherwise(F.col("action"))
     return joined.withColumn("level", level).where("action is null or action <> 'suppress'")
 

@@ -40,13 +40,13 @@ _DAILY = """SELECT n_name AS code, CAST(o_orderdate AS DATE) AS d, max(1 + n_nat
 _LEDGER = """SELECT o_custkey AS entity_id, CAST(month(o_orderdate) AS BIGINT) AS reference, o_totalprice AS source,
  CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'cash paid' ELSE 'credit note' END AS details FROM orders"""
 _REVIEW = """SELECT source AS entity_id, d.doc_id AS id, CASE WHEN toxic = 1 THEN 'block' WHEN quality = 0 THEN 'warn' ELSE 'info' END AS level,
- lang AS category, text AS message FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+ lang AS category, text AS message FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 _POLICIES = """VALUES (1, '17', CAST(NULL AS STRING), CAST(NULL AS STRING), false, 'block'), (2, CAST(NULL AS STRING), 'de', 'not read', false, 'suppress'),
  (3, CAST(NULL AS STRING), CAST(NULL AS STRING), 'l[ae]s? ', true, 'warn'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING), 'THE', false, 'keep'),
  (5, CAST(NULL AS STRING), 'fr', CAST(NULL AS STRING), false, 'info'), (6, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), false, 'suppress')"""
 _STATE = "SELECT user_id AS id, count(*) AS version FROM events WHERE event_type = 'click' GROUP BY 1"
 _UPDATES = """SELECT e.user_id AS id, e.event_id AS ord, CASE WHEN e.event_id % 3 > 0 THEN s.n + e.event_id % 5 END AS base_version
- FROM events e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) s ON e.user_id = s.user_id WHERE event_type = 'purchase'"""
+ FROM events e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) s ON e.user_id = s.user_id WHERE event_type <> 'click'"""
 _CELLS = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE (l_orderkey + l_linenumber) % 10 WHEN 0 THEN concat('(', g, ')') WHEN 1 THEN translate(g, ',.', '.,') WHEN 2 THEN concat(g, ' CR')
  WHEN 3 THEN concat(g, '-') WHEN 4 THEN concat('USD ', g) WHEN 5 THEN concat('€', translate(g, ',.', '.,')) WHEN 6 THEN concat('Rs. ', g) WHEN 7 THEN concat(g, ' DR /')
  WHEN 8 THEN concat('A$ -', replace(g, ',', ' ')) ELSE concat('n/a ', l_returnflag) END AS cell FROM (SELECT *, {grouped} AS g FROM lineitem) t"""

@@ -112,16 +112,25 @@ def test_rates_fall_back_on_the_year_only(spark):
     assert got == {1: (1.5, 1.6, 1.4), 2: (1.5, 1.6, 1.4), 3: (None, None, None), 4: (None, None, 1.7), 5: (None, None, None)}
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_policies(spark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(review, "POLICY_ROWS", 0)
+@pytest.mark.parametrize("block", [1, 2, 2_000])
+def test_policies(spark, monkeypatch, block):
+    """However many policies go along in one array, the first that holds decides, for each row by itself."""
+    monkeypatch.setattr(review, "POLICY_BLOCK", block)
     rows = [("e", i, "info", c, m) for i, c, m in ((1, "fx", "Rate is old"), (2, "fx", "other"), (3, "doc", "RATE of 7"), (4, "doc", "none"), (5, None, None))]
     items = spark.createDataFrame(rows, "entity_id string, id int, level string, category string, message string")
     rules = [(1, "2", "doc", None, False, "keep"), (2, None, None, "(", True, "suppress"), (3, None, None, r"rate of \d", True, "block"), (4, "", "", "rate", False, "warn"), (5, None, None, None, False, "suppress"), (6, "4", None, None, False, "suppress")]
-    policies = spark.createDataFrame(rules, "ord int, m_id string, m_category string, m_message string, regex boolean, action string")
-    got = {r.id: (r.level, r.action) for r in review.first_policy(items, policies).collect()}
+    schema = "ord int, m_id string, m_category string, m_message string, regex boolean, action string"
+    got = {r.id: (r.level, r.action) for r in review.first_policy(items, spark.createDataFrame(rules, schema)).collect()}
     assert got == {1: ("warn", "warn"), 2: ("info", "keep"), 3: ("block", "block"), 5: ("info", None)}
+    # items that share a key, and items without one
+    same = spark.createDataFrame([("e", 1, "info", None, "alpha"), ("e", 1, "info", None, "beta"), (None, 2, "info", None, "alpha")], items.schema)
+    got = [(r.entity_id, r.message, r.level) for r in review.first_policy(same, spark.createDataFrame([(1, None, None, "alpha", False, "block")], schema)).collect()]
+    assert sorted(got, key=str) == [("e", "alpha", "block"), ("e", "beta", "info"), (None, "alpha", "block")]
+    # expressions are read by the engine that matches them
+    odd = [(1, None, None, r"(?P<x>al)pha", True, "block"), (2, None, None, r"\p{L}+pha", True, "warn"), (3, None, "late", None, False, "block"), (4, None, "late", None, False, "warn")]
+    got = [(r.message, r.level) for r in review.first_policy(same.withColumn("category", F.when(F.col("message") == "beta", "late")), spark.createDataFrame(odd, schema)).collect()]
+    assert sorted(got) == [("alpha", "warn"), ("alpha", "warn"), ("beta", "block")]
+    assert len(review.first_policy(items, spark.createDataFrame([], schema)).collect()) == 5
 
 
 def test_pairs_stay_within_an_entity(spark):
