@@ -1,10 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into units: words (runs of characters other than U+0020 and U+0009 to U+000D), cut again behind digits, a few
-rare letters and signs, and characters of scripts that are written without spaces, so that long runs without blanks have many
-units too; texts under SHORT_CHARS code points are cut into code points. Units are hashed; a rolling hash by cyclic shifts
-covers every GRAM_UNITS of them; of every WINDOW_GRAMS rolling hashes the smallest is kept, the rightmost on ties, with its
-position. The first windows grow from one gram to WINDOW_GRAMS. Two texts that share a run of GRAM_UNITS + WINDOW_GRAMS - 1
+Every text is winnowed twice, by one rule at every length. Its units are words (runs of characters other than U+0020 and U+0009
+to U+000D); in a run of more than RUN_CHARS characters each further one is a unit of its own, as is each character of scripts
+that are written without spaces, so no unit is long. And the first HEAD_CHARS code points of a text are units of their own,
+blanks left out, so that texts of a few words have many units too. Units are hashed; a rolling hash by cyclic shifts covers
+every GRAM_UNITS of them; of every WINDOW_GRAMS rolling hashes (HEAD_WINDOW in the head) the smallest is kept, the rightmost on
+ties, with its position. The first windows grow from one gram. Two texts that share a run of GRAM_UNITS + WINDOW_GRAMS - 1
 units share a fingerprint, as do two texts that begin with the same GRAM_UNITS units.
 """
 
@@ -16,8 +17,9 @@ from pyspark.sql.types import IntegralType
 
 GRAM_UNITS = 5
 WINDOW_GRAMS = 4
-SHORT_CHARS = 64
-UNIT_BREAK = r"[\x20\x09-\x0D]+|(?<=[0-9+/=_qQzZxXjJkKwW⺀-￿\x{10000}-\x{10FFFF}])"
+RUN_CHARS = 24
+HEAD_CHARS, HEAD_WINDOW = 64, 2
+UNIT_BREAK = rf"[\x20\x09-\x0D]+|(?<=[⺀-￿\x{{10000}}-\x{{10FFFF}}])|(?<=[^\x20\x09-\x0D]{{{RUN_CHARS}}})"
 #: A window's order: 31 bits of a gram's hash above 32 bits that hold the position counted from the right.
 TOP = (1 << 32) - 1
 ORDER_BITS = (1 << 31) - 1
@@ -41,34 +43,48 @@ def _pairs(a: Column, ahead: int, other: Column, f) -> Column:
 
 
 def units(text: Column) -> Column:
-    cut = F.when(F.length(text) < SHORT_CHARS, F.split(text, "", -1)).otherwise(F.split(text, UNIT_BREAK, -1))
-    return F.filter(cut, lambda x: F.trim(x) != "")
+    return F.filter(F.split(text, UNIT_BREAK, -1), lambda x: F.trim(x) != "")
 
 
-def with_fingerprints(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with ``out``, the 64-bit hashes of the chosen grams in order of position, and ``out``_at, their positions.
+def head_units(text: Column) -> Column:
+    return F.filter(F.split(F.substring(text, 1, HEAD_CHARS), "", -1), lambda x: F.trim(x) != "")
 
-    Positions are numbers of units from 0; a gram that is chosen at several places is listed for each. A null text counts as
-    empty. Without units both arrays are empty; with fewer than GRAM_UNITS units all units make one gram.
-    """
+
+def _winnowed(df: DataFrame, units_: Column, window: int, out: str) -> DataFrame:
+    """``df`` with ``out`` and ``out``_at: the grams that windows of ``window`` (a power of two) choose, and where they are."""
     h, g, two, four = (f"__wn_{out}_{x}" for x in ("h", "g", "two", "four"))
     empty = F.array().cast("array<bigint>")
-    df = df.withColumn(h, F.transform(units(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)))
+    df = df.withColumn(h, F.transform(units_, lambda x: F.xxhash64(x)))
     df = df.withColumn(two, _pairs(F.col(h), 1, F.col(h), lambda a, b: _rotate(a, 1).bitwiseXOR(b)))
     df = df.withColumn(four, _pairs(F.col(two), 2, F.col(two), lambda a, b: _rotate(a, 2).bitwiseXOR(b)))
     five = _pairs(F.col(four), 4, F.col(h), lambda a, b: F.xxhash64(_rotate(a, 1).bitwiseXOR(b)))
     short = F.when(F.size(h) > 0, F.array(F.xxhash64(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: _rotate(a, 1).bitwiseXOR(x))))).otherwise(empty)
     df = df.withColumn(g, F.when(F.size(h) >= GRAM_UNITS, five).otherwise(short))
     rank = F.transform(g, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(ORDER_BITS)), 32).bitwiseOR(F.lit(TOP) - i))
-    ahead = F.array_repeat(F.lit(2**63 - 1), WINDOW_GRAMS - 1)
-    df = df.withColumn(four, F.concat(ahead, rank))
-    df = df.withColumn(two, _pairs(F.col(four), 1, F.col(four), lambda a, b: F.least(a, b)))
-    chosen = F.array_distinct(_pairs(F.col(two), 2, F.col(two), lambda a, b: F.least(a, b)))
-    df = df.withColumn(f"{out}_at", F.transform(chosen, lambda x: (F.lit(TOP) - x.bitwiseAND(F.lit(TOP))).cast("int")))
+    df = df.withColumn(four, F.concat(F.array_repeat(F.lit(2**63 - 1), window - 1), rank))
+    covered = 1
+    while covered < window:
+        source, covered = four if covered == 1 else two, covered * 2
+        df = df.withColumn(two, _pairs(F.col(source), covered // 2, F.col(source), lambda a, b: F.least(a, b)))
+    df = df.withColumn(f"{out}_at", F.transform(F.array_distinct(two), lambda x: (F.lit(TOP) - x.bitwiseAND(F.lit(TOP))).cast("int")))
     df = df.withColumn(out, F.transform(f"{out}_at", lambda i: F.get(F.col(g), i)))
     return df.drop(h, g, two, four)
 
 
+def with_fingerprints(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the 64-bit hashes of the chosen grams, and ``out``_at, their positions: those of the head first, then
+    those of the text, each in order.
+
+    Positions are numbers of units from 0, those of the head are -1, -2 and so on; a gram that is chosen at several places is
+    listed for each. A null text counts as empty. Without units both arrays are empty; with fewer than GRAM_UNITS units all
+    units make one gram.
+    """
+    text, head, body = F.coalesce(F.col(text_col), F.lit("")), f"__wn_{out}_head", f"__wn_{out}_body"
+    df = _winnowed(_winnowed(df, head_units(text), HEAD_WINDOW, head), units(text), WINDOW_GRAMS, body)
+    at = F.concat(F.transform(f"{head}_at", lambda i: -1 - i), F.col(f"{body}_at"))
+    return df.withColumns({out: F.concat(head, body), f"{out}_at": at}).drop(head, f"{head}_at", body, f"{body}_at")
+
+
 def digest(prints: Column, at: Column) -> Column:
     """Lower-case hex SHA-256 of the fingerprints with their positions."""
     return F.sha2(F.array_join(F.zip_with(prints, at, lambda x, i: F.concat(F.hex(x), F.lit("@"), i.cast("string"))), " "), 256)
@@ -134,7 +150,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last floor(n/4) code points replaced by as many first code points of the next document, or by
     all it has. Cases: null text is empty; a text without units has no fingerprints, two such texts are alike (1); under
-    about seven units the edit may change every gram (likeness 0); equal rows follow each other; an empty table gives no
+    about seven characters the edit may change every gram (likeness 0); equal rows follow each other; an empty table gives no
     rows; texts of any length are read whole. Extra columns of the input, whatever their names, aren't read. Returns id_col,
     n_chars, edited_text, prints, prints_at, edited_prints, edited_prints_at, near_edited, near_next.
     """

@@ -315,36 +315,64 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
 
 
-def plain_grams(text):
-    """Units and gram values of a text; grams are tuples of units."""
-    cut = list(text) if len(text) < winnow.SHORT_CHARS else re.split(r"[\x20\x09-\x0D]+|(?<=[0-9+/=_qQzZxXjJkKwW\u2e80-\uffff\U00010000-\U0010ffff])", text)
-    unit = [u for u in cut if u.strip(" ")]
+def plain_grams(unit):
+    """Gram values of a list of units: tuples of units."""
     k = winnow.GRAM_UNITS
     return [tuple(unit[i : i + k]) for i in range(len(unit) - k + 1)] if len(unit) >= k else [tuple(unit)] * bool(unit)
 
 
+def plain_units(text):
+    """The units of a text: cut at blanks, behind characters of unspaced scripts and behind every 24 characters without blanks."""
+    out, now, run = [], "", 0
+    for c in text:
+        if c in " \t\n\x0b\x0c\r":
+            out, now, run = [*out, now], "", 0
+            continue
+        now, run = now + c, run + 1
+        if "\u2e80" <= c <= "\uffff" or c > "\uffff" or run >= 24:
+            out, now = [*out, now], ""
+    return [u for u in [*out, now] if u]
+
+
 def test_winnowing_equals_brute_force(spark):
     """Per window the smallest order value, the rightmost on ties; checked from the hashes of all grams (windows of one)."""
     random.seed(4)
-    texts = ["", "   ", "ab", "a b", "ababababab" * 3, "one two three four five six seven", " ".join(["same"] * 60), "x" * 500, "漢字仮名" * 40, LONG[:5000]]
+    texts = ["", "   ", "ab", "a b", "ababababab" * 3, "one two three four five six seven", " ".join(["same"] * 60), "x" * 500, "漢字仮名" * 40, LONG[:5000], "ab " + "cd" * 40 + " " + "cd" * 12 + " ef"]
     texts += [" ".join(random.choice(["la", "lo", "7q7", "😀é", "b"]) for _ in range(random.randint(1, 120))) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    rows = {r.i: r for r in winnow.with_fingerprints(df, "t", "p").select("i", "p", "p_at", F.size(winnow.units(F.col("t"))).alias("n")).collect()}
+    rows = {r.i: r for r in winnow.with_fingerprints(df, "t", "p").collect()}
+    heads = {t: [c for c in t[:64] if c not in " \t\n\x0b\x0c\r"] for t in texts}
     value = {}  # of every gram, from texts that hold nothing else
-    grams = sorted({g for t in texts for g in plain_grams(t)})
+    grams = sorted({g for t in texts for g in plain_grams(plain_units(t)) + plain_grams(heads[t])})
     single = spark.createDataFrame([(i, list(g)) for i, g in enumerate(grams)], "i int, u array<string>")
     rot = lambda c: F.shiftleft(c, 1).bitwiseOR(F.shiftrightunsigned(c, 63))
     rolled = F.xxhash64(F.aggregate(F.transform("u", lambda x: F.xxhash64(x)), F.lit(0).cast("long"), lambda a, x: rot(a).bitwiseXOR(x)))
     value = {grams[r.i]: r.v for r in single.select("i", rolled.alias("v")).collect()}
-    for i, text in enumerate(texts):
-        own = [value[g] for g in plain_grams(text)]
+
+    def chosen(units, size):
+        own = [value[g] for g in plain_grams(units)]
         at = []
         for end in range(len(own)):
-            window = range(max(0, end - winnow.WINDOW_GRAMS + 1), end + 1)
-            best = min(window, key=lambda p: (own[p] & (2**31 - 1), -p))
+            best = min(range(max(0, end - size + 1), end + 1), key=lambda p: (own[p] & (2**31 - 1), -p))
             if best not in at:
                 at.append(best)
-        assert rows[i].p_at == at and rows[i].p == [own[p] for p in at], text
+        return at, [own[p] for p in at]
+
+    for i, text in enumerate(texts):
+        (head_at, head), (at, own) = chosen(heads[text], 2), chosen(plain_units(text), 4)
+        assert rows[i].p_at == [-1 - x for x in head_at] + at and rows[i].p == head + own, text
+
+
+def test_likeness_does_not_depend_on_a_length(spark):
+    """Texts that differ by one code point are near at all lengths, short and unspaced texts stay near their edit."""
+    random.seed(3)
+    words = lambda n: (" ".join("".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 8))) for _ in range(n)))
+    texts = [words(40)[:n] for n in (63, 64, 65, 100) for _ in range(10)]
+    df = winnow.with_fingerprints(winnow.with_fingerprints(spark.createDataFrame([(t, t + "s") for t in texts], "t string, u string"), "t", "p"), "u", "q")
+    assert all(jaccard(set(r.p), set(r.q)) > 0.9 for r in df.collect())
+    got = lambda *t: {r.doc_id: r.near_edited for r in winnow.compare_edits(frame(spark, list(enumerate(t)))).collect()}
+    assert got(words(40)[:70], "")[0] > 0.4
+    assert got("bb" * 40, "QUITE ELSE " * 20)[0] > 0 and got("".join(random.choice("etaoinsh") for _ in range(5000)), "QUITE ELSE " * 200)[0] > 0.5
 
 
 def test_winnowing_guarantee(spark):
