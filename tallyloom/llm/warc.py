@@ -92,12 +92,12 @@ def open_folder(url: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
-def write_archives(plan: DataFrame, folder: str, dictionary: bytes, level: int = 3) -> int:
-    """Write the records of ``plan`` into archives in ``folder`` and return their number.
+def write_archives(plan: DataFrame, folder: str, dictionary: bytes, level: int = 3) -> DataFrame:
+    """Write the records of ``plan`` into archives in ``folder``; returns (name, n), the archives and their numbers of records.
 
-    Each task writes archives of about ARCHIVE_BYTES (more only by a last record) to names of its own and renames them when
-    they are complete, so a repeated task replaces its files and readers never see half of one. Rows flow through; only the
-    open record is in memory.
+    Each task writes archives of about ARCHIVE_BYTES (more only by a last record) and renames them when they are complete, to
+    names of its own attempt. The list is written as well, by the tasks that succeeded: what a lost or repeated attempt left
+    behind isn't in it. Rows flow through; only the open record is in memory.
     """
     ship_package(plan.sparkSession)
     schema_order = ["page_id", "url", "payload", "digest", "record_type", "refers_to"]
@@ -106,21 +106,24 @@ def write_archives(plan: DataFrame, folder: str, dictionary: bytes, level: int =
     most = ARCHIVE_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, n, sink, size, files = TaskContext.get(), 0, None, 0, 0
+        context, n, sink, size = TaskContext.get(), 0, None, 0
+        names, counts = [], []
         fs, root = open_folder(url)
         part, temp = f"{context.partitionId():06d}", f"{root}/_open-{context.partitionId():06d}-{context.taskAttemptId()}"
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
 
         def end() -> None:
             sink.close()
-            fs.move(temp, f"{root}/part-{part}-{files:06d}.warc.zst")
+            names.append(f"part-{part}-{context.taskAttemptId()}-{len(names):06d}.warc.zst")
+            counts.append(n - sum(counts))
+            fs.move(temp, f"{root}/{names[-1]}")
 
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in schema_order]
             for i in range(batch.num_rows):
                 if sink is not None and size >= most:
                     end()
-                    sink, files = None, files + 1
+                    sink = None
                 if sink is None:
                     fs.create_dir(root, recursive=True)
                     sink, size = fs.open_output_stream(temp), 0
@@ -131,9 +134,9 @@ def write_archives(plan: DataFrame, folder: str, dictionary: bytes, level: int =
                 n += 1
         if sink is not None:
             end()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "n": pa.array(counts, pa.int64())})
 
-    return plan.select(*schema_order).mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return materialize(plan.select(*schema_order).mapInArrow(write, "name string, n bigint"), "warc-written")
 
 
 def parse_record(raw: bytes) -> tuple:
@@ -164,8 +167,9 @@ def archive_records(source: BinaryIO) -> Iterator[bytes]:
         ahead = ahead or source.read(READ_BYTES)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a record of the archives in ``folder``; payload is null in revisits.
+def read_archives(spark: SparkSession, folder: str, written: DataFrame | None = None) -> DataFrame:
+    """One row a record of the archives in ``folder``, of those that ``written`` (name) lists if it is given; payload is null in
+    revisits.
 
     Spark lists the archives and deals them to tasks; a task streams through each, with one record in memory at a time.
     """
@@ -188,7 +192,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path").mapInArrow(read, _READ)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path")
+    if written is not None:
+        found = found.join(written.select("name"), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
+    return found.mapInArrow(read, _READ)
 
 
 def resolved_records(records: DataFrame) -> DataFrame:
@@ -218,6 +225,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = fresh_path(spark, "archives")
     plan = with_record_plan(pages)
-    if not write_archives(plan, folder, train_dictionary(payloads(pages))):
+    written = write_archives(plan, folder, train_dictionary(payloads(pages)))
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    return resolved_records(read_archives(spark, folder))
+    return resolved_records(read_archives(spark, folder, written))
