@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import edits
+from tallyloom.operators import edits, stale
 from tallyloom.session import table
 
 _TARGETS = "VALUES (0, 'income:11'), (1, 'income:12'), (2, 'balance:3'), (3, 'balance:4'), (4, 'balance:5')"
@@ -69,7 +69,36 @@ def resolved_cells(spark: SparkSession, d: str) -> DataFrame:
     return _resolved(spark, d).cells
 
 
-_QUERIES = (remap_contributions, remap_log, remap_lines, resolve_review_edits, resolved_writes, resolved_cells)
+#: Facts of entities by key and source, files that some entities no longer have, and values of which some were typed.
+_FILES = "SELECT c_custkey AS entity_id, name FROM customer JOIN (VALUES (2, 'a.pdf'), (3, 'Return 2023.PDF'), (5, 'book.xlsx')) f(k, name) ON c_custkey % k > 0"
+_DETECTED = """SELECT c_custkey AS entity_id, key, concat(v, c_custkey % 7) AS value, label, doc FROM customer JOIN (VALUES ('currency', 'A', 'a.pdf · face', CAST(NULL AS STRING)), ('name', 'N', 'Return 2023.PDF, page 2', NULL), ('cat:4', 'Yes', 'any', 'a.pdf'), ('cat:5a', 'Yes', 'x', 'book.xlsx'),
+ ('city', 'C', 'statement year', NULL), ('days', 'D', CAST(NULL AS STRING), NULL), ('both', 'B', 'see a.pdf', NULL), ('pct', 'P', 'book.xlsx · B2', NULL), ('code', 'K', 'a.pdf', 'book.xlsx')) f(key, v, label, doc) ON true"""
+_PROFILE = """SELECT c_custkey AS entity_id, bucket, key, CASE WHEN bucket = 'category' THEN 'Yes' ELSE concat(v, (c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END) % 7) END AS value FROM customer JOIN (VALUES ('profile', 'currency', 'A'), ('profile', 'name', 'N'), ('category', '4', ''), ('category', '5a', ''), ('category', '1a', ''),
+ ('profile', 'city', 'C'), ('ownership', 'days', 'D'), ('profile', 'both', 'B'), ('ownership', 'both', 'B'), ('ownership', 'pct', 'P'), ('profile', 'code', 'K'), ('profile', 'typed', 'T')) f(bucket, key, v) ON true"""
+_HOLDERS = "SELECT o_orderkey AS holder, o_custkey AS entity_id, CASE o_orderkey % 4 WHEN 0 THEN 'a.pdf · Part II' WHEN 1 THEN 'other.pdf' WHEN 2 THEN '' END AS source FROM orders"
+
+
+def _pruned(spark: SparkSession, d: str) -> stale.Pruned:
+    _base(spark, d)
+    return stale.prune_stale(*(spark.sql(x) for x in (_DETECTED, _FILES, _PROFILE, _HOLDERS)))
+
+
+def prune_stale(spark: SparkSession, d: str) -> DataFrame:
+    """What stays detected, and what went."""
+    p = _pruned(spark, d)
+    return p.detected.select("entity_id", "key", F.lit(True).alias("kept")).unionByName(p.tombstones.withColumn("kept", F.lit(False)))
+
+
+def prune_stale_profile(spark: SparkSession, d: str) -> DataFrame:
+    p = _pruned(spark, d)
+    return p.profile.join(p.reset.withColumn("reset", F.lit(True)), "entity_id", "left").withColumn("reset", F.coalesce("reset", F.lit(False)))
+
+
+def prune_stale_holders(spark: SparkSession, d: str) -> DataFrame:
+    return _pruned(spark, d).holders.select("holder", "entity_id", "source")
+
+
+_QUERIES = (prune_stale, prune_stale_profile, prune_stale_holders, remap_contributions, remap_log, remap_lines, resolve_review_edits, resolved_writes, resolved_cells)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -118,9 +147,22 @@ p AS (
 z AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY entity_id, id ORDER BY n DESC) = 1)
 """
 
+_STALE = f"""
+WITH d AS (
+  SELECT *, CASE WHEN doc IS NOT NULL THEN EXISTS (SELECT 1 FROM ({_FILES}) f WHERE f.entity_id = d.entity_id AND f.name = doc) WHEN label IS NULL OR NOT regexp_matches(label, '\\.(pdf|xlsx|xlsm|xls|csv)', 'i') THEN true
+                 ELSE EXISTS (SELECT 1 FROM ({_FILES}) f WHERE f.entity_id = d.entity_id AND starts_with(label, f.name)) END AS kept
+  FROM ({_DETECTED.replace('AS STRING', 'AS VARCHAR')}) d),
+p AS (
+  SELECT p.*, d.key IS NOT NULL AND (bucket = 'category' OR p.value = d.value) AND NOT (bucket = 'ownership' AND p.key = 'both' AND p.value = d.value) AS blank
+  FROM ({_PROFILE}) p LEFT JOIN d ON d.entity_id = p.entity_id AND d.key = CASE WHEN bucket = 'category' THEN 'cat:' || p.key ELSE p.key END AND NOT kept)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "prune_stale": _STALE + "SELECT entity_id, key, kept FROM d",
+        "prune_stale_profile": _STALE + "SELECT entity_id, bucket, key, CASE WHEN blank THEN '' ELSE value END AS value, bool_or(blank AND bucket = 'profile' AND key = 'currency') OVER (PARTITION BY entity_id) AS reset FROM p",
+        "prune_stale_holders": f"SELECT holder, entity_id, source FROM ({_HOLDERS}) h WHERE coalesce(source, '') = '' OR EXISTS (SELECT 1 FROM ({_FILES}) f WHERE f.entity_id = h.entity_id AND starts_with(source, f.name))",
         "remap_contributions": _REPLAY + "SELECT row_id, entity_id, label, target, field, CAST(value AS DOUBLE) AS value FROM z WHERE target <> 'off'",
         "remap_log": _REPLAY + _LOG,
         "remap_lines": _REPLAY + _LINES_NOW,

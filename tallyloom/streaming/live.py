@@ -6,14 +6,16 @@ by the watermark (ingestion) or by the number of keys (aggregates).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import fresh_path
+from tallyloom.session import fresh_path, materialize
 
 #: Rank of the status that an event lifts its task to.
 RANKS = {"view": 0, "click": 1, "purchase": 2}
 STATUS = ("pending", "in progress", "completed")
+#: Parts of a delivered table; a batch reads those that its keys lie in.
+SINK_PARTS = 32
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -27,22 +29,37 @@ def ingest(events: DataFrame, delay: str = "1 day", most_chars: int = 2000) -> D
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]).withColumn("props", F.substring("props", 1, most_chars))
 
 
-def deliver(stream: DataFrame, sink: str, keys: list[str], order: str = "ts") -> None:
+def key_part(keys: list[str]) -> Column:
+    """The part of a sink that a key's rows lie in."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SINK_PARTS)).cast("int")
+
+
+def held_keys(sink: DataFrame, keys: list[str], new: DataFrame) -> DataFrame:
+    """Keys that ``sink`` has in the parts that ``new`` touches; other parts of it aren't listed or read."""
+    touched = [r.key_part for r in new.select("key_part").distinct().collect()]  # SINK_PARTS at most
+    return sink.where(F.col("key_part").isin(touched)).select(*keys)
+
+
+def deliver(stream: DataFrame, sink: str, keys: list[str], order: str = "ts", offsets: str | None = None) -> None:
     """Append what a stream's source has now to the Parquet table ``sink``, each key once for all runs.
 
     A batch keeps the first row of a key by ``order`` and leaves out keys that the sink has, so deliveries that come again,
-    late ones and repeated batches among them, add nothing. Of the sink only the key columns are read.
+    late ones and repeated batches among them, add nothing. The sink is parted by the hash of the key (column key_part), and a
+    batch reads the key columns of the parts that its own keys lie in. With a folder ``offsets`` a run goes on where the last
+    one with that folder ended, and reads what is new; without, it reads all that the source has.
     """
     spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(sink)
+    schema = type(stream.schema)([*stream.schema]).add("key_part", "integer")
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("key_part").parquet(sink)
     first = Window.partitionBy(*keys).orderBy(order)
 
     def add(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        held = batch.sparkSession.read.schema(stream.schema).parquet(sink).select(*keys)
-        new.join(held, keys, "left_anti").select(*stream.columns).write.mode("append").parquet(sink)
+        new = batch.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn("key_part", key_part(keys))
+        new = materialize(new, "delivered")
+        held = held_keys(batch.sparkSession.read.schema(schema).parquet(sink), keys, new)
+        new.join(held, keys, "left_anti").select(*schema.names).repartition("key_part").write.mode("append").partitionBy("key_part").parquet(sink)
 
-    stream.writeStream.option("checkpointLocation", fresh_path(spark, "delivered-offsets")).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    stream.writeStream.option("checkpointLocation", offsets or fresh_path(spark, "delivered-offsets")).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
 
 
 def advance_tasks(events: DataFrame) -> DataFrame:

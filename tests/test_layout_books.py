@@ -80,3 +80,20 @@ def test_late_and_repeated_deliveries_add_nothing(spark, tmp_path):
         live.deliver(live.read(spark, path), sink, ["user_id", "event_id"])
     got = sorted((r.user_id, r.event_id, r.props) for r in spark.read.schema(schema).parquet(sink).collect())
     assert got == [(1, 1, "first"), (1, 2, "new"), (2, 1, "other")]
+
+
+def test_a_delivery_reads_only_the_parts_that_it_touches(spark, tmp_path):
+    """A second delivery, of two keys, lists and reads two parts of the sink at most; with offsets it reads only new files."""
+    sink, source, offsets = f"file://{tmp_path}/sink", f"file://{tmp_path}/events.parquet", f"file://{tmp_path}/offsets"
+    events = lambda ids: spark.createDataFrame([(i, i) for i in ids], "event_id int, n int").selectExpr("event_id", "timestamp_seconds(n) AS ts", "n")
+    events(range(500)).coalesce(1).write.parquet(source)
+    live.deliver(live.read(spark, source), sink, ["event_id"], offsets=offsets)
+    events([7, 1000]).coalesce(1).write.mode("append").parquet(source)
+    new = events([7, 1000]).withColumn("key_part", live.key_part(["event_id"]))
+    held = live.held_keys(spark.read.parquet(sink), ["event_id"], new)
+    assert held.where("event_id = 7").count() == 1 and held.count() < 500 / 4 and len({r.f for r in held.select(F.input_file_name().alias("f")).collect()}) <= 2
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "key_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    live.deliver(live.read(spark, source), sink, ["event_id"], offsets=offsets)
+    batches = sorted(p.name for p in (tmp_path / "offsets/commits").iterdir() if not p.name.startswith("."))
+    assert batches == ["0", "1"] and sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [*range(500), 1000]
