@@ -231,8 +231,15 @@ def encode_chunk(store: WordStore, raw: np.ndarray, off: np.ndarray) -> tuple[np
     return flat, np.bincount(doc, weights=count, minlength=len(off) - 1).astype(np.int64)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all but the text unless given), ``n_tokens`` and ``ids``: little-endian unsigned 32-bit integers.
+def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
+    """The text of token ids; bytes that aren't UTF-8 become U+FFFD."""
+    ids = ids.astype(np.int64)
+    return v.token_bytes[T.spans(v.token_at[ids], v.token_at[ids + 1] - v.token_at[ids])].tobytes().decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep`` (all but the text unless given), ``n_tokens`` and ``ids``: little-endian unsigned 32-bit integers; and
+    ``decoded``, if given, the text that the ids give back, made in the same step.
 
     Cases: a null or empty text has no tokens and empty ids; equal rows give equal rows; columns of these two names in the
     input are replaced. A text of any length is encoded whole.
@@ -248,12 +255,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep
             ids, count = encode_chunk(store, raw, off)
             to = np.concatenate(([0], np.cumsum(count * 4))).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(to), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(count), packed], names=[*keep, "n_tokens", "ids"])
+            texts = [pa.array((decode_ids(store.v, ids[a // 4 : b // 4]) for a, b in zip(to[:-1], to[1:], strict=True)), pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(count), packed, *texts], names=[*keep, "n_tokens", "ids", *([decoded] if decoded else [])])
 
     given = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("__bpe_text"))
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = type(docs.schema)(sorted(fields, key=lambda f: keep.index(f.name))).add("n_tokens", "long").add("ids", "binary")
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -268,11 +276,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
             column = batch.column(batch.schema.get_field_index(ids_col))
             texts = []
             for i in range(len(column)):
-                ids = np.frombuffer(column[i].as_buffer(), "<u4").astype(np.int64) if column[i].is_valid else None
-                if ids is None:
-                    texts.append(None)
-                    continue
-                texts.append(v.token_bytes[T.spans(v.token_at[ids], v.token_at[ids + 1] - v.token_at[ids])].tobytes().decode("utf-8", "replace"))
+                texts.append(decode_ids(v, np.frombuffer(column[i].as_buffer(), "<u4")) if column[i].is_valid else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(texts, pa.string())], names=[*keep, out])
 
     schema = type(encoded.schema)([f for f in encoded.schema.fields if f.name in keep]).add(out, "string")
@@ -280,6 +284,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, n_tokens, and SHA-256 digests of the ids and of the text decoded from them."""
-    encoded = encode(docs, vocabulary, text_col, keep).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(encoded, vocabulary).select(*(F.col(f"`{c}`") for c in keep), "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Columns ``keep``, n_tokens, and SHA-256 digests of the ids and of the text decoded from them.
+
+    Encoding and decoding are one step, so a task has one Python worker, and the ids go through it once.
+    """
+    done = encode(docs, vocabulary, text_col, keep, "__bpe_decoded")
+    return done.select(*(F.col(f"`{c}`") for c in keep), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("__bpe_decoded", "UTF-8"), 256).alias("decoded_sha256"))
