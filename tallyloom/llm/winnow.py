@@ -19,7 +19,8 @@ GRAM_UNITS = 5
 WINDOW_GRAMS = 4
 RUN_CHARS = 24
 HEAD_CHARS, HEAD_WINDOW = 64, 2
-UNIT_BREAK = rf"[\x20\x09-\x0D]+|(?<=[⺀-￿\x{{10000}}-\x{{10FFFF}}])|(?<=[^\x20\x09-\x0D]{{{RUN_CHARS}}})"
+BLANKS, LONE = r"[\x20\x09-\x0D]+", r"[⺀-￿\x{10000}-\x{10FFFF}]"
+UNIT_BREAK = rf"{BLANKS}|(?<={LONE})|(?<=[^\x20\x09-\x0D]{{{RUN_CHARS}}})"
 #: A window's order: 31 bits of a gram's hash above 32 bits that hold the position counted from the right.
 TOP = (1 << 32) - 1
 ORDER_BITS = (1 << 31) - 1
@@ -43,11 +44,14 @@ def _pairs(a: Column, ahead: int, other: Column, f) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.filter(F.split(text, UNIT_BREAK, -1), lambda x: F.trim(x) != "")
+    words = F.split(text, BLANKS, -1)
+    # without a long run and a lone character, words are all units there are
+    fine = F.exists(words, lambda w: F.octet_length(w) > RUN_CHARS) | text.rlike(LONE)
+    return F.array_remove(F.when(fine, F.split(text, UNIT_BREAK, -1)).otherwise(words), "")
 
 
 def head_units(text: Column) -> Column:
-    return F.filter(F.split(F.substring(text, 1, HEAD_CHARS), "", -1), lambda x: F.trim(x) != "")
+    return F.array_remove(F.split(F.regexp_replace(F.substring(text, 1, HEAD_CHARS), BLANKS, ""), "", -1), "")
 
 
 def _winnowed(df: DataFrame, units_: Column, window: int, out: str) -> DataFrame:
