@@ -25,13 +25,15 @@ _BASE = {
     "facts": "SELECT event_type AS sheet, user_id AS ref, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id AS VARCHAR(20)) END AS value, event_id AS ord FROM events WHERE event_id % 5 <> 0",
     "schedules": "SELECT event_type AS sheet, user_id AS ref, concat('s', CAST(event_id AS VARCHAR(20))) AS value, event_id AS ord FROM events WHERE event_id % 5 = 0",
 }
+#: The sums of prices as Spark adds them: in cents, so that they are the same in whatever order the rows come.
+_EXACT = "CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE)"
 _TABLES = ("customer", "orders", "lineitem", "events", "documents")
 
 
 def _base(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     for x in _TABLES:
         table(spark, sf_dir, x).createOrReplaceTempView(x)
-    return [spark.sql(_BASE[n]) for n in names]
+    return [spark.sql(_BASE[n].replace("sum(o_totalprice)", _EXACT)) for n in names]
 
 
 def doc_kind(spark: SparkSession, d: str) -> DataFrame:
