@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 #: White space of printed cells, and letters that make a cell textual; fixed values.
-BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BLANKS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+BLANK = f"[{BLANKS}]"
 TEXT_LETTER = r"[A-Za-z\x{00C0}-\x{024F}\x{0600}-\x{06FF}\x{4E00}-\x{9FFF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often it stands in it; plain nesting copies the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of DOUBLE amounts by their ten decimal places, the same in whatever order the rows come; what is too large for
+    that, or no number, is added as DOUBLE."""
+    places = value.try_cast("decimal(38,10)")
+    return F.coalesce(F.when(F.count(places) == F.count(value), F.try_sum(places)).cast("double"), F.sum(value))
+
+
 def parse_number(c: Column) -> Column:
     """A printed amount as DOUBLE: parentheses, a trailing minus and CR are negative, the later of two separators is decimal.
 
@@ -18,34 +33,39 @@ def parse_number(c: Column) -> Column:
     abbreviation counts as a separator). A lone comma with one or two digits behind it is decimal, other commas part
     thousands. What follows a second decimal point is left out. NULL if no number is there.
     """
-    t = F.regexp_replace(F.regexp_replace(c, BLANK, ""), "'", "")
-    negative = t.rlike(r"^\(.*\)$") | t.rlike("(?i)CR$") | F.regexp_replace(t, "[^0-9.,-]", "").rlike("-$")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "(?i)(CR|DR)$", ""), "[^0-9.,-]", ""), "-+$", "")
-    dot, comma = F.length(bare) - F.locate(".", F.reverse(bare)) + 1, F.length(bare) - F.locate(",", F.reverse(bare)) + 1
-    has_dot, has_comma = F.contains(bare, F.lit(".")), F.contains(bare, F.lit(","))
-    late_comma = has_dot & has_comma & (comma > dot)
-    lone_comma = ~has_dot & bare.rlike(r"^[^,]*,[0-9]{1,2}$")
-    # behind a decimal comma that comes last there is no other separator to read, so only the first comma turns
-    plain = F.when(late_comma | lone_comma, F.regexp_replace(F.replace(bare, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    value = F.regexp_extract(plain, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("double")
-    return F.when(negative, -value).otherwise(value)
+
+    def turned(bare: Column) -> Column:
+        has_dot, has_comma = F.contains(bare, F.lit(".")), F.contains(bare, F.lit(","))
+        late_comma = has_dot & has_comma & ~F.contains(F.substring_index(bare, ",", -1), F.lit("."))
+        lone_comma = ~has_dot & has_comma & bare.rlike(r"^[^,]*,[0-9]{1,2}$")
+        # behind a decimal comma that comes last there is no other separator to read, so only the first comma turns
+        plain = F.when(late_comma | lone_comma, F.regexp_replace(F.replace(bare, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")).otherwise(F.replace(bare, F.lit(","), F.lit("")))
+        return F.regexp_extract(plain, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1).try_cast("double")
+
+    def signed(r: Column) -> Column:
+        negative = r["t"].rlike(r"^\(.*\)$|(?i:CR)$") | F.endswith(r["kept"], F.lit("-"))
+        return let(let(F.rtrim(r["kept"], F.lit("-")), turned), lambda v: F.when(negative, -v).otherwise(v))
+
+    dense = F.regexp_replace(c, f"[{BLANKS}']", "")
+    return let(let(dense, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, "[^0-9.,-]", "").alias("kept"))), signed)
 
 
 def strict_number(c: Column) -> Column:
     """parse_number, but NULL where the cell carries letters other than a final CR or DR."""
-    shape = c.rlike(rf"(?i)^{BLANK}*\(?{BLANK}*-?(?:[0-9.,']|{BLANK})+\)?{BLANK}*(?:CR|DR)?{BLANK}*/?{BLANK}*$") & c.rlike("[0-9]")
-    return F.when(shape | ~c.rlike(TEXT_LETTER), parse_number(c))
+    shape = lambda x: x.rlike(rf"(?i)^{BLANK}*\(?{BLANK}*-?[0-9.,'{BLANKS}]+\)?{BLANK}*(?:CR|DR)?{BLANK}*/?{BLANK}*$")
+    # without a digit there is no number
+    return let(c, lambda x: F.when(x.rlike("[0-9]") & (~x.rlike(TEXT_LETTER) | shape(x)), parse_number(x)))
 
 
 def is_textual(c: Column) -> Column:
     """Letters, and not a strict number; false for null."""
-    return F.coalesce(c.rlike(TEXT_LETTER) & strict_number(c).isNull(), F.lit(False))
+    return let(c, lambda x: F.coalesce(x.rlike(TEXT_LETTER) & strict_number(x).isNull(), F.lit(False)))
 
 
 def loose_number(c: Column) -> Column:
     """parse_number without a " / X" code behind; NULL for what looks like a date."""
     bare = F.regexp_replace(c, r"\s*/\s*[A-Za-z]\s*$", "")
-    return F.when(~bare.rlike(r"[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}"), parse_number(bare))
+    return let(bare, lambda x: F.when(~x.rlike(r"[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}"), parse_number(x)))
 
 
 def sign_for_label(label: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import exact_sum
+
 
 def doc_kind(pages: DataFrame, priority: list[str]) -> DataFrame:
     """The first kind in ``priority`` that any page of a document has, else unknown; confidence is the share of placed pages."""
@@ -21,7 +23,7 @@ def statement_year(votes: DataFrame, first: int = 2000, last: int = 2035) -> Dat
 
 def caption_evidence(rows: DataFrame) -> DataFrame:
     """Per (entity_id, target, label) the sum of the newest year and all years' sums, newest first, as "v (year) · v (year)"."""
-    years = rows.groupBy("entity_id", "target", "label", "year").agg(F.round(F.sum("value")).cast("bigint").alias("v"))
+    years = rows.groupBy("entity_id", "target", "label", "year").agg(F.round(exact_sum(F.col("value"))).cast("bigint").alias("v"))
     listed = F.sort_array(F.collect_list(F.struct("year", "v")), asc=False)
     shown = F.array_join(F.transform(listed, lambda x: F.concat(x.v.cast("string"), F.lit(" ("), x.year.cast("string"), F.lit(")"))), " · ")
     return years.groupBy("entity_id", "target", "label").agg(F.max_by("v", "year").alias("current"), shown.alias("display"))
