@@ -14,7 +14,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import parse_number, strict_number
+from tallyloom.functions.scalars import let, parse_number, strict_number
+from tallyloom.operators.rows import once
 
 #: Captions and layouts of the forms, months, and how far left of its caption a value may begin.
 PERIOD_CAPTION = "annual accounting period"
@@ -61,28 +62,32 @@ def first_of(items: Column) -> Column:
     return F.get(items, F.lit(0))
 
 
-def day(text: Column, pattern: str, at: int, named: bool) -> tuple[Column, Column]:
-    """A date's printed form MM/DD/YYYY from three groups of ``pattern``, and whether it is a date."""
-    part = lambda i: F.regexp_extract(text, pattern, at + i)
+def day(parts: Column, at: int, named: bool) -> Column:
+    """A date's printed form MM/DD/YYYY from three of ``parts``, null if it is none."""
+    part = lambda i: F.get(parts, F.lit(at + i))
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(0), 1, 3))).cast("int") if named else part(0).try_cast("int")
-    d, year = part(1).try_cast("int"), F.regexp_replace(part(2), r"\s+", "").try_cast("int")
-    valid = month.between(1, 12) & d.between(1, 31) & year.between(FIRST_YEAR, LAST_YEAR)
-    return F.format_string("%02d/%02d/%d", month, d, year), F.coalesce(valid, F.lit(False))
+    read = F.struct(month.alias("m"), part(1).try_cast("int").alias("d"), F.regexp_replace(part(2), r"\s+", "").try_cast("int").alias("y"))
+    return let(read, lambda r: F.when(r["m"].between(1, 12) & r["d"].between(1, 31) & r["y"].between(FIRST_YEAR, LAST_YEAR), F.format_string("%02d/%02d/%d", r["m"], r["d"], r["y"])))
+
+
+def groups_of(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of the first match of ``pattern``, which hold no bar; null without a match."""
+    split = lambda m: F.when(m != "", F.split(F.regexp_replace(m, pattern, "|".join(f"${i + 1}" for i in range(n))), r"\|"))
+    return let(F.regexp_extract(text, pattern, 0), split)
 
 
 def period_of(text: Column, whole: bool) -> Column:
     """(begin, end) of a text that holds both dates, or (null, end) of one with the end, or null; numbers before names."""
-    found = []
-    for one, named in ((DAY, False), (NAMED_DAY, True)):
+    def read(one: str, named: bool) -> Column:
         both = rf"(?i){PERIOD_CAPTION}{PERIOD_GAP}beginning\s*{one}\s*,?\s*(?:and\s*)?ending\s*{one}"
         last = rf"(?i){PERIOD_CAPTION}{PERIOD_GAP}ending\s*{one}"
         if whole:
-            (begin, a), (end, b) = day(text, both, 1, named), day(text, both, 4, named)
-            found.append(F.when(a & b, F.struct(begin.alias("begin"), end.alias("end"))))
-        else:
-            end, a = day(text, last, 1, named)
-            found.append(F.when(a, F.struct(F.lit(None).cast("string").alias("begin"), end.alias("end"))))
-    return F.coalesce(*found)
+            dates = let(groups_of(text, both, 6), lambda g: F.struct(day(g, 0, named).alias("begin"), day(g, 3, named).alias("end")))
+            return let(dates, lambda p: F.when(p["begin"].isNotNull() & p["end"].isNotNull(), p))
+        ends = let(groups_of(text, last, 3), lambda g: day(g, 0, named))
+        return let(ends, lambda end: F.when(end.isNotNull(), F.struct(F.lit(None).cast("string").alias("begin"), end.alias("end"))))
+
+    return F.coalesce(read(DAY, False), read(NAMED_DAY, True))
 
 
 def parse_accounting_period(printed: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def parse_accounting_period(printed: DataFrame) -> DataFrame:
     rows = rows.withColumn("below", F.collect_list("text").over(Window.partitionBy("doc_id", "page").orderBy("row").rowsBetween(1, PERIOD_ROWS))).where(F.col("text").rlike(f"(?i){PERIOD_CAPTION}"))
     grown = F.transform(F.sequence(F.lit(0), F.size("below")), lambda k: F.struct(k.alias("k"), F.regexp_replace(F.concat_ws(" ", "text", F.slice("below", F.lit(1), k)), FILER_TAIL, "").alias("text")))
     texts = rows.select("doc_id", "page", "row", F.explode(grown).alias("t"))
-    rank = lambda n, p: F.when(p.isNotNull(), F.struct(F.lit(n).alias("n"), F.col("page"), F.col("row"), F.col("t.k").alias("k"), p.alias("p")))
+    rank = lambda n, found: let(found, lambda p: F.when(p.isNotNull(), F.struct(F.lit(n).alias("n"), F.col("page").alias("page"), F.col("row").alias("row"), F.col("t.k").alias("k"), p.alias("p"))))
     best = F.coalesce(rank(0, period_of(F.col("t.text"), True)), rank(1, period_of(F.col("t.text"), False)))
     return texts.groupBy("doc_id").agg(F.min(best).alias("best")).where("best is not null").select("doc_id", "best.p.*")
 
@@ -132,21 +137,23 @@ def _facts(rows: DataFrame) -> DataFrame:
 
     anchors = F.transform("cells", lambda c, i: F.struct(c["x0"].alias("x0"), i.alias("i"), key(F.trim(F.lower(c["text"]))).alias("key")))
     placed = rows.where(F.col("text").rlike(FACTS_CAPTION)).select("doc_id", "page", "row", "text", "below", F.sort_array(F.filter(anchors, lambda a: a["key"].isNotNull())).alias("anchors"))
-    placed = placed.withColumn("values", F.when(F.size("anchors") >= 2, nearest_columns(F.col("anchors"), _until(F.slice("below", 1, VALUE_ROWS), lambda r: F.trim(line_text(r)).rlike(NEXT_SECTION)))))
+    placed = once(placed, "values", F.when(F.size("anchors") >= 2, nearest_columns(F.col("anchors"), _until(F.slice("below", 1, VALUE_ROWS), lambda r: F.trim(line_text(r)).rlike(NEXT_SECTION)))))
     under = lambda k: F.filter("values", lambda v: v["key"] == k)["text"]
-    words = lambda x: F.nullif(F.trim(F.array_join(x, " ")), F.lit(""))
+    words = lambda x: let(F.trim(F.array_join(x, " ")), lambda t: F.nullif(t, F.lit("")))
     whole = lambda t: ~t.rlike(CAPTION_PART)
-    d = words(under("d"))
+    placed = once(placed, "__d", words(under("d")))
+    d = F.col("__d")
     date = F.nullif(F.regexp_extract(d, GLUED_DATE, 1), F.lit(""))
-    behind = F.nullif(F.trim(F.regexp_extract(d, GLUED_DATE, 2)), F.lit(""))
-    place = F.coalesce(words(F.filter(under("e"), lambda t: t.rlike("^[A-Za-z][A-Za-z ,.'&-]*$") & whole(t))), F.when(whole(behind), behind))
+    behind = let(F.nullif(F.trim(F.regexp_extract(d, GLUED_DATE, 2)), F.lit("")), lambda t: F.when(whole(t), t))
+    place = F.coalesce(words(F.filter(under("e"), lambda t: t.rlike("^[A-Za-z][A-Za-z ,.'&-]*$") & whole(t))), behind)
     code = first_of(F.filter(F.transform(F.concat(under("f"), under("e"), under("g")), lambda t: F.regexp_extract(t, r"(?:^|\s)(\d{4,6})$", 1)), lambda t: t != ""))
     activity = words(F.filter(under("g"), lambda t: t.rlike("[A-Za-z]") & whole(t)))
     currency = first_of(F.filter(under("h"), lambda t: t.rlike("^[A-Z]{3}$")))
     # without columns: the first following row with a date of its own
-    plain = F.transform(F.slice("below", 1, NEXT_ROWS), lambda r: F.filter(F.transform(r["text"], lambda t: F.trim(t)), lambda t: t != ""))
-    dated = first_of(F.filter(plain, lambda r: F.exists(r, lambda t: t.rlike(LONE_DATE))))
-    lone = F.when(F.col("text").rlike("(?i)date of incorporation"), dated)
+    plain = lambda rows: F.transform(rows, lambda r: F.filter(F.transform(r["text"], lambda t: F.trim(t)), lambda t: t != ""))
+    dated = first_of(F.filter(plain(F.slice("below", 1, NEXT_ROWS)), lambda r: F.exists(r, lambda t: t.rlike(LONE_DATE))))
+    placed = once(placed, "__lone", F.when(F.col("text").rlike("(?i)date of incorporation"), dated))
+    lone = F.col("__lone")
     foreign = lambda t: t.rlike("^[A-Z]{3}$") & (t != "USD")
     at = lambda r, f: F.array_position(F.transform(r, f), F.lit(True)).cast("int")
     ccy, date_at = at(lone, foreign), at(lone, lambda t: t.rlike(LONE_DATE))
@@ -178,7 +185,7 @@ def face_fields(printed: DataFrame) -> DataFrame:
     array of at most ADDRESS_LINES, categories an array of ticked codes, shares (class, boy, eoy). What isn't found is null. The
     name stands in the column of its caption, left of the next caption, at most up to the row behind that of the country.
     """
-    rows = with_rows_below(printed, NAME_ROWS).withColumn("text", line_text(F.col("cells")))
+    rows = once(with_rows_below(printed, NAME_ROWS), "text", line_text(F.col("cells")))
     every = printed.select("doc_id").distinct()
     near = F.slice("below", 1, NEXT_ROWS)
     with_own = F.concat(F.array("cells"), near)
@@ -187,21 +194,23 @@ def face_fields(printed: DataFrame) -> DataFrame:
     ticked = lambda tokens: F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(CATEGORIES) & F.get(tokens, i + 1).rlike(TICK), t)), lambda t: t.isNotNull())
     marks = first_of(F.filter(F.transform(with_own, lambda r: ticked(F.split(F.lower(line_text(r)), r"\s+"))), lambda x: F.size(x) > 0))
     bound = F.get(F.col("cells"), F.lit(1))["x0"] - NAME_SLACK
-    left = lambda r: F.trim(F.coalesce(F.get(F.when(bound.isNull(), r).otherwise(F.filter(r, lambda c: c["x0"] < bound))["text"], F.lit(0)), F.lit("")))
+    left = lambda r, edge: F.trim(F.coalesce(F.get(F.when(edge.isNull(), r).otherwise(F.filter(r, lambda c: c["x0"] < edge))["text"], F.lit(0)), F.lit("")))
     line = F.array_position(F.transform("below", lambda r: line_text(r).rlike(COUNTRY_LINE)), F.lit(True)).cast("int")
-    block = F.when(line > 0, F.slice("below", F.lit(1), line + 1)).otherwise(F.col("below"))
-    told = F.filter(F.transform(block, left), lambda t: t.rlike("[A-Za-z]") & ~t.rlike(NO_VALUE) & ~(t.rlike(GLUED_ID) & F.regexp_extract(t, GLUED_ID, 1).rlike(r"\d")))
-    named = F.when(F.size(told) > 0, F.struct(first_of(told).alias("name"), F.slice(F.filter(told, lambda t: t != first_of(told)), 1, ADDRESS_LINES).alias("address")))
+    block = let(line, lambda n: F.when(n > 0, F.slice("below", F.lit(1), n + 1)).otherwise(F.col("below")))
+    told = let(bound, lambda edge: F.filter(F.transform(block, lambda r: left(r, edge)), lambda t: t.rlike("[A-Za-z]") & ~t.rlike(NO_VALUE) & ~(t.rlike(GLUED_ID) & F.regexp_extract(t, GLUED_ID, 1).rlike(r"\d"))))
+    named_by = lambda said, name: F.struct(name.alias("name"), F.slice(F.filter(said, lambda t: t != name), 1, ADDRESS_LINES).alias("address"))
+    named = let(told, lambda said: F.when(F.size(said) > 0, let(first_of(said), lambda name: named_by(said, name))))
     class_at = F.array_position(F.transform(F.col("cells")["text"], lambda t: F.trim(t).rlike(r"(?i)^(ordinary|common|class [a-z]) shares?$")), F.lit(True)).cast("int")
-    counts = F.filter(F.transform(F.slice(F.col("cells")["text"], class_at + 1, F.size("cells")), parse_number), lambda n: n.isNotNull())
-    shares = F.when((class_at > 0) & (F.size(counts) >= 2) & (F.get(counts, F.lit(0)) >= 0) & (F.get(counts, F.lit(1)) >= 0), F.struct(F.trim(F.get(F.col("cells"), class_at - 1)["text"]).alias("class"), F.get(counts, F.lit(0)).alias("boy"), F.get(counts, F.lit(1)).alias("eoy")))
+    counts = F.filter(F.transform(F.slice(F.col("cells")["text"], F.col("__class") + 1, F.size("cells")), parse_number), lambda n: n.isNotNull())
+    held = lambda n: F.when((F.size(n) >= 2) & (F.get(n, F.lit(0)) >= 0) & (F.get(n, F.lit(1)) >= 0), F.struct(F.trim(F.get(F.col("cells"), F.col("__class") - 1)["text"]).alias("class"), F.get(n, F.lit(0)).alias("boy"), F.get(n, F.lit(1)).alias("eoy")))
+    shares = let(counts, held)
     first_cell = F.trim(F.get(F.col("cells"), F.lit(0))["text"])
     captions = [
         ("pct_voting", F.col("text").rlike(VOTING_CAPTION), voting), ("country", F.col("text").rlike(COUNTRY_CAPTION), country), ("categories", F.col("text").rlike(CATEGORY_CAPTION), marks),
-        ("named", first_cell.rlike(NAME_CAPTION), named), ("shares", class_at > 0, shares),
+        ("named", first_cell.rlike(NAME_CAPTION), named), ("shares", F.col("__class") > 0, shares),
     ]
-    said = rows.where(reduce(or_, (c for _, c, _ in captions)))
-    one = lambda caption, value: F.when(caption & value.isNotNull(), F.struct("page", "row", value.alias("v")))
+    said = once(rows, "__class", class_at).where(reduce(or_, (c for _, c, _ in captions)))
+    one = lambda caption, value: F.when(caption, let(value, lambda v: F.when(v.isNotNull(), F.struct(F.col("page").alias("page"), F.col("row").alias("row"), v.alias("v")))))
     read = said.select("doc_id", *(one(c, v).alias(k) for k, c, v in captions))
     firsts = read.groupBy("doc_id").agg(*(F.min(k).alias(k) for k, _, _ in captions))
     found = every.join(firsts, "doc_id", "left").join(_facts(rows), "doc_id", "left")
@@ -235,14 +244,15 @@ def shareholder_rows(printed: DataFrame) -> DataFrame:
     rows = rows.withColumn("start", F.min(F.when(F.col("text").rlike(HOLDERS_CAPTION), F.col("at"))).over(whole)).where("at > start and at < start + " + str(HOLDER_ROWS))
     rows = rows.withColumn("stop", F.min(F.when(F.col("text").rlike(HOLDERS_END), F.col("at"))).over(whole)).where("stop is null or at < stop").where(F.size("t") >= 2)
     class_at = F.array_position(F.transform("t", lambda x: x.rlike(SHARE_CLASS)), F.lit(True)).cast("int")
-    held = rows.withColumn("c", class_at).where("c > 0").withColumn("counts", share_counts(F.slice("t", F.col("c") + 1, F.size("t"))))
+    held = once(once(rows, "c", class_at).where("c > 0"), "counts", share_counts(F.slice("t", F.col("c") + 1, F.size("t"))))
     pair = (F.size("counts") >= 2) & (F.get("counts", F.lit(0)) >= 0) & (F.get("counts", F.lit(1)) >= 0)
     lone = strict_number(F.get("t", F.col("c")))
-    held = held.withColumns({"single": ~pair, "boy": F.when(pair, F.get("counts", F.lit(0))).when(lone >= 0, lone), "eoy": F.when(pair, F.get("counts", F.lit(1))).when(lone >= 0, lone)}).where("boy is not null")
+    whole_year = lambda n, at: F.when(F.col("single"), F.when(n >= 0, n)).otherwise(F.get("counts", F.lit(at)))
+    held = once(held.withColumn("single", ~pair), "lone", F.when(F.col("single"), lone)).withColumns({"boy": whole_year(F.col("lone"), 0), "eoy": whole_year(F.col("lone"), 1)}).where("boy is not null")
     id_like = lambda x: x.rlike(r"^\d{2}-\d{7}\b|^\d{3}-\d{2}-\d{4}\b|^[A-Z]{2}$") | ~x.rlike("[A-Za-z]{3}")
     own = F.trim(F.array_join(F.slice("t", F.lit(1), F.greatest(F.col("c") - 1, F.lit(0))), " "))
     below = F.when(F.col("after").rlike("[A-Za-z]{3}") & ~F.col("after").rlike(NO_VALUE), F.col("after"))
-    held = held.withColumn("name", F.when((own == "") | id_like(own), F.coalesce(below, own)).otherwise(own)).where((F.col("name") != "") & ~id_like(F.col("name")) & ~F.col("name").rlike(r"(?i)name, address|^\(a\)"))
+    held = once(held, "name", let(own, lambda t: F.when((t == "") | id_like(t), F.coalesce(below, t)).otherwise(t))).where((F.col("name") != "") & ~id_like(F.col("name")) & ~F.col("name").rlike(r"(?i)name, address|^\(a\)"))
     kept = held.groupBy("doc_id", F.lower("name").alias("low")).agg(F.min(F.struct("at", "page", "name", F.regexp_replace(F.get("t", F.col("c") - 1), r"(?i)\s*shares?$", "").alias("class"), "boy", "eoy", "single")).alias("h"))
     return kept.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("h.at")).alias("place"), "h.page", "h.name", "h.class", "h.boy", "h.eoy", "h.single")
 
