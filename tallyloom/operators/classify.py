@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import let
 from tallyloom.operators.cases import name_tokens, token_overlap
 from tallyloom.operators.layout import inherit_kinds
+from tallyloom.operators.rows import once
 
 HEAD_ROWS, FOOT_ROWS, TITLE_ROWS = 14, 3, 5
 FACE, FILING = "us-5471-face", "us-5471-"
@@ -88,18 +90,24 @@ def page_kind(assumed: bool) -> Column:
     """
     titled = lambda p: F.exists("titles", lambda t: t.rlike(p))
     band = F.lit(True) if assumed else F.col("head").rlike(BAND_HEAD) | F.col("foot").rlike(BAND_FOOT)
-    scopes = {"any": F.lit(True), "form": F.col("head").rlike(FORM_5471), "band": band, "assumed": F.lit(assumed), "export": titled(PERIOD_TITLE)}
-    letter = F.regexp_extract("head", SCHEDULE_PAGE, 1)
+    # many rules ask for a scope, which is found once a page
+    form = F.col("head").rlike(FORM_5471)
+    found_once = F.struct(form.alias("form"), band.alias("band"), titled(PERIOD_TITLE).alias("export"), F.when(form, F.regexp_extract("head", SCHEDULE_PAGE, 1)).otherwise(F.lit("")).alias("letter"))
     made = lambda kind, score: F.struct(kind.alias("kind"), F.lit(score).alias("score"))
-    rule: Column | None = None
-    for scope, part, pattern, kind, score in PAGE_RULES:
-        if part == "letter":
-            holds, found = (letter != "") & F.lit(SCHEDULE_LETTERS).contains(letter), F.concat(F.lit(kind), F.upper(letter))
-        else:
-            holds, found = titled(pattern) if part == "titles" else F.col(part).rlike(pattern) if pattern else F.lit(True), F.lit(kind)
-        rule = (F.when if rule is None else rule.when)(scopes[scope] & holds, made(found, score))
-    assert rule is not None
-    return rule.otherwise(made(F.lit("unknown"), 0))
+
+    def judge(seen: Column) -> Column:
+        scopes = {"any": F.lit(True), "form": seen["form"], "band": seen["band"], "assumed": F.lit(assumed), "export": seen["export"]}
+        letter, rule = seen["letter"], None
+        for scope, part, pattern, kind, score in PAGE_RULES:
+            if part == "letter":
+                holds, found = (letter != "") & F.lit(SCHEDULE_LETTERS).contains(letter), F.concat(F.lit(kind), F.upper(letter))
+            else:
+                holds, found = titled(pattern) if part == "titles" else F.col(part).rlike(pattern) if pattern else F.lit(True), F.lit(kind)
+            rule = (F.when if rule is None else rule.when)(scopes[scope] & holds, made(found, score))
+        assert rule is not None
+        return rule.otherwise(made(F.lit("unknown"), 0))
+
+    return let(found_once, judge)
 
 
 def classify_pages(printed: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -109,8 +117,7 @@ def classify_pages(printed: DataFrame, pages: DataFrame | None = None) -> DataFr
     if they belonged to one. Then unknown pages take over the kind before them where that kind goes on over pages (score 1).
     Texts are judged where the page is put together; only kinds reach the windows over a document.
     """
-    own = page_kind(False)
-    judged = page_texts(printed).withColumn("own", own).withColumn("statutory", F.when(F.col("own.kind") == "unknown", page_kind(True))).select("doc_id", "page", "own", "statutory")
+    judged = once(page_texts(printed), "own", page_kind(False)).withColumn("statutory", F.when(F.col("own.kind") == "unknown", page_kind(True))).select("doc_id", "page", "own", "statutory")
     if pages is not None:
         judged = pages.select("doc_id", "page").distinct().join(judged, ["doc_id", "page"], "left")
     is_fs = F.max(F.coalesce(F.col("own.kind").startswith("fs-"), F.lit(False))).over(Window.partitionBy("doc_id"))

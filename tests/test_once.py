@@ -7,7 +7,7 @@ from itertools import permutations, product
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import exact_sum, strict_number
-from tallyloom.operators import evidence, filings, rows
+from tallyloom.operators import classify, evidence, filings, rows
 from tallyloom.plans import evidence as plans
 
 
@@ -65,3 +65,11 @@ def test_opening_balances_do_not_depend_on_order(spark, tmp_path):
     spark.createDataFrame([(i, 1, "F", v) for i, v in enumerate(_low())], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").selectExpr("*", "timestamp'2020-01-01' AS o_orderdate", "'x' AS o_orderpriority").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
     lines = plans._base(spark, str(tmp_path), "lines")[0]
     assert lines.first().boy == 1000.5
+
+
+def test_scopes_of_pages_are_found_once(spark):
+    page = spark.createDataFrame([("form 5471", "page 1 of 2", "form 5471", ["x"])], "head string, foot string, all string, titles array<string>")
+    plan = page.select(classify.page_kind(False).alias("c"))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert text.count("companies house") == 1 and text.count("all dates") == 1
+    assert plan.first().c.kind == "us-5471-face"
