@@ -2,7 +2,8 @@
 
 Documents are sets of five-word shingles; equal sets form classes. Each tree branches the classes by selected coordinates of
 their MinHash signatures: all classes that share a coordinate's value go to one child. Children of at most NODE_CLASSES
-classes are compared exhaustively on their signatures; larger ones branch again, until none is large or its classes are alike.
+classes are compared exhaustively on their signatures; larger ones branch again without the classes that are alike with one of
+them, until none is large.
 Trees are repeated until a pair at the threshold is met with the target recall at any depth. Candidates are gathered in
 clusters, in which full sets decide; see exact_links.
 """
@@ -16,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -32,6 +34,8 @@ COORDINATES = 128
 TARGET_RECALL = 0.999999
 NODE_CLASSES = 128
 MOST_LEVELS = 32
+#: Share of a large node's listed classes that must look like one of them to make it the node's pivot.
+PIVOT_SHARE = 1 / 16
 #: Shingles that one task compares on one side, and classes: an eighth of a cluster within these bounds.
 BLOCK_SHINGLES = 200_000
 BLOCK_CLASSES = (256, 4096)
@@ -128,11 +132,11 @@ def branch(rows: DataFrame, percent: int, root: bool) -> DataFrame:
 
 
 def first_members(keys: DataFrame) -> DataFrame:
-    """(node, cids): the NODE_CLASSES + 1 smallest cids of each node (node, cid) that has more than one.
+    """(node, cids): NODE_CLASSES + 1 cids of each node (node, cid) that has more than one; of more, those of smallest hash.
 
     Ranks are limited in each task before rows are dealt by node, so a node of any size brings few rows.
     """
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("cid"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("cid")))
     some = keys.select("node", "cid").withColumn("n", rank).where(F.col("n") <= NODE_CLASSES + 1)
     return some.groupBy("node").agg(F.sort_array(F.collect_list("cid")).alias("cids")).where(F.size("cids") > 1)
 
@@ -221,28 +225,54 @@ def candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("node", "cid", "sig").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "a bigint, b bigint")
 
 
-def judged_nodes(wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(node, first, dense) of large nodes (node, cids): dense if half or more of the listed classes look like the first or
-    the last of them, so that branching would not part the copies."""
-    rows = wide.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")
-    whole = Window.partitionBy("node").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = rows.withColumns({"__first": F.first("sig").over(whole), "__last": F.last("sig").over(whole)})
-    at = F.sequence(F.lit(0), F.lit(COORDINATES - 1))
+def with_pivots(wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot, pivot_sig) of large nodes (node, cids): the listed class that most listed ones look like, null unless
+    they are a PIVOT_SHARE of all."""
+    least = least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["node"]):
+            sig = matrix(group.column("sig"))
+            inside = np.bincount(agreements(sig, sig, least)[0], minlength=len(sig))
+            i = int(inside.argmax())
+            found = group.slice(i, 1).select(["node", "cid", "sig"]).to_batches()[0]
+            if inside[i] < max(2, PIVOT_SHARE * len(sig)):
+                found = pa.RecordBatch.from_arrays([found.column(0), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=["node", "cid", "sig"])
+            yield found.rename_columns(["node", "pivot", "pivot_sig"])
+
+    rows = wide.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
+    return rows.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(run, "node bigint, pivot bigint, pivot_sig binary")
+
 
-    def alike(other: str) -> Column:
-        same = F.filter(at, lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)) == F.substring(F.col(other), i * 4 + 1, F.lit(4)))
-        return (F.size(same) >= least_agreement(percent)).cast("double")
+def held_to_pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, cid, sig, pivot) of (node, cid, sig, pivot, pivot_sig): the signature stays with classes that branch on, the pivot
+    with those linked to it.
 
-    return seen.groupBy("node").agg(F.min("cid").alias("first"), (F.greatest(F.avg(alike("__first")), F.avg(alike("__last"))) >= 0.5).alias("dense"))
+    A class that looks like the pivot is linked to it and goes no further. What looks like such a class differs from the pivot in
+    at most twice the coordinates in which two alike ones may differ, and is linked to it as well.
+    """
+    least = least_agreement(percent)
+    ring = 2 * least - COORDINATES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, cid, sig, pivot, pivot_sig = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "cid", "sig", "pivot", "pivot_sig"))
+            known = np.asarray(pivot.is_valid())
+            same = np.zeros(batch.num_rows, np.int64)
+            same[known] = (matrix(pc.drop_null(pivot_sig)) == matrix(sig.filter(pa.array(known)))).sum(1)
+            on, near = pa.array(same < least), pa.array(known & (same >= ring))
+            yield pa.RecordBatch.from_arrays([node, cid, pc.if_else(on, sig, None), pc.if_else(near, pivot, None)], names=["node", "cid", "sig", "pivot"])
+
+    return rows.select("node", "cid", "sig", "pivot", "pivot_sig").mapInArrow(run, "node bigint, cid bigint, sig binary, pivot bigint")
 
 
 def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> DataFrame:
     """(a, b) candidate links between classes (cid, sig), from all trees.
 
     Small nodes come from an aggregate that stops at NODE_CLASSES + 1 members; only rows of larger nodes are met again, once a
-    level. The classes of a larger node that is dense are all linked to its first, which is more than needed and decided on
-    the full sets later; whether it is dense is judged by its listed members, and no class is left out either way. The same
-    would happen to what is still larger after MOST_LEVELS levels.
+    level. Of a larger node, the classes that look like its pivot are linked to it and leave, with all that could be linked with
+    them, so copies don't branch further however many there are and whatever else is in their node; the full sets decide later.
+    What is still larger after MOST_LEVELS levels is linked to its first class, and no class is left out either way.
     """
     trees = trees_for(recall, percent)
     rows = classes.select(F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"), "cid", "sig")
@@ -256,14 +286,16 @@ def chosen_path_candidates(classes: DataFrame, percent: int, recall: float) -> D
         wide = shared.where(F.size("cids") > NODE_CLASSES)
         if wide.isEmpty():
             break
-        judged = judged_nodes(wide, classes, percent)
         if level == MOST_LEVELS - 1:
-            judged = judged.withColumn("dense", F.lit(True))
-        judged = materialize(judged, "judged")
-        large = materialize(passing(keys, judged.select("node"), ["node"]).join(judged, "node"), "large-nodes")
-        edges.append(large.where("dense").select(F.col("cid").alias("a"), F.col("first").alias("b")))
-        rows = large.where("not dense")
-        rows = (rows.join(classes.select("cid", "sig"), "cid") if level == 0 else rows).select("node", "cid", "sig")
+            edges.append(keys.join(wide.select("node", F.col("cids")[0].alias("b")), "node").select(F.col("cid").alias("a"), "b"))
+            break
+        pivots = materialize(with_pivots(wide, classes, percent), "pivots-of-nodes")
+        large = passing(keys, pivots.select("node"), ["node"]).join(pivots, "node")
+        if level == 0:
+            large = large.join(classes.select("cid", "sig"), "cid")
+        large = materialize(held_to_pivots(large, percent), "large-nodes")
+        edges.append(large.where("pivot is not null").select(F.col("cid").alias("a"), F.col("pivot").alias("b")))
+        rows = large.where("sig is not null").select("node", "cid", "sig")
     small = reduce(DataFrame.unionByName, smalls)
     once = small.groupBy(F.xxhash64("cids").alias("node")).agg(F.first("cids").alias("cids"))
     members = once.select("node", F.explode("cids").alias("cid")).join(classes.select("cid", "sig"), "cid")

@@ -277,6 +277,28 @@ def test_words_of_equal_hash_are_told_apart(vocabulary, monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_copies_among_other_texts_of_a_node_branch_once(spark, monkeypatch):
+    """Near copies leave a large node whatever else is listed in it; all classes that look alike are connected."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, near_dup.COORDINATES, dtype=np.uint64).astype("<u4")
+
+    def signatures(n, least, most):
+        own = rng.integers(0, 1 << 32, (n, near_dup.COORDINATES), dtype=np.uint64).astype("<u4")
+        return np.where(rng.random(own.shape) < rng.uniform(least, most, (n, 1)), base, own)
+
+    sigs = np.concatenate([signatures(1500, 0.2, 0.4), signatures(1000, 0.88, 0.97)])
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "cid bigint, sig binary")
+    branched, branch = [], near_dup.branch
+    monkeypatch.setattr(near_dup, "branch", lambda rows, percent, root: (root or branched.append(rows.where("cid >= 1500").count()), branch(rows, percent, root))[1])
+    edges = [(r.a, r.b) for r in near_dup.chosen_path_candidates(classes, 85, near_dup.TARGET_RECALL).collect()]
+    assert sum(branched) < 10 * 1000  # ten trees with two nodes each hold most of the copies
+    forest = near_dup.Forest(len(sigs))
+    for a, b in edges:
+        forest.join(a, b)
+    x, y, _ = near_dup.agreements(*[sigs.astype(np.uint8)] * 2, near_dup.least_agreement(85))
+    assert len(x) > 500_000 and all(forest.root(i) == forest.root(j) for i, j in zip(x.tolist(), y.tolist()))
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "NODE_CLASSES", 3)
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 600)
