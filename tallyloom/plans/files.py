@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.languages import detect_language
 from tallyloom.session import fresh_path, table
-from tallyloom.sources.delimited import read_delimited_cells
+from tallyloom.sources.delimited import read_delimited_rows
 
 #: Line items by dialect: keys tell rows apart, names may hold another dialect's separators.
 _ITEMS = """SELECT concat('k', l_orderkey, '-', n) AS k, CASE l_orderkey % 3 WHEN 0 THEN 'tsv' WHEN 1 THEN 'csv' ELSE 'txt' END AS kind, p_name, l_extendedprice AS price, n FROM (
@@ -33,9 +33,8 @@ def delimited_cells(spark: SparkSession, d: str) -> DataFrame:
         cells = [F.col("k"), F.concat(F.lit('"'), F.col("p_name"), F.lit('" ' if kind == "txt" else '"')), F.concat(F.lit(" "), price), F.lit("a,b" if kind == "tsv" else "")]
         lines = items.where(F.col("kind") == kind).select(F.explode(F.array(F.concat_ws(sep, *cells), F.lit(""))).alias("line"))
         lines.write.option("extension", kind).option("sep", "\u0001").option("quote", "\u0000").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{kind}")
-    cells = read_delimited_cells(spark, folder)
-    keys = cells.where("col = 0").select("path", "row", F.col("text").alias("k"))
-    return cells.join(keys, ["path", "row"]).select("k", F.lower(F.substring_index("path", ".", -1)).alias("kind"), "col", "text")
+    rows = read_delimited_rows(spark, folder)
+    return rows.select(F.col("cells")[0].alias("k"), F.lower(F.substring_index("path", ".", -1)).alias("kind"), F.posexplode("cells").alias("col", "text"))
 
 
 def languages_of_captions(spark: SparkSession, d: str) -> DataFrame:

@@ -21,8 +21,8 @@ def cell_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, '^"|"$', ""))
 
 
-def read_delimited_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, col, text) of all .csv, .tsv and .txt files under ``path``; rows and columns are numbered from 0.
+def read_delimited_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, cells) of all .csv, .tsv and .txt files under ``path``: the texts of a row's cells; rows are numbered from 0.
 
     A .tsv file is parted at tabs; another one at semicolons if its first line has more of them than commas, else at commas.
     Empty lines are no rows. Separators within quotation marks part cells too. Lines are read in splits, written once, and
@@ -39,4 +39,9 @@ def read_delimited_cells(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.withColumn("before", before).join(first.select("path", sep.alias("sep")), "path", "left").select("path", "block", "low", "before", F.coalesce("sep", F.lit(",")).alias("sep"))
     met = kept.join(blocks, ["path", "block"])
     parts = F.when(F.col("sep") == "\t", F.split("line", "\t", -1)).when(F.col("sep") == ";", F.split("line", ";", -1)).otherwise(F.split("line", ",", -1))
-    return met.select("path", (F.col("at") - F.col("low") + F.col("before")).alias("row"), F.posexplode(parts).alias("col", "cell")).select("path", "row", "col", cell_text(F.col("cell")).alias("text"))
+    return met.select("path", (F.col("at") - F.col("low") + F.col("before")).alias("row"), F.transform(parts, cell_text).alias("cells"))
+
+
+def read_delimited_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, col, text) of the files' cells; columns are numbered from 0."""
+    return read_delimited_rows(spark, path).select("path", "row", F.posexplode("cells").alias("col", "text"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.languages import detect_language
+from tallyloom.plans import files
 from tallyloom.sources.delimited import read_delimited_cells
 
 FILES = {
@@ -51,3 +52,8 @@ def test_languages_by_stage(spark):
     # é and ó are letters of Vietnamese words only with further signs; â and ê are in its list
     df = spark.createDataFrame([(k,) for k in cases], "label string").withColumn("language", detect_language(F.col("label")))
     assert {r.label: r.language for r in df.collect()} == cases
+
+
+def test_cells_get_their_rows_key_without_a_join(spark):
+    plan = files.delimited_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # of the few blocks with their files and with the lines
