@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import let
+
 #: Scripts in the order in which they are asked, words of statements, and letters that tell a language.
 SCRIPTS = [
     ("Arabic", "[\\u0600-\\u06FF]"), ("Japanese", "[\\u3040-\\u30FF]"), ("Chinese", "[\\u4E00-\\u9FFF]"), ("Korean", "[\\uAC00-\\uD7AF]"), ("Cyrillic", "[\\u0400-\\u04FF]"), ("Greek", "[\\u0370-\\u03FF]"), ("Hebrew", "[\\u0590-\\u05FF]"),
@@ -24,9 +28,16 @@ LETTERS = [("French", "[àâçéèêëîïôûùüÿœ]"), ("Spanish", "[áéí
 def detect_language(label: Column) -> Column:
     """The first script that a caption has a letter of, else the first language with one of its words anywhere in it, else the
     first with one of its letters, else English; null for null."""
-    low = F.lower(label)
-    stages = [(name, label.rlike(p)) for name, p in SCRIPTS] + [(name, low.rlike("|".join(words))) for name, words in WORDS] + [(name, low.rlike(p)) for name, p in LETTERS]
-    out = F.when(label.isNull(), F.lit(None))
-    for name, holds in stages:
-        out = out.when(holds, name)
-    return out.otherwise("English")
+    # texts are lowered once, and scripts and letters looked for among what isn't ASCII; words have only to be contained
+    low, rare = "low", "rare"
+    given = F.struct(F.lower(label).alias(low), F.regexp_replace(label, "[\\x00-\\x7F]+", "").alias(rare))
+
+    def named(x: Column) -> Column:
+        stages = [(name, x[rare].rlike(p)) for name, p in SCRIPTS] + [(name, reduce(Column.__or__, (F.contains(x[low], F.lit(w)) for w in words))) for name, words in WORDS]
+        stages += [(name, F.lower(x[rare]).rlike(p)) for name, p in LETTERS]
+        out = F.when(x[low].isNull(), F.lit(None))
+        for name, holds in stages:
+            out = out.when(holds, name)
+        return out.otherwise("English")
+
+    return let(given, named)

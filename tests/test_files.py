@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions.languages import detect_language
+from tallyloom.functions.languages import LETTERS, SCRIPTS, WORDS, detect_language
 from tallyloom.plans import files
 from tallyloom.sources.delimited import read_delimited_cells
 
@@ -57,3 +57,17 @@ def test_languages_by_stage(spark):
 def test_cells_get_their_rows_key_without_a_join(spark):
     plan = files.delimited_cells(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2  # of the few blocks with their files and with the lines
+
+
+def test_languages_of_odd_texts_with_texts_lowered_once(spark):
+    """Signs whose case is told by more than their own letter, between ASCII; the text itself is lowered once and met by no pattern of words."""
+    odd = ["K", "İ", "ı", "Å", "ẞ", "ΑΣ", "ǅ", "ﬁ", "ÀÉ", "ỸA", "Ơ", "Ñ", "\U00020000", "é", "CRÉANCES", "capital  social", "\x00", "SOCIÉTÉ", "Œ", "힯", "㄀"]
+    texts = odd + [f"Cash {a} at {b}\nbank" for a in odd for b in odd]
+    df = spark.createDataFrame([(t,) for t in texts], "label string")
+    low = F.lower("label")
+    stages = [(n, F.col("label").rlike(p)) for n, p in SCRIPTS] + [(n, low.rlike("|".join(w))) for n, w in WORDS] + [(n, low.rlike(p)) for n, p in LETTERS]
+    plain = F.coalesce(*(F.when(holds, n) for n, holds in stages), F.lit("English"))
+    got = df.withColumns({"language": detect_language(F.col("label")), "plain": plain})
+    assert [(r.label, r.language) for r in got.collect() if r.language != r.plain] == []
+    plan = df.select(detect_language(F.col("label")).alias("language"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(label") == 1
