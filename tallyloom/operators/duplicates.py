@@ -2,43 +2,49 @@
 
 Equal sets of figures are one class, so copies are never paired with each other; classes meet by prefixes of their rarest
 figures. The choice between alike documents goes in the order of pairs, each pair with documents that are still open; rounds
-settle all pairs that no open pair before them touches.
+settle all pairs that no open pair before them touches. Entities of few documents, which are most, need neither: each is a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.scalars import let
 from tallyloom.session import materialize
 
 LEAST_VALUES = 5
 JACCARD, CONTAINMENT = 0.8, 0.9
+#: Entities of so many documents and values at most are settled a row each, all others in rounds.
+FEW_DOCS, FEW_VALUES = 128, 20_000
 #: Kinds of documents that can repeat each other.
 COMPARED = ["cfc-financial-statements", "cfc-tax-return", "trial-balance", "related-party-ledger"]
 
 
 def value_sets(values: DataFrame, least: int = LEAST_VALUES) -> DataFrame:
-    """(entity_id, doc_id, n, set_id) of documents with ``least`` distinct values or more, from (entity_id, doc_id, value).
+    """(entity_id, doc_id, v, n, set_id) of documents with ``least`` distinct values or more, from (entity_id, doc_id, value).
 
-    Equal sets of an entity have one set_id: two sums of 64-bit hashes of the values and their number.
+    ``v`` are the values in order; equal sets of an entity have one set_id, a 64-bit hash of them.
     """
-    distinct = values.where("value is not null").select("entity_id", "doc_id", "value").distinct()
-    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "value").cast("decimal(20,0)"))
-    sets = distinct.groupBy("entity_id", "doc_id").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).where(F.col("n") >= least)
-    return sets.select("entity_id", "doc_id", "n", F.xxhash64("n", "a", "b").alias("set_id"))
+    held = values.where("value is not null").groupBy("entity_id", "doc_id").agg(F.sort_array(F.collect_set("value")).alias("v"))
+    return held.withColumn("n", F.size("v")).where(F.col("n") >= least).withColumn("set_id", F.xxhash64("n", "v"))
 
 
-def alike_sets(values: DataFrame, sets: DataFrame) -> DataFrame:
-    """(entity_id, a, b): set_ids of an entity's different sets that are alike, once with a and b in either order.
+def _alike(v: Column, w: Column) -> Column:
+    """Whether two arrays of distinct values share JACCARD of their union or CONTAINMENT of the smaller one."""
+    n, m = F.size(v), F.size(w)
+    return let(F.size(F.array_intersect(v, w)), lambda shared: (shared / (n + m - shared) >= JACCARD) | (shared / F.least(n, m) >= CONTAINMENT))
+
+
+def alike_sets(sets: DataFrame) -> DataFrame:
+    """(entity_id, a, b): set_ids of an entity's different ``sets`` that are alike, once with a and b in either order.
 
     Alike are sets that share JACCARD of their union or CONTAINMENT of the smaller one; both ask for JACCARD of the smaller one
     at least. So of the smaller set's values, the rarest first, one of the first n - ceil(JACCARD n) + 1 lies in the larger set.
     Each set is taken from one of its documents; candidates are confirmed by counting all shared values.
     """
-    one = sets.groupBy("entity_id", "set_id").agg(F.min(F.struct("doc_id", "n")).alias("o")).select("entity_id", "set_id", "o.doc_id", "o.n")
-    held = values.where("value is not null").select("entity_id", "doc_id", "value").distinct().join(one, ["entity_id", "doc_id"]).select("entity_id", "set_id", "n", "value")
-    held = materialize(held, "value-sets")
+    whole = materialize(sets.groupBy("entity_id", "set_id").agg(F.min_by("v", "doc_id").alias("v")), "value-arrays")
+    held = whole.select("entity_id", "set_id", F.size("v").alias("n"), F.explode("v").alias("value"))
     often = held.groupBy("entity_id", "value").agg(F.count("*").alias("often")).where("often > 1")
     rare = held.join(often, ["entity_id", "value"]).groupBy("entity_id", "set_id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("v"))
     # values that no other set has come first; they take up places of the prefix without a partner
@@ -47,12 +53,32 @@ def alike_sets(values: DataFrame, sets: DataFrame) -> DataFrame:
     other = held.select("entity_id", "value", F.col("set_id").alias("b"), F.col("n").alias("m"))
     # every pair is met from its smaller set, of equally large ones from the one of smaller id
     near = prefix.withColumnRenamed("set_id", "a").join(other, ["entity_id", "value"]).where("n < m or (n = m and a < b)").select("entity_id", "a", "b").distinct()
-    whole = materialize(held.groupBy("entity_id", "set_id").agg(F.collect_list("value").alias("v")), "value-arrays")
     side = lambda x: whole.select("entity_id", F.col("set_id").alias(x), F.col("v").alias(f"v{x}"))
     met = near.join(side("a"), ["entity_id", "a"]).join(side("b"), ["entity_id", "b"])
-    shared, n, m = F.size(F.array_intersect("va", "vb")), F.size("va"), F.size("vb")
-    alike = (shared / (n + m - shared) >= JACCARD) | (shared / F.least(n, m) >= CONTAINMENT)
-    return met.where(alike).select("entity_id", "a", "b")
+    return met.where(_alike(F.col("va"), F.col("vb"))).select("entity_id", "a", "b")
+
+
+def settle_few(sets: DataFrame) -> DataFrame:
+    """(entity_id, doc_id, duplicate_of) of what is marked among ``sets`` (entity_id, doc_id, ord, width, year, v), an entity a
+    row: its documents in order, each open one against the open ones behind it. For entities of few documents."""
+    docs = F.sort_array(F.collect_list(F.struct("ord", "doc_id", "width", "year", "v")))
+    mark = lambda x, of: F.struct(x["doc_id"].alias("doc_id"), of["doc_id"].alias("duplicate_of"))
+    same_year = lambda x, y: x["year"].isNull() | y["year"].isNull() | (x["year"] == y["year"])
+
+    def step(marks: Column, x: Column) -> Column:
+        open_ = lambda y: ~F.exists(marks, lambda m: m["doc_id"] == y["doc_id"])
+        rivals = F.filter("docs", lambda y: (y["ord"] > x["ord"]) & same_year(x, y) & open_(y) & _alike(x["v"], y["v"]))
+
+        def marked(met: Column) -> Column:
+            stop = F.get(F.filter(met, lambda y: y["width"] > x["width"]), F.lit(0))
+            lost = F.transform(F.filter(met, lambda y: stop.isNull() | (y["ord"] < stop["ord"])), lambda y: mark(y, x))
+            return F.concat(marks, lost, F.when(stop.isNull(), F.slice(lost, 1, 0)).otherwise(F.array(mark(x, stop))))
+
+        return F.when(open_(x), let(rivals, marked)).otherwise(marks)
+
+    id_ = sets.schema["doc_id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<doc_id:{id_},duplicate_of:{id_}>>")
+    return sets.groupBy("entity_id").agg(docs.alias("docs")).select("entity_id", F.inline(F.aggregate("docs", none, step)))
 
 
 def mark_duplicates(docs: DataFrame, values: DataFrame) -> DataFrame:
@@ -62,18 +88,29 @@ def mark_duplicates(docs: DataFrame, values: DataFrame) -> DataFrame:
     Documents of the COMPARED kinds with LEAST_VALUES values or more are compared within their entity; two whose years are known
     and differ never are. Pairs are taken by the ``ord`` of the earlier and then of the later document; a pair of which one is
     marked already is passed over; of the others the one with fewer pages, or the later one of equally many, is marked. ``ord``
-    tells the documents of an entity apart; a document without entity is compared with none. Copies, hot entities and hot values make no pairs of documents: documents meet in
-    classes of equal sets and years, and each round marks all that its settled documents win.
+    tells the documents of an entity apart; a document without entity is compared with none. Entities of FEW_DOCS documents and
+    FEW_VALUES values at most are settled a row each. In the others, copies, hot entities and hot values make no pairs of
+    documents: documents meet in classes of equal sets and years, and each round marks all that its settled documents win.
     """
-    compared = docs.where(F.col("kind").isin(COMPARED)).select("entity_id", "doc_id")
-    # figures are read for compared documents only
-    own = materialize(values.join(compared, ["entity_id", "doc_id"], "left_semi").select("entity_id", "doc_id", "value"), "values")
-    sets = materialize(value_sets(own), "sets")
-    kept = docs.where(F.col("kind").isin(COMPARED)).join(sets.select("entity_id", "doc_id", "set_id"), ["entity_id", "doc_id"])
     class_id = F.xxhash64("set_id", F.coalesce("year", F.lit(-1)))
-    open_ = materialize(kept.select("entity_id", "doc_id", "ord", F.coalesce("n_pages", F.lit(0)).alias("width"), "set_id", "year", class_id.alias("class")), "open")
+    compared = docs.where(F.col("kind").isin(COMPARED)).select("entity_id", "doc_id", "ord", F.coalesce("n_pages", F.lit(0)).alias("width"), "year")
+    sets = materialize(value_sets(values).join(compared, ["entity_id", "doc_id"]), "sets")
+    entities = sets.groupBy("entity_id").agg(F.count("*").alias("docs"), F.sum("n").alias("held"))
+    large = materialize(entities.where((F.col("docs") > FEW_DOCS) | (F.col("held") > FEW_VALUES)).select("entity_id"), "large")
+    lost = [settle_few(sets.join(large, "entity_id", "left_anti"))]
+    if not large.isEmpty():
+        lost += settle_many(sets.join(large, "entity_id", "left_semi").withColumn("class", class_id))
+    every = lost[0]
+    for more in lost[1:]:
+        every = every.unionByName(more)
+    return docs.join(sets.select("entity_id", "doc_id", "set_id"), ["entity_id", "doc_id"], "left").join(every, ["entity_id", "doc_id"], "left")
+
+
+def settle_many(sets: DataFrame) -> list[DataFrame]:
+    """Parts of (entity_id, doc_id, duplicate_of) of what is marked among ``sets`` with ``class``, in rounds."""
+    open_ = materialize(sets.select("entity_id", "doc_id", "ord", "width", "set_id", "year", "class"), "open")
     classes = open_.groupBy("entity_id", "set_id", "year", "class").agg(F.count("*").alias("members"))
-    pairs = alike_sets(own, sets)
+    pairs = alike_sets(sets)
     both = pairs.unionByName(pairs.select("entity_id", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.select("entity_id", F.col("set_id").alias("a"), F.col("set_id").alias("b")).distinct())
     left = classes.select("entity_id", F.col("set_id").alias("a"), F.col("year").alias("y"), F.col("class").alias("c"), F.col("members"))
     right = classes.select("entity_id", F.col("set_id").alias("b"), F.col("year").alias("z"), F.col("class").alias("d"))
@@ -101,10 +138,4 @@ def mark_duplicates(docs: DataFrame, values: DataFrame) -> DataFrame:
         lost = materialize(lost.unionByName(wider.select("entity_id", F.col("winner")["doc_id"].alias("doc_id"), F.col("stop")["doc_id"].alias("duplicate_of"))), "lost")
         marks.append(lost)
         open_ = materialize(open_.join(lost.select("entity_id", "doc_id"), ["entity_id", "doc_id"], "left_anti"), "open")
-    found = docs.join(sets.select("entity_id", "doc_id", "set_id"), ["entity_id", "doc_id"], "left")
-    if not marks:
-        return found.withColumn("duplicate_of", F.lit(None).cast(docs.schema["doc_id"].dataType))
-    every = marks[0]
-    for m in marks[1:]:
-        every = every.unionByName(m)
-    return found.join(every, ["entity_id", "doc_id"], "left")
+    return marks

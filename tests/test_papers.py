@@ -145,3 +145,25 @@ def test_a_hot_entity_of_copies_makes_no_pairs_of_documents(spark):
     assert got == {d[1]: None for d in docs} | plain_marks(docs, values)
     none = duplicates.mark_duplicates(frame.limit(0), spark.createDataFrame([], "entity_id int, doc_id int, value int"))
     assert none.collect() == []
+
+
+def test_entities_of_few_documents_are_settled_as_in_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(e, 100 * e + k, "trial-balance", rng.choice([None, 2023, 2024]), rng.choice((None, 1, 2, 3)), 10 - k) for e in range(12) for k in range(9)]
+    values = [(d[0], d[1], v) for d in docs for v in range(rng.choice((0, 0, 0, 1, 3)), rng.choice((9, 10, 10, 10, 12)))]
+    frame, held = spark.createDataFrame(docs, "entity_id int, doc_id int, kind string, year int, n_pages int, ord int"), spark.createDataFrame(values, "entity_id int, doc_id int, value int")
+    few = {r.doc_id: r.duplicate_of for r in duplicates.mark_duplicates(frame, held).collect()}
+    monkeypatch.setattr(duplicates, "FEW_DOCS", 0)
+    assert {r.doc_id: r.duplicate_of for r in duplicates.mark_duplicates(frame, held).collect()} == few
+    want = plain_marks([(*d[:4], d[4] or 0, d[5]) for d in docs], values)
+    assert len(want) > 12 and {k: v for k, v in few.items() if v is not None} == want
+
+
+def test_entities_of_few_documents_take_no_rounds(spark, monkeypatch):
+    """What is written grows with documents only: values in one array a document, nothing a round."""
+    written = []
+    monkeypatch.setattr(duplicates, "materialize", lambda df, label: written.append(label) or df)
+    frame = spark.createDataFrame([(1, i, "trial-balance", None, 1, i) for i in range(6)], "entity_id int, doc_id int, kind string, year int, n_pages int, ord int")
+    values = spark.createDataFrame([(1, i, v) for i in range(6) for v in range(6)], "entity_id int, doc_id int, value int")
+    assert {r.doc_id: r.duplicate_of for r in duplicates.mark_duplicates(frame, values).collect()} == {0: None} | dict.fromkeys(range(1, 6), 0)
+    assert written == ["sets", "large"]
