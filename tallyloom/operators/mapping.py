@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import js_round, norm
+from tallyloom.session import materialize
 
 #: Keywords of at least so many letters also match with up to three more letters behind them.
 STEM_LETTERS = 5
@@ -32,7 +33,8 @@ def match_rules(captions: DataFrame, rules: DataFrame) -> DataFrame:
 
     Keywords stand between characters that are neither letters nor digits, those of STEM_LETTERS or more with up to STEM_TAIL
     letters more; keywords in other scripts than Latin match wherever they stand. Distinct labels meet rules in an equi-join
-    on the keyword's first word (or, without one, character); only what meets is tested. The answer joins back by label.
+    on the keyword's first word (or, without one, character); only what meets is tested. The answers are written once and join
+    back by label: their size is known then, so that few labels are broadcast and a common label's captions stay where they are.
     """
     labels = captions.select(F.lower("label").alias("label")).where("label is not null").distinct()
     words = F.array_distinct(F.regexp_extract_all("label", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
@@ -41,7 +43,8 @@ def match_rules(captions: DataFrame, rules: DataFrame) -> DataFrame:
     asked = labels.withColumn("key", F.explode(F.array_distinct(F.concat(stems, chars))))
     hits = asked.join(rule_patterns(rules), "key").where(F.when(F.col("pattern").isNull(), F.contains("label", "low")).otherwise(F.regexp_like("label", F.col("pattern"))))
     best = hits.groupBy("label").agg(F.max_by("target", F.struct(F.length("low"), -F.col("rule_ord"), -F.col("kw_ord"))).alias("target"))
-    return captions.join(best.withColumnRenamed("label", "__label"), F.lower(captions["label"]) == F.col("__label"), "left").drop("__label")
+    best = materialize(best.withColumnRenamed("label", "__label"), "labels-matched")
+    return captions.join(best, F.lower(captions["label"]) == F.col("__label"), "left").drop("__label")
 
 
 def skip_subtotals(matched: DataFrame) -> DataFrame:
@@ -69,7 +72,8 @@ def count_once(routed: DataFrame) -> DataFrame:
 
 def sum_lines(contributions: DataFrame) -> DataFrame:
     """(entity_id, target, amount, boy, eoy); a field without contributions is NULL."""
-    return contributions.groupBy("entity_id", "target").pivot("field", ["amount", "boy", "eoy"]).agg(F.round(F.sum("value"), 2))
+    total = lambda f: F.round(F.sum(F.when(F.col("field") == f, F.col("value"))), 2).alias(f)
+    return contributions.groupBy("entity_id", "target").agg(*(total(f) for f in ("amount", "boy", "eoy")))
 
 
 def multi_source(contributions: DataFrame) -> DataFrame:

@@ -160,3 +160,23 @@ def test_period_average_equals_plain_mean(spark):
 
 def test_queries_have_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_lines_are_summed_in_one_aggregation(spark):
+    """One group a line in a task's memory and one shuffle, not a group a field first."""
+    rows = spark.sql("SELECT * FROM VALUES (1, 'a', 'amount', 1.0D), (1, 'a', 'boy', 2.0D), (1, 'a', 'amount', 4.0D), (1, 'b', 'other', 8.0D), (2, 'a', null, 1.0D) t(entity_id, target, field, value)")
+    made = mapping.sum_lines(rows)
+    assert sorted(map(tuple, made.collect()), key=str) == [(1, "a", 5.0, 2.0, None), (1, "b", None, None, None), (2, "a", None, None, None)]
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
+
+
+def test_captions_of_a_common_label_stay_where_they_are(spark, monkeypatch):
+    """The matched labels are written, so their size is known before captions would be shuffled by label."""
+    written = []
+    real = mapping.materialize
+    monkeypatch.setattr(mapping, "materialize", lambda df, label: written.append(label) or real(df, label))
+    captions = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'Cash at bank', 'Sales') AS label")
+    rules = spark.sql("SELECT * FROM VALUES (1, 1, 'cash', 'balance:1'), (2, 1, 'sales', 'income:1') t(rule_ord, kw_ord, kw, target)")
+    made = mapping.match_rules(captions, rules)
+    assert written == ["labels-matched"] and {tuple(r) for r in made.groupBy("target").count().collect()} == {("balance:1", 1000), ("income:1", 2000)}
+    assert "BroadcastHashJoin" in made._jdf.queryExecution().sparkPlan().toString()
