@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import norm
-from tallyloom.operators.cases import route_related_party
+from tallyloom.operators.cases import group_stems, label_words, route_related_party
 from tallyloom.operators.mapping import match_rules
 from tallyloom.operators.rows import route_years
 from tallyloom.session import materialize
@@ -42,15 +42,37 @@ def decide_targets(rows: DataFrame, rules: DataFrame, overrides: DataFrame, name
 
     A user's target (entity_id, label, target) beats rules, feeds and related parties, a null one leaves the row without; the
     label is compared without case and spacing. An income page reaches income lines only, a balance page balance lines only.
+    Only rows whose label some user chose a target for, or names some entity's group, go where their entity's answers are.
     """
-    user = overrides.select(F.col("entity_id").alias("__entity"), norm(F.col("label")).alias("__norm"), F.col("target").alias("__to"), F.lit(True).alias("own"))
-    matched = match_rules(rows, rules)
-    met = matched.withColumn("__key", norm(F.col("label"))).join(user, (F.col("entity_id") == F.col("__entity")) & (F.col("__key") == F.col("__norm")), "left")
+    matched = match_rules(rows, rules).join(asked_labels(rows, overrides, names), F.lower("label") == F.col("__low"), "left").drop("__low")
+    ours = F.col("__asked").isNotNull()
+    plain = _scoped(matched.where(~ours).withColumns({"own": F.lit(False), "__to": F.lit(None).cast("string")})).withColumn("related", F.lit(False))
+    decided = _decided(matched.where(ours).drop("__asked"), overrides, names)
+    return decided.unionByName(plain.select(*decided.columns))
+
+
+def asked_labels(rows: DataFrame, overrides: DataFrame, names: DataFrame) -> DataFrame:
+    """(__low, __asked): labels in lower case that stand in ``overrides`` or share a word with ``names``, of whatever entity."""
+    low = rows.select(F.lower("label").alias("__low")).where("__low is not null").distinct()
+    chosen = low.join(overrides.select(norm(F.col("label")).alias("__norm")).distinct(), norm(F.col("__low")) == F.col("__norm"), "left_semi")
+    words = low.withColumn("word", F.explode(label_words(F.col("__low"))))
+    named = words.join(group_stems(names).select("word").distinct(), "word", "left_semi").select("__low")
+    return materialize(chosen.unionByName(named).distinct().withColumn("__asked", F.lit(True)), "labels-asked")
+
+
+def _scoped(met: DataFrame) -> DataFrame:
+    """The target of rows with ``own`` and the user's target ``__to``, which is dropped."""
     skip = F.coalesce(F.col("target") == "SKIP", F.lit(False))
     own = F.coalesce(F.col("own"), F.lit(False)) & ~skip
     out_of_feed = ((F.col("feed") == "is") & ~F.col("target").startswith("income")) | ((F.col("feed") == "bs") & ~F.col("target").startswith("balance"))
     target = F.when(skip, F.col("target")).when(own, F.col("__to")).when(F.coalesce(out_of_feed, F.lit(False)), F.lit(None)).otherwise(F.col("target"))
-    met = met.withColumns({"target": target, "own": own}).drop("__entity", "__norm", "__to", "__key")
+    return met.withColumns({"target": target, "own": own}).drop("__to")
+
+
+def _decided(matched: DataFrame, overrides: DataFrame, names: DataFrame) -> DataFrame:
+    user = overrides.select(F.col("entity_id").alias("__entity"), norm(F.col("label")).alias("__norm"), F.col("target").alias("__to"), F.lit(True).alias("own"))
+    met = matched.withColumn("__key", norm(F.col("label"))).join(user, (F.col("entity_id") == F.col("__entity")) & (F.col("__key") == F.col("__norm")), "left")
+    met = _scoped(met.drop("__entity", "__norm", "__key"))
     open_ = F.col("target").isNull() & ~F.col("own") & F.coalesce(F.col("feed") == "bs", F.lit(False))
     asked = met.withColumns({"__feed": F.col("feed"), "feed": F.when(open_, F.lit("bs")), "__open": open_})
     routed = route_related_party(asked, names)
@@ -66,24 +88,23 @@ def place_in_pools(rows: DataFrame, overrides: DataFrame) -> DataFrame:
     ones. Lines that users chose are not free; without any free one the pool's last line takes all. Only so many captions as a
     pool has lines are ranked for an entity.
     """
-    lines = [(pool, pool.split(":")[0], i, f"{pool.split(':')[0]}:{n}") for pool, ns in POOLS.items() for i, n in enumerate(ns)]
-    spark = rows.sparkSession
-    slots = spark.createDataFrame(lines, "pool string, sheet string, i int, slot string")
     held = rows.where(F.col("target").isin(list(POOLS)) & ~F.col("own"))
     captions = held.groupBy("entity_id", F.col("target").alias("pool"), F.trim(F.lower("label")).alias("caption")).agg(F.min("ord").alias("first"))
     most = max(map(len, POOLS.values()))
     ranked = captions.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id", "pool").orderBy("first", "caption"))).where(F.col("rank") < most)
-    taken = overrides.where("target is not null").select("entity_id", F.col("target").alias("slot")).distinct()
-    entities = captions.select("entity_id", "pool").distinct()
-    free = entities.join(F.broadcast(slots), "pool").join(taken, ["entity_id", "slot"], "left_anti")
-    free = free.withColumns({"rank": F.row_number().over(Window.partitionBy("entity_id", "pool").orderBy("i")), "n": F.count("*").over(Window.partitionBy("entity_id", "pool"))})
-    own_line = ranked.join(free.where("rank < n").select("entity_id", "pool", "rank", F.col("slot").alias("own_slot")), ["entity_id", "pool", "rank"]).select("entity_id", "pool", "caption", "own_slot")
-    last = free.where("rank = n").select("entity_id", "pool", F.col("slot").alias("last_slot"))
+    listed = ranked.groupBy("entity_id", "pool").agg(F.sort_array(F.collect_list(F.struct("rank", "caption")))["caption"].alias("captions"))
+    lines = {pool: [f"{pool.split(':')[0]}:{n}" for n in ns] for pool, ns in POOLS.items()}
+    taken = overrides.where(F.col("target").isin([x for slots in lines.values() for x in slots])).groupBy("entity_id").agg(F.collect_set("target").alias("taken"))
+    all_ = F.create_map(*(x for pool, slots in lines.items() for x in (F.lit(pool), F.array(*map(F.lit, slots)))))
+    free = F.array_except(F.try_element_at(all_, F.col("pool")), F.coalesce("taken", F.array().cast("array<string>")))
+    # a pool's captions and lines are few, so they come to its rows as two arrays
+    places = listed.join(taken, "entity_id", "left").select("entity_id", "pool", "captions", free.alias("free"))
     marked = rows.withColumns({"pool": F.when(~F.col("own") & F.col("target").isin(list(POOLS)), F.col("target")), "caption": F.trim(F.lower("label"))})
-    met = marked.join(own_line, ["entity_id", "pool", "caption"], "left").join(last, ["entity_id", "pool"], "left")
+    at, n = F.array_position("captions", F.col("caption")).cast("int"), F.size("free")
+    met = marked.join(places, ["entity_id", "pool"], "left").withColumns({"own_slot": F.when((at > 0) & (at < n), F.get("free", at - 1)), "last_slot": F.get("free", n - 1)})
     final = F.create_map(*(F.lit(x) for pool, ns in POOLS.items() for x in (pool, f"{pool.split(':')[0]}:{ns[-1]}")))
     slot = F.when(F.col("pool").isNull(), F.col("target")).otherwise(F.coalesce("own_slot", "last_slot", F.try_element_at(final, F.col("pool"))))
-    return met.withColumns({"slot": slot, "in_last": F.col("pool").isNotNull() & F.col("own_slot").isNull()}).drop("own_slot", "last_slot", "caption")
+    return met.withColumns({"slot": slot, "in_last": F.col("pool").isNotNull() & F.col("own_slot").isNull()}).drop("own_slot", "last_slot", "caption", "captions", "free")
 
 
 def takes_caption(line: Column) -> Column:
@@ -103,8 +124,9 @@ def map_captions(rows: DataFrame, rules: DataFrame, overrides: DataFrame, names:
     name) of the entity's group. ``row_id`` tells rows apart, ``ord`` is their order within an entity. Fates: skipped subtotals;
     unassigned by a user; unmatched; ambiguous (several numbers without years); no value of the case's years; counted once
     (all its values stand on an earlier page of the document); booked. Equal values are compared before a tax line turns
-    their sign. The decided rows are written once and read by all four results.
+    their sign. The rows are written once before what reads them, the decided rows once more for all four results.
     """
+    rows = materialize(rows, "captions-rows")
     decided = decide_targets(rows, rules, overrides, names)
     routed = route_years(decided.withColumn("is_balance", F.coalesce(F.col("target").startswith("balance"), F.lit(False))))
     fate = (

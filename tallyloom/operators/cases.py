@@ -68,16 +68,25 @@ def token_overlap(x: Column, y: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
 
 
+def group_stems(names: DataFrame) -> DataFrame:
+    """(entity_id, word): words of four letters or more in names (entity_id, name) of an entity's group."""
+    return names.select("entity_id", F.explode(F.filter(name_tokens(F.col("name"), GROUP_STOP), lambda w: F.length(w) >= 4)).alias("word")).distinct()
+
+
+def label_words(low: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)))
+
+
 def route_related_party(captions: DataFrame, names: DataFrame) -> DataFrame:
     """``captions`` (entity_id, label, feed, target, ...) under names of the entity's group (entity_id, name): an unmatched
     balance caption that names one of them and speaks of what is owed becomes a loan asset or a loan liability.
 
     A caption's words meet the names' words of four letters or more in an equi-join within the entity.
     """
-    stems = names.select("entity_id", F.explode(F.filter(name_tokens(F.col("name"), GROUP_STOP), lambda w: F.length(w) >= 4)).alias("word")).distinct()
+    stems = group_stems(names)
     low = F.lower("label")
     open_ = captions.where("target is null and feed = 'bs'").select("entity_id", low.alias("low")).distinct()
-    words = open_.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)))))
+    words = open_.withColumn("word", F.explode(label_words(F.col("low"))))
     named = words.join(stems, ["entity_id", "word"], "left_semi").select(F.col("entity_id").alias("__e"), F.col("low").alias("__low")).distinct().withColumn("__named", F.lit(True))
     joined = captions.join(named, (F.col("entity_id") == F.col("__e")) & (low == F.col("__low")), "left")
     loan = F.when(low.rlike(RECEIVABLE), "loan-asset").when(low.rlike(PAYABLE), "loan-liability")

@@ -19,6 +19,11 @@ _ROWS = """SELECT *, doc_id * 100 + n AS row_id, row_number() OVER (PARTITION BY
   CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'bs' WHEN 1 THEN 'bs' WHEN 2 THEN NULL ELSE 'is' END AS feed,
   CASE WHEN l_partkey % 9 = 0 THEN concat('Owed by Northwind ', l_partkey % 4) WHEN l_partkey % 9 = 1 THEN concat('Creditor northwind ', l_partkey % 4) WHEN l_partkey % 9 = 2 THEN concat('Less ', p_name) ELSE concat(p_name, ' ', l_partkey % 3) END AS label
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) t"""
+#: The rows as Spark makes them: names come first, so that lines meet their order and are numbered in one place; the order within an
+#: entity is that of documents and rows, which row_id has already.
+_ROWS_MADE = _ROWS.replace("row_number() OVER (PARTITION BY entity_id ORDER BY doc_id, n) AS ord", "doc_id * 100 + n AS ord").replace(
+    "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey", "lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey"
+)
 _OVERRIDES = """SELECT c_custkey AS entity_id, label, target FROM customer JOIN (VALUES (0, 'HOT   Ring 1', 'income:23'), (0, 'red gear 2', 'balance:16'), (1, 'cold rod 0', NULL), (1, 'Blue anvil 1', 'income:12'), (2, 'new gizmo 1', 'balance:17'), (2, 'small plate 2', 'income:50'), (2, 'old gear 0', 'balance:16'), (2, 'hot gear 1', 'balance:18')) o(k, label, target) ON c_custkey % 4 = k"""
 _NAMES = "SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN 'The Northwind Group' ELSE 'Contoso Ltd' END AS name FROM customer"
 
@@ -29,7 +34,7 @@ def _mapped(spark: SparkSession, d: str) -> captions.Mapped:
     v = F.col("v")
     vals = F.when(v.isin(0, 3), F.array("price")).otherwise(F.array("price", F.col("qty").cast("double")))
     years = F.when(v == 1, F.array("y", F.col("y") - 1)).when(v == 2, F.array(F.col("y") - 1, "y")).when(v == 3, F.array(F.col("y") - 1)).when(v == 4, F.array("y", "y")).when(v == 5, F.array(F.lit(None).cast("int"), F.col("y")))
-    rows = spark.sql(_ROWS).select(
+    rows = spark.sql(_ROWS_MADE).select(
         "row_id", "entity_id", "doc_id", "page", "ord", "label", vals.alias("vals"), years.alias("years"), F.when(F.col("doc_id") % 5 > 0, F.col("y")).alias("cy"), F.when(F.col("doc_id") % 5 > 0, F.col("y") - 1).alias("py"), F.when(F.col("is_grid"), "grid").otherwise("pdf").alias("kind"), "feed",
     )
     return captions.map_captions(rows, spark.sql(f"SELECT * FROM ({_RULES}) r(rule_ord, kw_ord, kw, target)"), spark.sql(_OVERRIDES), spark.sql(_NAMES))

@@ -60,3 +60,17 @@ def test_contributions_names_and_review(mapped):
 def test_nothing_to_map(spark):
     none = captions.map_captions(spark.createDataFrame([], ROWS), spark.createDataFrame(RULES, "rule_ord int, kw_ord int, kw string, target string"), spark.createDataFrame([], "entity_id int, label string, target string"), spark.createDataFrame([], "entity_id int, name string"))
     assert [x.collect() for x in none] == [[], [], [], []]
+
+
+def test_only_captions_that_someone_asked_for_are_joined_by_entity(spark, monkeypatch):
+    """All others keep their place: neither a user's target nor a name of any group can meet them."""
+    routed = []
+    real = captions.route_related_party
+    monkeypatch.setattr(captions, "route_related_party", lambda rows, names: routed.append(rows) or real(rows, names))
+    given = [(i, 1 + i % 2, 1, 1, i, label, [1.0], None, 2024, 2023, "pdf", "bs") for i, label in enumerate(("Cash", "My  OWN line", "Owed by Acme", None, "Sundry", "owed by ACME"))]
+    overrides = spark.createDataFrame([(2, "my own line", "balance:9"), (1, "elsewhere", "balance:9")], "entity_id int, label string, target string")
+    rules = spark.createDataFrame(RULES, "rule_ord int, kw_ord int, kw string, target string")
+    made = captions.decide_targets(spark.createDataFrame(given, ROWS), rules, overrides, spark.createDataFrame([(1, "The ACME Group")], "entity_id int, name string"))
+    got = {r.row_id: (r.target, r.own, r.related) for r in made.collect()}
+    assert got == {0: ("balance:3", False, False), 1: ("balance:9", True, False), 2: ("balance:19", False, True), 3: (None, False, False), 4: (None, False, False), 5: (None, False, False)}
+    assert sorted(r.row_id for r in routed[0].collect()) == [1, 2, 5]
