@@ -46,15 +46,23 @@ def duplicate_documents(values: DataFrame, least: int = 5, jaccard: float = 0.8,
     """Pairs of an entity's documents whose distinct values are alike: (entity_id, a, b, shared, a < b).
 
     ``values`` are (entity_id, doc_id, value). Only documents with ``least`` values take part. Pairs come from shared values
-    within one entity, whose documents are few; values are never matched across entities.
+    within one entity; values are never matched across entities. Equal sets are one class (a 64-bit hash of the values in order
+    tells them), so shared values are counted once for two classes, and then handed to the pairs of their documents.
     """
-    sets = values.select("entity_id", "doc_id", "value").where("value is not null").distinct()
-    sizes = sets.groupBy("entity_id", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    held = sets.join(sizes, ["entity_id", "doc_id"])
-    other = held.select("entity_id", "value", F.col("doc_id").alias("b"), F.col("n").alias("m"))
-    pairs = held.join(other, ["entity_id", "value"]).where("doc_id < b").groupBy("entity_id", F.col("doc_id").alias("a"), "b", "n", "m").agg(F.count("*").alias("shared"))
+    held = values.where("value is not null").groupBy("entity_id", "doc_id").agg(F.sort_array(F.collect_set("value")).alias("v")).where(F.size("v") >= least)
+    docs = held.withColumn("class", F.xxhash64(F.size("v"), "v"))
+    classes = docs.groupBy("entity_id", "class").agg(F.min_by("v", "doc_id").alias("v"))
+    each = classes.select("entity_id", F.col("class").alias("c"), F.size("v").alias("n"), F.explode("v").alias("value"))
+    other = each.select("entity_id", "value", F.col("c").alias("d"), F.col("n").alias("m"))
+    met = each.join(other, ["entity_id", "value"]).where("c < d").groupBy("entity_id", "c", "d", "n", "m").agg(F.count("*").alias("shared"))
     alike = (F.col("shared") >= jaccard * (F.col("n") + F.col("m") - F.col("shared"))) | (F.col("shared") >= containment * F.least("n", "m"))
-    return pairs.where(alike).select("entity_id", "a", "b", "shared")
+    # a class is like itself, whatever is asked for up to the whole
+    equal = classes.select("entity_id", F.col("class").alias("c"), F.col("class").alias("d"), F.size("v").cast("long").alias("shared"))
+    equal = equal.where((F.col("shared") >= jaccard * F.col("shared")) | (F.col("shared") >= containment * F.col("shared")))
+    pairs = met.where(alike).select("entity_id", "c", "d", "shared").unionByName(equal)
+    side = lambda x, of: docs.select("entity_id", F.col("class").alias(of), F.col("doc_id").alias(x))
+    found = pairs.join(side("x", "c"), ["entity_id", "c"]).join(side("y", "d"), ["entity_id", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y")))
+    return found.select("entity_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared")
 
 
 def carry_sign_offs(items: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -46,3 +46,13 @@ def test_cases(spark):
     captions = spark.createDataFrame([(1, *r) for r in rows], "entity_id int, label string, feed string, target string")
     got = {r.label: r.target for r in cases.route_related_party(captions, names).collect()}
     assert got == {"Receivable from KEYSTONE": "loan-asset", "Keystoned receivable": None, "Keystone": None, "Due to Keystone": None, "Loan from keystone": "loan-liability", "ABC receivable": None, "Keystone payable": "x"}
+
+
+def test_equal_documents_share_one_count(spark):
+    """Forty copies and one document more: two classes are counted, and all pairs come out."""
+    docs = [(1, i, 5) for i in range(40)] + [(1, 40, 6), (1, 41, 4), (2, 42, 5)]
+    values = spark.createDataFrame(docs, "entity_id int, doc_id int, n int").selectExpr("entity_id", "doc_id", "explode(sequence(1, n)) AS value")
+    made = evidence.duplicate_documents(values)
+    got = sorted(map(tuple, made.collect()))
+    assert got == [(1, a, b, 5) for a in range(41) for b in range(a + 1, 41)]
+    assert "xxhash64" in made._jdf.queryExecution().optimizedPlan().toString()
