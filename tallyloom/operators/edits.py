@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import norm
 from tallyloom.operators.mapping import line_edits
+from tallyloom.session import materialize
 
 FIELDS = ("amount", "boy", "eoy")
 #: Fixed value: cells of figures that a review item can name, with sheet, column and row.
@@ -46,6 +47,7 @@ def remap_contributions(contributions: DataFrame, lines: DataFrame, edits: DataF
     amount, boy, eoy). A null label is a caption like others.
     """
     by_hand = line_edits(lines, contributions).where("edited").select("entity_id", F.col("target").alias("from_target"), F.lit(True).alias("by_hand"))
+    by_hand = materialize(by_hand, "by-hand")  # edits and figures both ask for it
     known = valid.select(F.col("target").alias("to_target"), F.lit(True).alias("is_valid")).distinct()
     asked = edits.join(by_hand, ["entity_id", "from_target"], "left").join(known, "to_target", "left")
     refused, wrong = F.coalesce("by_hand", F.lit(False)), (F.col("to_target").isNotNull() & F.col("is_valid").isNull()) | F.coalesce(F.col("to_target") == F.col("from_target"), F.lit(False))

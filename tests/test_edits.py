@@ -113,3 +113,13 @@ def test_sign_offs_equal_a_plain_replay(spark):
     assert sorted((r.entity_id, r.review_id, r.ord, r.value) for r in out.writes.collect()) == sorted(want_writes)
     cell = lambda r: {"amount": "income!F", "boy": "balance!D", "eoy": "balance!F"}[r.field] + r.target.split(":")[1]
     assert {(r.entity_id, cell(r)): r.value for r in out.cells.collect()} == want_cells
+
+
+def test_lines_edited_by_hand_are_found_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(edits, "materialize", lambda df, label: written.append(label) or df)
+    given = spark.createDataFrame([(1, "income:11", "a", "amount", 5.0)], "entity_id int, target string, label string, field string, value double")
+    lines = spark.createDataFrame([(1, "income:11", 7.0, None, None)], "entity_id int, target string, amount double, boy double, eoy double")
+    moves = spark.createDataFrame([(1, 1, "a", "income:11", "income:12")], "entity_id int, seq int, label string, from_target string, to_target string")
+    made = edits.remap_contributions(given, lines, moves, spark.createDataFrame([("income:12",)], "target string"))
+    assert [r.status for r in made.log.collect()] == ["edited by hand"] and written == ["by-hand"]
