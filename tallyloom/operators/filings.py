@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import let, parse_number, strict_number
-from tallyloom.operators.rows import once
+from tallyloom.operators.rows import once, whole_pages
 
 #: Captions and layouts of the forms, months, and how far left of its caption a value may begin.
 PERIOD_CAPTION = "annual accounting period"
@@ -28,18 +28,24 @@ FIRST_YEAR, LAST_YEAR = 1990, 2100
 FACTS_CAPTION = r"(?i)date of incorporation|principal place of business|functional currency code"
 FACT_COLUMNS = [("d", r"date of incorp|^d\s+date\b"), ("e", r"principal place of business"), ("f", r"activity code"), ("g", r"principal business activity"), ("h", r"functional currency")]
 NEXT_SECTION = r"(?i)^\d+\s+[a-z]|provide the following|schedule a\b"
+NEXT_WORDS, PART_WORDS = ["provide the following", "schedule a"], ["activity", "code n", "incorporation", "number", "principal", "functional", "date of"]
 CAPTION_PART = r"(?i)activity code|code no\.?|code number|^incorporation$|^number$|principal place|principal business|functional currency|^business activity$|^date of"
 GLUED_DATE = r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})\b\s*(.*)$"
 LONE_DATE = r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$"
 VOTING_CAPTION = r"(?i)stock you owned at the end|percentage of the foreign corporation'?s voting"
 COUNTRY_CAPTION = r"(?i)country under whose laws incorporated"
-COUNTRY_LINE = r"(?i)country under whose laws"
+COUNTRY_LINE = "country under whose laws"
 NAME_CAPTION = r"(?i)^1a name and address of foreign corporation"
 NO_VALUE = r"(?i)reference id|identif\w* number|previous reference|^instructions|country under whose laws|^[b-d]\(?\d?\)?\s|^\(?see instructions"
+NO_WORDS = ["reference", "identif", "instructions", "country under"]
 GLUED_ID = r"(?i)^([A-Z][A-Z0-9]{2,19})\s+b\(\d\)"
 CATEGORY_CAPTION = r"(?i)category of filer"
+#: Words, in lower case, one of which a caption row of a face holds, by what it captions; and those of fact columns.
+VOTING_WORDS, COUNTRY_WORDS, CATEGORY_WORDS, NAME_WORDS = ["stock you owned at the end", "percentage of the"], ["country under whose"], ["category of filer"], ["name and address of"]
+SHARE_WORDS, FACT_WORDS, COLUMN_WORDS = [" share"], ["date of incorp", "principal place", "functional currency"], ["date", "place", "activity", "currency"]
+FACE_WORDS = [*VOTING_WORDS, *COUNTRY_WORDS, *CATEGORY_WORDS, *NAME_WORDS, *SHARE_WORDS, *FACT_WORDS]
 CATEGORIES = ["1a", "1b", "1c", "2", "3", "4", "5a", "5b", "5c"]
-TICK = "^[x✓✔]$"
+TICKS = ["x", "✓", "✔"]
 HOLDERS_CAPTION = r"(?i)part ii\b.*direct shareholders"
 HOLDERS_END = r"(?i)^part\b|^schedule [a-z]\b(?!\s*,\s*column)|income statement"
 SHARE_CLASS = r"(?i)^(common|ordinary|preferred|class [a-z0-9]+)( shares?)?$"
@@ -118,104 +124,116 @@ def nearest_columns(captions: Column, rows: Column) -> Column:
     return F.filter(cells, lambda c: c["key"].isNotNull())
 
 
+def _says(low: Column, words: list[str]) -> Column:
+    """Whether a text in lower case holds one of ``words``: told before patterns are tried, which need one of them."""
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in words))
+
+
 def _until(rows: Column, stop: Callable[[Column], Column]) -> Column:
     """The rows before the first that ``stop`` holds for."""
     at = F.array_position(F.transform(rows, lambda r: F.coalesce(stop(r), F.lit(False))), F.lit(True))
-    return F.when(at > 0, F.slice(rows, F.lit(1), (at - 1).cast("int"))).otherwise(rows)
+    return let(at, lambda n: F.when(n > 0, F.slice(rows, F.lit(1), (n - 1).cast("int"))).otherwise(rows))
 
 
-def _facts(rows: DataFrame) -> DataFrame:
-    """Date, place, code, activity and currency of a document's face, by the columns of their captions.
+def _facts(r: Column) -> Column:
+    """Date, place, code, activity and currency below a caption row ``r`` (row, cells, text, low, below) of a face, by the columns of
+    their captions, and what a row with a date of its own says without columns."""
 
-    Each caption row of two captions or more gives what stands below it; later ones add to it up to the first with a date.
-    """
     def key(low: Column) -> Column:
         found = F.lit(None).cast("string")
         for k, pattern in reversed(FACT_COLUMNS):
             found = F.when(low.rlike(pattern), F.lit(k)).otherwise(found)
         return found
 
-    anchors = F.transform("cells", lambda c, i: F.struct(c["x0"].alias("x0"), i.alias("i"), key(F.trim(F.lower(c["text"]))).alias("key")))
-    placed = rows.where(F.col("text").rlike(FACTS_CAPTION)).select("doc_id", "page", "row", "text", "below", F.sort_array(F.filter(anchors, lambda a: a["key"].isNotNull())).alias("anchors"))
-    placed = once(placed, "values", F.when(F.size("anchors") >= 2, nearest_columns(F.col("anchors"), _until(F.slice("below", 1, VALUE_ROWS), lambda r: F.trim(line_text(r)).rlike(NEXT_SECTION)))))
-    under = lambda k: F.filter("values", lambda v: v["key"] == k)["text"]
     words = lambda x: let(F.trim(F.array_join(x, " ")), lambda t: F.nullif(t, F.lit("")))
-    whole = lambda t: ~t.rlike(CAPTION_PART)
-    placed = once(placed, "__d", words(under("d")))
-    d = F.col("__d")
-    date = F.nullif(F.regexp_extract(d, GLUED_DATE, 1), F.lit(""))
-    behind = let(F.nullif(F.trim(F.regexp_extract(d, GLUED_DATE, 2)), F.lit("")), lambda t: F.when(whole(t), t))
-    place = F.coalesce(words(F.filter(under("e"), lambda t: t.rlike("^[A-Za-z][A-Za-z ,.'&-]*$") & whole(t))), behind)
-    code = first_of(F.filter(F.transform(F.concat(under("f"), under("e"), under("g")), lambda t: F.regexp_extract(t, r"(?:^|\s)(\d{4,6})$", 1)), lambda t: t != ""))
-    activity = words(F.filter(under("g"), lambda t: t.rlike("[A-Za-z]") & whole(t)))
-    currency = first_of(F.filter(under("h"), lambda t: t.rlike("^[A-Z]{3}$")))
-    # without columns: the first following row with a date of its own
-    plain = lambda rows: F.transform(rows, lambda r: F.filter(F.transform(r["text"], lambda t: F.trim(t)), lambda t: t != ""))
-    dated = first_of(F.filter(plain(F.slice("below", 1, NEXT_ROWS)), lambda r: F.exists(r, lambda t: t.rlike(LONE_DATE))))
-    placed = once(placed, "__lone", F.when(F.col("text").rlike("(?i)date of incorporation"), dated))
-    lone = F.col("__lone")
+    whole = lambda t: ~(_says(F.lower(t), PART_WORDS) & t.rlike(CAPTION_PART))
     foreign = lambda t: t.rlike("^[A-Z]{3}$") & (t != "USD")
-    at = lambda r, f: F.array_position(F.transform(r, f), F.lit(True)).cast("int")
-    ccy, date_at = at(lone, foreign), at(lone, lambda t: t.rlike(LONE_DATE))
-    read = placed.select(
-        "doc_id",
-        F.struct(
-            "page", "row", F.regexp_replace(date, "-", "/").alias("formed"), place.alias("place"), code.alias("code"), activity.alias("activity"), currency.alias("currency"),
+    at = lambda row, f: F.array_position(F.transform(row, f), F.lit(True)).cast("int")
+
+    def read(values: Column, d: Column, lone: Column) -> Column:
+        under = lambda k: F.filter(values, lambda v: v["key"] == k)["text"]
+        date = F.nullif(F.regexp_extract(d, GLUED_DATE, 1), F.lit(""))
+        behind = let(F.nullif(F.trim(F.regexp_extract(d, GLUED_DATE, 2)), F.lit("")), lambda t: F.when(whole(t), t))
+        place = F.coalesce(words(F.filter(under("e"), lambda t: t.rlike("^[A-Za-z][A-Za-z ,.'&-]*$") & whole(t))), behind)
+        code = first_of(F.filter(F.transform(F.concat(under("f"), under("e"), under("g")), lambda t: F.regexp_extract(t, r"(?:^|\s)(\d{4,6})$", 1)), lambda t: t != ""))
+        activity = words(F.filter(under("g"), lambda t: t.rlike("[A-Za-z]") & whole(t)))
+        currency = first_of(F.filter(under("h"), lambda t: t.rlike("^[A-Z]{3}$")))
+        ccy, date_at = at(lone, foreign), at(lone, lambda t: t.rlike(LONE_DATE))
+        return F.struct(
+            F.col("page"), r["row"].alias("row"), F.regexp_replace(date, "-", "/").alias("formed"), place.alias("place"), code.alias("code"), activity.alias("activity"), currency.alias("currency"),
             F.regexp_replace(first_of(F.filter(lone, lambda t: t.rlike(LONE_DATE))), "-", "/").alias("formed2"), first_of(F.filter(lone, foreign)).alias("currency2"), F.when((ccy > 0) & (ccy - 1 > date_at), F.get(lone, ccy - 2)).alias("activity2"),
-        ).alias("r"),
-    )
-    # captions of one document are few
-    folded = read.groupBy("doc_id").agg(F.sort_array(F.collect_list("r")).alias("all"))
-    ends = F.array_position(F.transform("all", lambda r: F.coalesce(r["formed"], r["formed2"]).isNotNull()), F.lit(True)).cast("int")
-    folded = folded.withColumn("used", F.when(ends > 0, F.slice("all", F.lit(1), ends)).otherwise(F.col("all")))
-    last = lambda k: F.try_element_at(F.filter("used", lambda r: r[k].isNotNull()), F.lit(-1))[k]
-    end = F.try_element_at("used", F.lit(-1))
-    spare = lambda k: F.when(end["formed"].isNull(), end[k])
-    return folded.select(
-        "doc_id", F.coalesce(end["formed"], end["formed2"]).alias("formed"), last("place").alias("place"), last("code").alias("activity_code"),
-        F.coalesce(last("activity"), spare("activity2")).alias("activity"), F.coalesce(last("currency"), spare("currency2")).alias("currency"),
-    )
+        )
+
+    anchors = F.transform(r["cells"], lambda c, i: F.struct(c["x0"].alias("x0"), i.alias("i"), let(F.trim(F.lower(c["text"])), lambda low: F.when(_says(low, COLUMN_WORDS), key(low))).alias("key")))
+    placed = F.sort_array(F.filter(anchors, lambda a: a["key"].isNotNull()))
+    ends = lambda t: (t.rlike("^[0-9]") | _says(F.lower(t), NEXT_WORDS)) & t.rlike(NEXT_SECTION)
+    near = _until(F.slice(r["below"], 1, VALUE_ROWS), lambda x: let(F.trim(line_text(x)), ends))
+    values = let(placed, lambda a: F.when(F.size(a) >= 2, nearest_columns(a, near)))
+    # without columns: the first following row with a date of its own
+    plain = lambda rows: F.transform(rows, lambda x: F.filter(F.transform(x["text"], lambda t: F.trim(t)), lambda t: t != ""))
+    dated = first_of(F.filter(plain(F.slice(r["below"], 1, NEXT_ROWS)), lambda x: F.exists(x, lambda t: t.rlike(LONE_DATE))))
+    lone = F.when(F.contains(r["low"], F.lit("date of incorporation")), dated)
+    said = let(values, lambda v: let(words(F.filter(v, lambda x: x["key"] == "d")["text"]), lambda d: let(lone, lambda row: read(v, d, row))))
+    return F.when(_says(r["low"], FACT_WORDS) & r["text"].rlike(FACTS_CAPTION), said)
+
+
+def _fields_of(r: Column) -> dict[str, Column]:
+    """What a caption row ``r`` (row, cells, text, low, below) of a face says, by field; null where it captions something else."""
+    near = F.slice(r["below"], 1, NEXT_ROWS)
+    with_own = F.concat(F.array(r["cells"]), near)
+    voting = F.regexp_extract(first_of(F.filter(F.transform(with_own, line_text), lambda t: F.contains(t, F.lit("%")) & t.rlike(r"\d{1,3}(\.\d+)?\s*%"))), r"(\d{1,3}(?:\.\d+)?)\s*%", 1).try_cast("double")
+    country = first_of(F.filter(F.transform(first_of(r["below"])["text"], lambda t: F.trim(t)), lambda t: t.rlike("^[A-Za-z][A-Za-z ]{2,30}$")))
+    ticked = lambda tokens: F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(CATEGORIES) & F.get(tokens, i + 1).isin(TICKS), t)), lambda t: t.isNotNull())
+    marked = F.filter(F.transform(with_own, lambda x: F.lower(line_text(x))), lambda t: _says(t, TICKS))
+    marks = first_of(F.filter(F.transform(marked, lambda t: let(F.split(t, r"\s+"), ticked)), lambda x: F.size(x) > 0))
+    bound = F.get(r["cells"], F.lit(1))["x0"] - NAME_SLACK
+    left = lambda x, edge: F.trim(F.coalesce(F.get(F.when(edge.isNull(), x).otherwise(F.filter(x, lambda c: c["x0"] < edge))["text"], F.lit(0)), F.lit("")))
+    line = F.array_position(F.transform(r["below"], lambda x: F.contains(F.lower(line_text(x)), F.lit(COUNTRY_LINE))), F.lit(True)).cast("int")
+    block = let(line, lambda n: F.when(n > 0, F.slice(r["below"], F.lit(1), n + 1)).otherwise(r["below"]))
+    told = let(bound, lambda edge: F.filter(F.transform(block, lambda x: left(x, edge)), lambda t: t.rlike("[A-Za-z]") & ~((t.rlike("^[b-dB-D]") | _says(F.lower(t), NO_WORDS)) & t.rlike(NO_VALUE)) & ~(F.contains(t, F.lit("(")) & t.rlike(GLUED_ID) & F.regexp_extract(t, GLUED_ID, 1).rlike(r"\d"))))
+    named_by = lambda said, name: F.struct(name.alias("name"), F.slice(F.filter(said, lambda t: t != name), 1, ADDRESS_LINES).alias("address"))
+    named = let(told, lambda said: F.when(F.size(said) > 0, let(first_of(said), lambda name: named_by(said, name))))
+    texts = r["cells"]["text"]
+    class_at = F.array_position(F.transform(texts, lambda t: F.trim(t).rlike(r"(?i)^(ordinary|common|class [a-z]) shares?$")), F.lit(True)).cast("int")
+    number = lambda x: F.coalesce(strict_number(x), parse_number(x))  # noqa: E731  (the same number, sooner where it is printed plainly)
+    counts = lambda k: F.filter(F.transform(F.slice(texts, k + 1, F.size(texts)), number), lambda n: n.isNotNull())
+    held = lambda k, n: F.when((F.size(n) >= 2) & (F.get(n, F.lit(0)) >= 0) & (F.get(n, F.lit(1)) >= 0), F.struct(F.trim(F.get(texts, k - 1)).alias("class"), F.get(n, F.lit(0)).alias("boy"), F.get(n, F.lit(1)).alias("eoy")))
+    shares = let(class_at, lambda k: F.when(k > 0, let(counts(k), lambda n: held(k, n))))
+    meets = lambda words, text, pattern: _says(r["low"], words) & text.rlike(pattern)
+    return {
+        "pct_voting": F.when(meets(VOTING_WORDS, r["text"], VOTING_CAPTION), voting), "country": F.when(meets(COUNTRY_WORDS, r["text"], COUNTRY_CAPTION), country), "categories": F.when(meets(CATEGORY_WORDS, r["text"], CATEGORY_CAPTION), marks),
+        "named": F.when(meets(NAME_WORDS, F.trim(F.get(texts, F.lit(0))), NAME_CAPTION), named), "shares": F.when(_says(r["low"], SHARE_WORDS), shares),
+    }
 
 
 def face_fields(printed: DataFrame) -> DataFrame:
     """A document's face: (doc_id, name, address, country, formed, place, activity_code, activity, currency, pct_voting,
     categories, shares).
 
-    ``printed`` are the rows of its face pages. Captions are met in order of print and the first value found stays; address is an
-    array of at most ADDRESS_LINES, categories an array of ticked codes, shares (class, boy, eoy). What isn't found is null. The
-    name stands in the column of its caption, left of the next caption, at most up to the row behind that of the country.
+    ``printed`` are the rows of its face pages, or pages as in whole_pages. Captions are met in order of print and the first value
+    found stays; address is an array of at most ADDRESS_LINES, categories an array of ticked codes, shares (class, boy, eoy). What
+    isn't found is null. The name stands in the column of its caption, left of the next caption, at most up to the row behind that of
+    the country. Of the facts below captions in columns, each caption row of two captions or more gives what stands below it; later
+    ones add to it up to the first with a date. A page is read in its own array; only what it says goes by document.
     """
-    rows = once(with_rows_below(printed, NAME_ROWS), "text", line_text(F.col("cells")))
-    every = printed.select("doc_id").distinct()
-    near = F.slice("below", 1, NEXT_ROWS)
-    with_own = F.concat(F.array("cells"), near)
-    voting = F.regexp_extract(first_of(F.filter(F.transform(with_own, line_text), lambda t: t.rlike(r"\d{1,3}(\.\d+)?\s*%"))), r"(\d{1,3}(?:\.\d+)?)\s*%", 1).try_cast("double")
-    country = first_of(F.filter(F.transform(first_of(F.col("below"))["text"], lambda t: F.trim(t)), lambda t: t.rlike("^[A-Za-z][A-Za-z ]{2,30}$")))
-    ticked = lambda tokens: F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(CATEGORIES) & F.get(tokens, i + 1).rlike(TICK), t)), lambda t: t.isNotNull())
-    marks = first_of(F.filter(F.transform(with_own, lambda r: ticked(F.split(F.lower(line_text(r)), r"\s+"))), lambda x: F.size(x) > 0))
-    bound = F.get(F.col("cells"), F.lit(1))["x0"] - NAME_SLACK
-    left = lambda r, edge: F.trim(F.coalesce(F.get(F.when(edge.isNull(), r).otherwise(F.filter(r, lambda c: c["x0"] < edge))["text"], F.lit(0)), F.lit("")))
-    line = F.array_position(F.transform("below", lambda r: line_text(r).rlike(COUNTRY_LINE)), F.lit(True)).cast("int")
-    block = let(line, lambda n: F.when(n > 0, F.slice("below", F.lit(1), n + 1)).otherwise(F.col("below")))
-    told = let(bound, lambda edge: F.filter(F.transform(block, lambda r: left(r, edge)), lambda t: t.rlike("[A-Za-z]") & ~t.rlike(NO_VALUE) & ~(t.rlike(GLUED_ID) & F.regexp_extract(t, GLUED_ID, 1).rlike(r"\d"))))
-    named_by = lambda said, name: F.struct(name.alias("name"), F.slice(F.filter(said, lambda t: t != name), 1, ADDRESS_LINES).alias("address"))
-    named = let(told, lambda said: F.when(F.size(said) > 0, let(first_of(said), lambda name: named_by(said, name))))
-    class_at = F.array_position(F.transform(F.col("cells")["text"], lambda t: F.trim(t).rlike(r"(?i)^(ordinary|common|class [a-z]) shares?$")), F.lit(True)).cast("int")
-    counts = F.filter(F.transform(F.slice(F.col("cells")["text"], F.col("__class") + 1, F.size("cells")), parse_number), lambda n: n.isNotNull())
-    held = lambda n: F.when((F.size(n) >= 2) & (F.get(n, F.lit(0)) >= 0) & (F.get(n, F.lit(1)) >= 0), F.struct(F.trim(F.get(F.col("cells"), F.col("__class") - 1)["text"]).alias("class"), F.get(n, F.lit(0)).alias("boy"), F.get(n, F.lit(1)).alias("eoy")))
-    shares = let(counts, held)
-    first_cell = F.trim(F.get(F.col("cells"), F.lit(0))["text"])
-    captions = [
-        ("pct_voting", F.col("text").rlike(VOTING_CAPTION), voting), ("country", F.col("text").rlike(COUNTRY_CAPTION), country), ("categories", F.col("text").rlike(CATEGORY_CAPTION), marks),
-        ("named", first_cell.rlike(NAME_CAPTION), named), ("shares", F.col("__class") > 0, shares),
-    ]
-    said = once(rows, "__class", class_at).where(reduce(or_, (c for _, c, _ in captions)))
-    one = lambda caption, value: F.when(caption, let(value, lambda v: F.when(v.isNotNull(), F.struct(F.col("page").alias("page"), F.col("row").alias("row"), v.alias("v")))))
-    read = said.select("doc_id", *(one(c, v).alias(k) for k, c, v in captions))
-    firsts = read.groupBy("doc_id").agg(*(F.min(k).alias(k) for k, _, _ in captions))
-    found = every.join(firsts, "doc_id", "left").join(_facts(rows), "doc_id", "left")
+    lines = F.transform("rows", lambda r, i: let(line_text(r["cells"]), lambda t: F.struct(i.alias("i"), t.alias("text"), F.lower(t).alias("low"))))
+    pages = once(whole_pages(printed), "met", F.filter(lines, lambda x: _says(x["low"], FACE_WORDS)))
+    row = lambda x: F.struct(F.get("rows", x["i"])["row"].alias("row"), F.get("rows", x["i"])["cells"].alias("cells"), x["text"].alias("text"), x["low"].alias("low"), F.transform(F.slice("rows", x["i"] + 2, F.lit(NAME_ROWS)), lambda r: r["cells"]).alias("below"))
+    read = lambda r: F.struct(F.col("page").alias("page"), r["row"].alias("row"), *(v.alias(k) for k, v in _fields_of(r).items()), _facts(r).alias("facts"))
+    said = F.transform("met", lambda x: let(row(x), read))
+    # captions of one document are few
+    read = once(pages, "said", said).groupBy("doc_id").agg(F.flatten(F.collect_list(F.when(F.size("said") > 0, F.col("said")))).alias("said"))
+    first = lambda k: F.array_min(F.transform("said", lambda r: F.when(r[k].isNotNull(), F.struct(r["page"].alias("page"), r["row"].alias("row"), r[k].alias("v")))))
+    fields = ("pct_voting", "country", "categories", "named", "shares")
+    folded = read.select("doc_id", *(first(k).alias(k) for k in fields), F.sort_array(F.array_compact(F.col("said")["facts"])).alias("all"))
+    ends = F.array_position(F.transform("all", lambda r: F.coalesce(r["formed"], r["formed2"]).isNotNull()), F.lit(True)).cast("int")
+    found = folded.withColumn("used", F.when(ends > 0, F.slice("all", F.lit(1), ends)).otherwise(F.col("all")))
+    last = lambda k: F.try_element_at(F.filter("used", lambda r: r[k].isNotNull()), F.lit(-1))[k]
+    end = F.try_element_at("used", F.lit(-1))
+    spare = lambda k: F.when(end["formed"].isNull(), end[k])
     return found.select(
-        "doc_id", F.col("named.v.name").alias("name"), F.col("named.v.address").alias("address"), F.col("country.v").alias("country"), "formed", "place", "activity_code", "activity", "currency",
+        "doc_id", F.col("named.v.name").alias("name"), F.col("named.v.address").alias("address"), F.col("country.v").alias("country"), F.coalesce(end["formed"], end["formed2"]).alias("formed"), last("place").alias("place"),
+        last("code").alias("activity_code"), F.coalesce(last("activity"), spare("activity2")).alias("activity"), F.coalesce(last("currency"), spare("currency2")).alias("currency"),
         F.col("pct_voting.v").alias("pct_voting"), F.col("categories.v").alias("categories"), F.col("shares.v").alias("shares"),
     )
 

@@ -30,8 +30,10 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     """o_orderkey with its dates as printed, place and code."""
     day = F.col("o_orderdate")
     fmt = lambda p: F.date_format(day, p)
-    return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("cust"), fmt("MM-dd-yyyy").alias("dash"), fmt("MM/dd/yyyy").alias("slash"), F.upper(fmt("MMM d")).alias("named"), fmt("yyyy").alias("year"), fmt("MM").alias("mm"), fmt("dd").alias("dd"), fmt("MM/dd/yy").alias("short"),
+    # orders are dealt by document while they are short: pages are printed and read by as many tasks as there are, whatever file they come from
+    dealt = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("cust"), "o_orderdate").repartition("doc_id")
+    return dealt.select(
+        "doc_id", "cust", fmt("MM-dd-yyyy").alias("dash"), fmt("MM/dd/yyyy").alias("slash"), F.upper(fmt("MMM d")).alias("named"), fmt("yyyy").alias("year"), fmt("MM").alias("mm"), fmt("dd").alias("dd"), fmt("MM/dd/yy").alias("short"),
     )
 
 
@@ -54,7 +56,7 @@ def _periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _faces(spark: SparkSession, d: str) -> DataFrame:
-    """A face with two columns of captions; what stands below them moves, wraps and is glued by the order's key."""
+    """Pages (doc_id, page, rows): a face with two columns of captions; what stands below them moves, wraps and is glued by the order's key."""
     o, v = _orders(spark, d), F.col("doc_id") % _FACTS
     cat = F.concat
     name, key = cat(F.lit("Company "), F.col("cust").cast("string")), F.col("doc_id").cast("string")
@@ -84,7 +86,7 @@ def _faces(spark: SparkSession, d: str) -> DataFrame:
         _row(11, (10, F.when(v == 4, F.lit("none")).otherwise(cat(F.lit("stock is "), (F.col("doc_id") % 100).cast("string"), F.lit(".5 %"))))),
         _row(12, (10, "Ordinary Shares"), (200, cat((F.col("doc_id") % 50).cast("string"), F.lit(".000"))), (260, "1,200")),
     )
-    return o.select("doc_id", F.lit(1).alias("page"), F.inline(F.concat(top, facts)))
+    return o.select("doc_id", F.lit(1).alias("page"), F.concat(top, facts).alias("rows"))
 
 
 _HELD = """SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS n, l_partkey, l_suppkey, l_quantity, CAST(l_suppkey % 7 AS INT) AS v,
@@ -129,7 +131,7 @@ def shareholder_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_ids(spark: SparkSession, d: str) -> DataFrame:
-    return filings.reference_ids(_faces(spark, d)).select("doc_id", F.array_join("ids", "|").alias("ids"))
+    return filings.reference_ids(_faces(spark, d).select("doc_id", "page", F.inline("rows"))).select("doc_id", F.array_join("ids", "|").alias("ids"))
 
 
 def match_form_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import classify
-from tallyloom.plans import papers
+from tallyloom.functions.scalars import parse_number, strict_number
+from tallyloom.operators import classify, filings
+from tallyloom.plans import filed, papers
 
 #: A text for each alternative of a rule's pattern.
 SAID = [
@@ -39,3 +40,25 @@ def test_whole_pages_are_judged_as_rows(spark):
 def test_pages_stay_dealt_by_document(spark):
     plan = papers.classify_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "ObjectHashAggregate" not in plan
+
+
+def test_whole_faces_are_read_as_rows(spark):
+    pages = filed._faces(spark, "/root/testdata/sf0.001")
+    cells = "array<struct<text:string,x0:double,x1:double>>"
+    bare = spark.createDataFrame([(-1, 1, 0, [("nothing", 0.0, 1.0)]), (-2, 2, 3, [("Stock you owned at the end", 0.0, 1.0)]), (-2, 2, 4, [("7 %", 0.0, 1.0)]), (-2, 1, 9, [("PERCENTAGE OF THE FOREIGN CORPORATION'S VOTING", 0.0, 1.0)]), (-2, 1, 12, [("5 %", 0.0, 1.0)])], f"doc_id long, page int, row int, cells {cells}")
+    given = pages.select("doc_id", "page", F.inline("rows")).unionByName(bare)
+    want = filings.face_fields(given).where("doc_id >= 0")
+    got = filings.face_fields(pages)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+    assert {r.doc_id: (r.pct_voting, r.name) for r in filings.face_fields(bare).collect()} == {-1: (None, None), -2: (5.0, None)}
+
+
+def test_faces_are_read_in_their_own_arrays(spark):
+    plan = filed.face_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_plain_numbers_are_read_as_others(spark):
+    said = ["12", "12.50", "1,234.50", "1,23.5", "1,,2.5", "0.000", "12,5", "1,234", "1.2.3", "12.", ".5", "", "7\n", None, "1,234.5CR", "(5.0)", "9" * 30 + ".25"]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", strict_number(F.col("t")).alias("a"), parse_number(F.col("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in got), got
