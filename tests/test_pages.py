@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import parse_number, strict_number
 from tallyloom.operators import classify, filings
-from tallyloom.plans import filed, papers
+from tallyloom.plans import filed, papers, printed
 
 #: A text for each alternative of a rule's pattern.
 SAID = [
@@ -62,3 +62,14 @@ def test_plain_numbers_are_read_as_others(spark):
     said = ["12", "12.50", "1,234.50", "1,23.5", "1,,2.5", "0.000", "12,5", "1,234", "1.2.3", "12.", ".5", "", "7\n", None, "1,234.5CR", "(5.0)", "9" * 30 + ".25"]
     got = spark.createDataFrame([(t,) for t in said], "t string").select("t", strict_number(F.col("t")).alias("a"), parse_number(F.col("t")).alias("b")).collect()
     assert all(r.a == r.b for r in got), got
+
+
+def test_grid_lines_are_dealt_by_order_once(spark):
+    plan = printed.route_years(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L, (row|n)#", plan)
+
+
+def test_tokens_and_cells_come_from_one_pass(spark):
+    for made in (printed._tokens, printed._grid):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and plan.count("Join") == 2
