@@ -1,11 +1,12 @@
 """Pages that come whole: their rows aren't put together again, and rules are tried where they can hold only."""
 
+import inspect
 import re
 
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import parse_number, strict_number
-from tallyloom.operators import classify, filings
+from tallyloom.operators import classify, filings, rows
 from tallyloom.plans import filed, papers, printed
 
 #: A text for each alternative of a rule's pattern.
@@ -73,3 +74,26 @@ def test_tokens_and_cells_come_from_one_pass(spark):
     for made in (printed._tokens, printed._grid):
         plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Union" not in plan and plan.count("Join") == 2
+
+
+def test_batches_without_lone_captions_are_handed_on(spark):
+    """Captions that wrap from the end of one batch to the next still join, with batches handed on before and after."""
+    full = [("Cash", 10.0, 50.0), ("7", 90.0, 99.0)]
+    lines = [(1, 1, i, 900.0 - 20 * i, full) for i in range(6)] + [(1, 1, 6, 700.0, [("total of", 10.0, 50.0)]), (1, 1, 7, 690.0, [("cash", 10.0, 50.0), ("8", 90.0, 99.0)])] + [(1, 1, 8 + i, 600.0 - 20 * i, full) for i in range(5)]
+    given = spark.createDataFrame(lines, f"doc_id long, page int, row int, y double, cells {rows.CELLS}")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "7", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = rows.merge_wrapped_labels(given).collect()
+            assert [(r.row, r.cells[0].text) for r in got] == [(i, "Cash") for i in range(6)] + [(7, "total of cash")] + [(8 + i, "Cash") for i in range(5)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert "held" in inspect.signature(rows._walk).parameters
+
+
+def test_clean_cells_are_left_alone(spark):
+    said = ["Revenue", "a  b", " a", "a ", "x ... y", "x . . . y", "a__b", "Statement #12 a", "a\tb", "...", "1.5", "a.b.", "a . b", "", None, "\n"]
+    want = {"Revenue": "Revenue", "a  b": "a b", " a": "a", "a ": "a", "x ... y": "x y", "x . . . y": "x y", "a__b": "a b", "Statement #12 a": "a", "a\tb": "a b", "...": "", "1.5": "1.5", "a.b.": "a.b.", "a . b": "a . b", "": "", None: None, "\n": ""}
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", rows.clean_cell_text(F.col("t")).alias("c")).collect()
+    assert {r.t: r.c for r in got} == want
